@@ -32,9 +32,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: repeated rows for repeated epochs, none where it takes none."""
-    mixed = mixing.mix(docs).where("size > 0").select(F.col("doc_id").alias("mixed_id"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    mixed = written(mixed.where("times > 0"), "mixed")
+    """Every document as often as the mix takes it: repeated rows for repeated epochs, none where it takes none.
+
+    Rows that repeat an id are taken as often as the one of them taken most.
+    """
+    times = (F.col("taken") / F.col("size")).cast("int")
+    mixed = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(times).alias("times"))
+    mixed = written(mixed, "mixed")
     out = docs.join(mixed, F.col("doc_id") == F.col("mixed_id"))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
