@@ -26,14 +26,17 @@ READ_SCHEMA = "file string, offset long, record_id long, url string, record_type
 
 
 def train_dictionary(pages: DataFrame, records: int = 1000, bytes_each: int = 16_384, size: int = 65_536) -> bytes:
-    """A dictionary from a bounded sample: the ``records`` pages that a hash of id and url puts first.
+    """A dictionary from a bounded sample: about ``records`` pages, chosen by a hash of id and url at a rate from the count.
 
     Only what helps compression depends on it.  With too few samples there is none (empty bytes).
     """
     import zstandard
 
-    sample = pages.where("octet_length(html) > 0").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(records)
-    samples = [bytes(r[0]) for r in sample.select(F.substring(F.col("html").cast("binary"), 1, bytes_each)).collect()]
+    filled = pages.where("octet_length(html) > 0")
+    rate = int(min(1.0, records / max(filled.count(), 1)) * (1 << 30))
+    key = F.xxhash64("page_id", "url")
+    sample = filled.where(F.pmod(key, F.lit(1 << 30)) < rate).select(key.alias("key"), F.substring(F.col("html").cast("binary"), 1, bytes_each).alias("head"))
+    samples = [bytes(r["head"]) for r in sorted(sample.collect(), key=lambda r: (r["key"], r["head"]))]
     if sum(map(len, samples)) < 8 * size or len(samples) < 64:
         return b""
     return zstandard.train_dictionary(size, samples).as_bytes()
