@@ -15,11 +15,12 @@ from creditflow.operators import attribution, markov, paths, sensitivity, sessio
 from creditflow.settings import DEFAULT, Settings
 from creditflow.sources.readers import table
 from creditflow.sources.web_events import web_events
+from creditflow.workers import reachable
 
 
 class Run:
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT, raw: DataFrame | None = None):
-        self.spark, self.sf_dir, self.s, self._raw = spark, sf_dir, settings, raw
+        self.spark, self.sf_dir, self.s, self._raw = reachable(spark), sf_dir, settings, raw
 
     _shared: dict[tuple[int, str], Run] = {}
     #: Tables that several others read; kept (on disk where memory ends) so that each is built once.
