@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from creditflow.llm.memo import Memo
 from creditflow.llm.shared import small_batches
-from creditflow.llm.word_ids import word_chunks
+from creditflow.llm.word_ids import spaced_chunk, word_chunks
 
 _to_char = {b: 0x100 + b for b in range(256)}
 _codecs: dict[tuple[str, str], "ByteBPE"] = {}
@@ -70,7 +70,7 @@ class ByteBPE:
         self.whole = {t: struct.pack("<I", i) for i, t in enumerate(self.tokens)}
         self.pieces = Memo(self._merge, 200_000)
         self.chunks = Memo(self._join)
-        self.spaced = Memo(lambda words: self._join([" " + w for w in words]))
+        self.spaced = Memo(lambda words: self._join([spaced_chunk(w) for w in words]), 350_000)
 
     def _merge(self, pieces: list[str]) -> list[bytes]:
         """A pre-token that is a token is that token; others are merged by the model."""

@@ -12,20 +12,27 @@ from creditflow.llm.memo import Memo
 #: White space other than a space; with it, or with runs of spaces, a text is cut by a slower rule.
 _white = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _before_word = re.compile(r"(?= \S)")
+#: The byte alphabet of these vocabularies: printable bytes stand for themselves, the others for U+0100 and on in turn.
+_printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _printable)}
 _encoders: dict[tuple[str, str], "WordEncoder"] = {}
 
 
 def word_chunks(text: str) -> tuple[list[str], list[str]]:
-    """Cut a text where byte-level patterns always begin a match: before a space that a word follows.
+    """Cut a text where byte-level patterns always begin a match: before a space or a line end that a word follows.
 
-    Two lists, to be joined: pieces as they are, then pieces that each follow a space.
+    Two lists, to be joined: pieces as they are, then pieces that each follow a space or begin with a line end.
     """
-    parts = text.split(" ")
-    if "" in parts or " \n" in text or " \t" in text or " \r" in text or _white.search(text):
+    parts = text.replace("\n", " \n").split(" ")
+    if "" in parts or " \n" in text or "\n\n" in text or "\n " in text or text[-1:] == "\n" or "\t" in text or "\r" in text or _white.search(text):
         return [c for c in _before_word.split(text) if c], []
     return parts[:1], parts[1:]
 
 
+def spaced_chunk(part: str) -> str:
+    return part if part[0] == "\n" else " " + part
+
+
 class WordEncoder:
     """Ids of whole texts, equal to the library's on the text as one string.
 
@@ -43,13 +50,21 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = regex.compile(pattern).findall
-        self.pieces = Memo(self._encode, 200_000)
+        if self.tokenizer.normalizer is not None or type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel":
+            raise ValueError(f"{path} is not a plain byte-level vocabulary")
+        self.merge = self.tokenizer.model.tokenize
+        self.pieces = Memo(self._pieces, 300_000)
         self.chunks = Memo(self._join)
-        self.spaced = Memo(lambda words: self._join([" " + w for w in words]))
+        self.spaced = Memo(lambda words: self._join([spaced_chunk(w) for w in words]), 350_000)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The library's model on pre-tokens in its byte alphabet."""
+        ids = [[t.id for t in self.merge(p.encode().decode("latin-1").translate(BYTE_LEVEL))] for p in pieces]
+        return [struct.pack(f"<{len(x)}I", *x) for x in ids]
+
     def _join(self, chunks: list[str]) -> list[bytes]:
         cut = [self.cut(c) for c in chunks]
         ids = iter(self.pieces.values([p for ps in cut for p in ps]))
