@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditflow.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, mixing, sharding, token_counts, token_output, topk, warc
-from creditflow.llm.shared import crc32_text, scratch_path  # noqa: F401
+from creditflow.llm.shared import scratch_path
+from creditflow.workers import reachable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,9 +100,9 @@ FROM f
 """,
     "op5_source_mixing": mixing.ORACLE_SQL,
     "op6_maxscore_top_k": """
-WITH w AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 t AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM w),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
       FROM t q JOIN t c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
