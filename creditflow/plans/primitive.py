@@ -98,9 +98,9 @@ of_tables("agg_stats_np", lambda s, d: t(s, d, "part").groupBy("p_brand").agg(*[
 of_tables("agg_counter", lambda s, d: _nation_paths(s, d).select(F.explode(C.adjacent_pairs(c("path"))).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("n")), f"SELECT path[i] AS src, path[i + 1] AS dst, count(*) AS n FROM (SELECT path, unnest(range(1, len(path))) AS i FROM {_PATHS}) GROUP BY ALL")
 
 # Windows
-W = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-of_tables("win_lag", lambda s, d: t(s, d, "orders").select("o_orderkey", F.lag("o_orderdate").over(W).alias("before")), "SELECT o_orderkey, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders")
-of_tables("win_row_number", lambda s, d: t(s, d, "orders").select("o_orderkey", F.row_number().over(W).cast("long").alias("n")), "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders")
+W = lambda: Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+of_tables("win_lag", lambda s, d: t(s, d, "orders").select("o_orderkey", F.lag("o_orderdate").over(W()).alias("before")), "SELECT o_orderkey, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders")
+of_tables("win_row_number", lambda s, d: t(s, d, "orders").select("o_orderkey", F.row_number().over(W()).cast("long").alias("n")), "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders")
 of_tables("win_dense_rank", lambda s, d: t(s, d, "part").select("p_partkey", F.dense_rank().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"))).cast("long").alias("r")), "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS r FROM part")
 of_tables("win_count_partition", lambda s, d: t(s, d, "supplier").select("s_suppkey", F.count("*").over(Window.partitionBy("s_nationkey")).alias("n")), "SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier")
 of_tables("win_sum_running", lambda s, d: _events(s, d).select("event_id", F.sum((c("event_type") == "purchase").cast("long")).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("purchases")), "SELECT event_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS purchases FROM events")
