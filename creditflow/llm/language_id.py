@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -168,10 +169,10 @@ class Scorer:
         return (-sums[:-1] / n if n else np.zeros(len(self.model.languages))), n
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
-def _scorer(key: int, model: Model) -> Scorer:
+def _scorer(key: str, model: Model) -> Scorer:
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(model)
@@ -239,7 +240,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     keep = [F.col(id_col), *[F.col(c) for c in extra or []]]
     if model is None:
         return df.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(0).cast("long").alias("n_letters"), F.lit(True).alias("rejected"))
-    shipped, key = spark.sparkContext.broadcast(model), id(model) & 0x7FFFFFFF  # its size is bounded by the sample
+    shipped, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # its size is bounded by the sample; workers outlive a query
 
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, n_letters long, rejected boolean")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -290,6 +290,12 @@ def test_language_id(spark, docs, odd):
     assert language_id.predict(docs.limit(2), None).first()["lang_pred"] == "und"
 
 
+def test_language_id_rejects_on_workers_that_calibrated(spark, docs):
+    model = language_id.train(docs.repartition(16))
+    noise = spark.range(0, 320, 1, 16).selectExpr("id AS doc_id", f"'{' '.join(['qxzvkjq wqzxkvj'] * 30)}' AS text")
+    assert language_id.predict(noise, model).where("rejected").count() == 320
+
+
 def test_language_model_is_a_distribution(spark):
     import pandas as pd
 
