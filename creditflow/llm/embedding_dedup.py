@@ -30,9 +30,21 @@ def _planes(dim: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits))
 
 
-def _passes(vectors: DataFrame, passes: int, bits: int, window: int, threshold: float, rows_per_part: int, seed: int) -> DataFrame:
-    """Links (a, b), a < b, that the windows of any pass verify."""
+def passes_for(rows: int, threshold: float, window: int, recall: float) -> int:
+    """Passes after which a pair at the threshold that nothing else links has met with chance ``recall`` at least.
+
+    Such a pair agrees in a sign with chance 1 - angle / pi, and meets in a pass if it agrees in the first
+    log2(rows / window) signs, when its bucket fits the window.  That holds for vectors spread in all directions.
+    """
+    agree = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    meets = agree ** math.log2(max(2.0, rows / window))
+    return 1 if meets >= recall else math.ceil(math.log(1 - recall) / math.log1p(-meets))
+
+
+def _passes(vectors: DataFrame, passes: int, bits: int, window: int, threshold: float, recall: float, rows_per_part: int, seed: int) -> DataFrame:
+    """Links (a, b), a < b, that the windows of any pass verify; ``passes`` or as many as the table's size needs."""
     total = vectors.count()
+    passes = max(passes, passes_for(total, threshold, window, recall))
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -117,6 +129,7 @@ def near_duplicates(
     passes: int = 16,
     bits: int = 48,
     window: int = 32,
+    recall: float = 0.99,
     rows_per_part: int = 20_000,
     block: int = 1024,
     seed: int = 11,
@@ -129,7 +142,8 @@ def near_duplicates(
     nothing (no links, their own component); vectors of different lengths never link.  A row with a null id
     takes part in nothing and has a null component.  Equal vectors always link; rows that repeat an id count as
     one row each.  Extra columns are ignored; an empty table gives no rows.  Passes may miss a link between
-    components; inside a component none is missed.
+    components; inside a component none is missed.  ``passes`` is the least number; it grows with the table so that
+    a lone pair at the threshold is found with chance ``recall`` at any size.
     """
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), x.alias("v"))
@@ -141,7 +155,7 @@ def near_duplicates(
     classes = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")), "classes")
     # Two classes may only have the same smallest id where ids repeat; then they are one node.
     nodes = classes.select("id", "n", "v")
-    links = written(_passes(nodes.select("id", "v"), passes, bits, window, threshold, rows_per_part, seed), "links")
+    links = written(_passes(nodes.select("id", "v"), passes, bits, window, threshold, recall, rows_per_part, seed), "links")
     labels = components(links)
     members = written(nodes.join(labels.withColumnRenamed("x", "id"), "id"), "members")
     counts = written(_linked_inside(members, threshold, block), "counts")

@@ -125,6 +125,20 @@ def test_embedding_near_dedup(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_passes_grow_with_the_table(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.standard_normal((2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = 0.705 * x + math.sqrt(1 - 0.705**2) * y  # 1000 lone pairs just over the threshold
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.vstack([x, near]))], "vec_id long, embedding array<double>")
+    found = embedding_dedup.near_duplicates(df, threshold=0.7, window=4).where("n_links > 0").count()
+    assert found >= 0.97 * 2000
+    few, many = (embedding_dedup.passes_for(n, 0.9, 32, 0.99) for n in (2_000, 10_000_000))
+    assert few <= 16 and many > 70
+
+
 def test_top_k_equals_brute_force(spark, sf):
     rows = [r for r in vectors(spark) if r[1] is None or len(r[1]) != 3]
     df = spark.createDataFrame([*rows, rows[5], (None, [1.0] * 16)], "vec_id long, embedding array<float>")
