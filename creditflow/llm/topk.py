@@ -52,10 +52,10 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 8192
 
     Vectors go to shards and queries to blocks by a hash, each of a bounded size; every block meets every shard in a
     task of its own, and the shards' lists are merged by rank.  Rows with the query's own id are no candidates.
-    Nulls: rows with a null id, a null vector or a null component take no part; so do vectors whose length is
-    not the queries'.  Ties go to smaller ids; repeated rows are candidates each.  Empty tables give no rows.
+    Nulls: rows with a null id, a null vector or a null component take no part, nor do empty vectors.  A query
+    meets the vectors of its own length only.  Ties go to smaller ids; repeated rows are candidates each.  Empty tables give no rows.
     """
-    good = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull())
+    good = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull()) & (F.size(vector_col) > 0)
     vectors = df.where(good).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("v"))
     asked = queries.where(good).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("v"))
     n, m = vectors.count(), asked.count()
@@ -67,16 +67,13 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 8192
     def meet(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
         if len(own) and len(ask):
-            width = len(ask["v"].iloc[0])
-            own = own[own["v"].map(len) == width]
-            if len(own) and width:
-                shard = Shard(own["id"].to_numpy(), np.stack(own["v"].to_list()))
-                for q, v in zip(ask["id"], ask["v"], strict=True):
-                    if len(v) == width:
-                        out += [(q, s, i) for s, i in shard.top(np.asarray(v), q, k)]
+            shard = Shard(own["id"].to_numpy(), np.stack(own["v"].to_list()))
+            for q, v in zip(ask["id"], ask["v"], strict=True):
+                out += [(q, s, i) for s, i in shard.top(np.asarray(v), q, k)]
         return pd.DataFrame(out, columns=["query_id", "score", "id"]).astype("int64")
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, "query_id long, score long, id long")
+    keys = ["shard", "block", F.size("v").alias("width")]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, score long, id long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 

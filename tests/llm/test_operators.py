@@ -154,6 +154,17 @@ def test_top_k_equals_brute_force(spark, sf):
     assert topk.top_k(ints.limit(0), ints.limit(0)).count() == 0
 
 
+def test_top_k_with_queries_of_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-9, 9, (0, 3, 16, 16)[i % 4]).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, weights array<long>").coalesce(1)
+    got = defaultdict(list)
+    for r in sorted(topk.top_k(df, df, k=5).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    for q, v in rows:
+        assert got[q] == sorted(((int(np.dot(v, w)), i) for i, w in rows if v and i != q and len(v) == len(w)), key=lambda x: (-x[0], x[1]))[:5]
+
+
 def test_sharding(spark, docs, odd):
     for df, shards in ((docs, 40), (odd, 3), (docs.limit(0), 5), (docs.union(docs.limit(1)), 7)):
         rows = sharding.shard_documents(df, shards=shards).collect()
