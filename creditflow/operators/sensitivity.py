@@ -148,7 +148,7 @@ def _poisson(uniform, most: int = 10):
     return out
 
 
-def bootstrap(paths: DataFrame, replicates: int = 100, seed: int = 20_240_101, per_task: int = 25) -> DataFrame:
+def bootstrap(paths: DataFrame, replicates: int = 500, seed: int = 20_240_101, per_task: int = 25) -> DataFrame:
     """Replicates over user clusters: replicate, channel, effect, share, rank, reason (of a failure).
 
     A user's weight in a replicate is Poisson(1) from a hash of user, replicate and seed: the limit of drawing as many

@@ -122,8 +122,8 @@ _STABLE = """(WITH j AS (SELECT r.scenario, r.channel, r.attribution_share, b.at
     sum(CASE WHEN cr <= 3 AND br <= 3 THEN 1 ELSE 0 END) OVER w AS top_3_overlap, max(abs(rank_shift)) OVER w AS maximum_rank_shift FROM j WINDOW w AS (PARTITION BY scenario))"""
 of_run("rank_stability", lambda r: sensitivity.rank_stability(r.scenarios), "scenario channel ~share_change_points ~relative_change #rank_shift ~spearman #top_3_overlap #maximum_rank_shift", _STABLE)
 of_run("spearman", lambda r: sensitivity.rank_stability(r.scenarios).select("scenario", "spearman").distinct(), "scenario ~spearman", f"(SELECT DISTINCT scenario, round(spearman, 9) AS spearman FROM {_STABLE})")
-of_run("bootstrap_user_cluster", lambda r: sensitivity.bootstrap(r.markov_paths, 20), "#replicate channel ~removal_effect ~attribution_share channel_rank reason")
-of_run("bootstrap_summary", lambda r: sensitivity.bootstrap_summary(sensitivity.bootstrap(r.markov_paths, 20)), "channel ~mean_share ~median_share ~share_stddev ~share_percentile_2_5 ~share_percentile_97_5 minimum_rank maximum_rank ~probability_top_1 ~probability_top_3 ~probability_top_5 attempted_replicates successful_replicates failed_replicates")
+of_run("bootstrap_user_cluster", lambda r: r.bootstrap_draws, "#replicate channel ~removal_effect ~attribution_share channel_rank reason")
+of_run("bootstrap_summary", lambda r: sensitivity.bootstrap_summary(r.bootstrap_draws), "channel ~mean_share ~median_share ~share_stddev ~share_percentile_2_5 ~share_percentile_97_5 minimum_rank maximum_rank ~probability_top_1 ~probability_top_3 ~probability_top_5 attempted_replicates successful_replicates failed_replicates")
 of_run(
     "scenario_manifest",
     lambda r: r.spark.createDataFrame(sensitivity.scenario_manifest(s), "scenario string, assumption string, value string").join(r.scenario_paths.groupBy("scenario").agg(F.count("*").alias("journeys")), "scenario"),
@@ -150,7 +150,7 @@ of_run("rpt_top_paths", lambda r: reporting.top_paths(reporting.journey_summary(
 of_run("rpt_path_length_bins", lambda r: reporting.path_length_bins(reporting.journey_summary(r.revised, s), cap=5), "bin #bin_order #conversions ~share", "(SELECT CASE WHEN path_length >= 5 THEN '5+' ELSE CAST(path_length AS VARCHAR) END AS bin, least(path_length, 5) AS bin_order, count(*) AS conversions, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM x_order_paths GROUP BY 1, 2)")
 of_run(
     "attribution_business_summary",
-    lambda r: reporting.business_summary(r.comparison, r.scenarios, sensitivity.bootstrap_summary(sensitivity.bootstrap(r.markov_paths, 20)), s),
+    lambda r: reporting.business_summary(r.comparison, r.scenarios, sensitivity.bootstrap_summary(r.bootstrap_draws), s),
     "channel model ~attributed_conversions ~attributed_revenue ~attribution_share ~revenue_share channel_rank revenue_rank ~markov_minus_last_click_conversions ~markov_minus_last_click_revenue scenarios minimum_scenario_rank maximum_scenario_rank ~scenario_rank_1_frequency ~scenario_top_3_frequency ~minimum_scenario_share ~maximum_scenario_share ~bootstrap_mean_share is_presentation_channel",
 )
 of_run("rpt_charts", lambda r: reporting.chart_revenue_by_model(r.comparison).toDF("channel", *[f"{p}_revenue" for p in _p.values()], "markov_revenue"), "channel " + " ".join(f"~{p}_revenue" for p in (*_p.values(), "markov")), "(SELECT channel, " + ", ".join(f"sum(CASE WHEN model = '{m}' THEN attributed_revenue END) AS {p}_revenue" for m, p in (*_p.items(), ("Markov", "markov"))) + " FROM x_comparison GROUP BY channel)")

@@ -24,7 +24,7 @@ class Run:
 
     _shared: dict[tuple[int, str], Run] = {}
     #: Tables that several others read; kept (on disk where memory ends) so that each is built once.
-    KEPT = ("event_base", "sources", "sessions", "cycles", "strict", "revised", "coverage", "results", "journeys", "effects", "scenario_paths", "scenarios")
+    KEPT = ("event_base", "sources", "sessions", "cycles", "strict", "revised", "coverage", "results", "journeys", "effects", "scenario_paths", "scenarios", "bootstrap_draws")
 
     @classmethod
     def shared(cls, spark: SparkSession, sf_dir: str) -> Run:
@@ -121,6 +121,10 @@ class Run:
     def scenarios(self) -> DataFrame:
         return sensitivity.scenario_effects(self.scenario_paths)
 
+    @cached_property
+    def bootstrap_draws(self) -> DataFrame:
+        return sensitivity.bootstrap(self.markov_paths)
+
     TABLES = ("event_base", "orders", "sessions", "strict", "revised", "coverage", "results", "journeys", "effects", "markov_attribution", "comparison")
 
     def materialise(self, folder: str, resume: bool = True) -> list[str]:

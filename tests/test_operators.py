@@ -87,6 +87,14 @@ def test_bootstrap(spark):
     assert got[E]["attempted_replicates"] == got[E]["successful_replicates"] + got[E]["failed_replicates"]
 
 
+def test_registered_bootstrap_draws_500_replicates(spark, sf):
+    from creditflow.plans import composite  # noqa: F401  registers the queries
+    from creditflow.plans.registry import QUERIES
+
+    assert QUERIES["bootstrap_user_cluster"](spark, sf).select("replicate").distinct().count() == 500
+    assert {r["attempted_replicates"] for r in QUERIES["bootstrap_summary"](spark, sf).collect()} == {500}
+
+
 def test_bootstrap_keeps_inactive_channels_and_failures(spark):
     users = [("u1", [S, "Other", N]), ("u2", [S, E, K]), ("u3", [S, E, N]), ("u4", [S, E, K])]
     rows = sensitivity.bootstrap(spark.createDataFrame(users, "user_pseudo_id string, path array<string>"), 25, seed=7).collect()
