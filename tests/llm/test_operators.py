@@ -139,6 +139,13 @@ def test_embedding_passes_grow_with_the_table(spark):
     assert few <= 16 and many > 70
 
 
+def test_components_of_a_long_chain(spark):
+    n = 400  # 0, n-1, n-2, ..., 1
+    links = [(0, n - 1), *[(i, i - 1) for i in range(n - 1, 1, -1)]]
+    got = components(spark.createDataFrame([*links, (1000, 1001), (1001, 1001)], "a long, b long")).collect()
+    assert Counter(tuple(r) for r in got) == Counter([*[(i, 0) for i in range(n)], (1000, 1000), (1001, 1000)])
+
+
 def test_top_k_equals_brute_force(spark, sf):
     rows = [r for r in vectors(spark) if r[1] is None or len(r[1]) != 3]
     df = spark.createDataFrame([*rows, rows[5], (None, [1.0] * 16)], "vec_id long, embedding array<float>")
