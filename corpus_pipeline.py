@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from creditflow.llm import byte_bpe, jaccard_join, language_id, mixing
@@ -34,13 +34,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: repeated rows for repeated epochs, none where it takes none.
 
-    Rows that repeat an id are taken as often as the one of them taken most.
+    Rows are matched by id, source and size, null ids and sources too.  Where rows that are equal in those are
+    taken unequally, the order of their texts' hashes says which are taken once more, so words stay the mix's.
     """
+    keys = ["doc_id", "source", "size"]
     times = (F.col("taken") / F.col("size")).cast("int")
-    mixed = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(times).alias("times"))
-    mixed = written(mixed, "mixed")
-    out = docs.join(mixed, F.col("doc_id") == F.col("mixed_id"))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    mixed = mixing.mix(docs, with_source=True).where("size > 0").groupBy(*keys).agg(F.min(times).alias("times"), (F.sum(times) - F.count(F.lit(1)) * F.min(times)).alias("more"))
+    mixed = written(mixed.where("times > 0 OR more > 0"), "mixed").alias("m")
+    sized = docs.withColumn("words", mixing.words("text")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.words") == F.col("m.size"))
+    columns = [F.col(f"d.{c}").alias(c) for c in docs.columns]
+    even = sized.join(mixed.where("more = 0"), same).select(*columns, "times")
+    # Only groups at the place where a source's last epoch ends: few rows, unless very many are alike.
+    turn = Window.partitionBy("d.doc_id", "d.source", "d.words").orderBy(F.xxhash64("d.text"), "d.text")
+    uneven = sized.join(mixed.where("more > 0"), same).withColumn("turn", F.row_number().over(turn))
+    uneven = uneven.select(*columns, (F.col("times") + (F.col("turn") <= F.col("more")).cast("int")).alias("times"))
+    return even.union(uneven).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

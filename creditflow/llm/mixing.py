@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditflow.llm.shared import WORD, written
@@ -37,6 +37,11 @@ def water_fill(sources: DataFrame, weights: Sequence[int], budget: float, max_ep
     return s.select("source", "source_size", target.alias("target"))
 
 
+def words(text_col: str) -> Column:
+    """A text's size in words; 0 for a null text."""
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(
     df: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -46,6 +51,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    with_source: bool = False,
 ) -> DataFrame:
     """Every row with its size in words, its source's size and target, and ``taken``, the words the mix takes.
 
@@ -54,9 +60,10 @@ def mix(
     into buckets whose sums find the bucket where taking ends, so no source is gathered in one task.
     Nulls: a null text has size 0, a null source is a source of its own that comes last, a null id hashes as
     the empty text.  Rows that repeat an id have one place in the order and are told apart by size; exact
-    repeats are interchangeable.  An empty table gives no rows.  Extra columns are ignored.
+    repeats are interchangeable.  An empty table gives no rows.  Extra columns are ignored; ``with_source`` adds the
+    source's.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    size = words(text_col)
     turn = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), turn.alias("turn"))
     rows = written(rows.withColumn("bucket", F.substring("turn", 1, BUCKET_DIGITS)), "mix-sizes")
@@ -78,6 +85,7 @@ def mix(
             "source_size",
             "target",
             (F.col("size") * (F.col("whole") + more.cast("long"))).cast("long").alias("taken"),
+            *([F.col("r.source").alias(source_col)] if with_source else []),
         )
     )
 

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from creditflow.llm import mixing
 from creditflow.llm.shared import written
 from tests.llm.test_operators import brute_components
 
@@ -66,6 +67,20 @@ def test_mixture(stages):
         assert abs(got - target[s]) <= max(size[i] for i in docs if docs[i]["source"] == s) / 2 + 1
 
 
+def test_mixture_takes_rows_without_id_as_the_mix_does(spark, stages, sf):
+    rows = [(None if i % 4 == 0 else i // 2, " ".join(["w"] * (1 + i % 7) + [f"t{i}"]), "en", (None, "a", "b", "b")[i % 5 % 4], 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, stages[0].schema)
+    got = corpus_pipeline.mixture(spark, docs, sf).collect()
+    want = mixing.mix(docs, with_source=True).collect()
+    sizes, wanted = Counter(), Counter()
+    for r in got:
+        sizes[r["doc_id"], r["source"], len(r["text"].split())] += len(r["text"].split())
+    for r in want:
+        wanted[r["doc_id"], r["source"], r["size"]] += r["taken"]
+    assert sizes == +wanted and any(i is None for i, _, _ in sizes)
+    assert max(Counter(r["text"] for r in got).values()) <= 2
+
+
 def test_tokens_equal_the_library(stages):
     import tiktoken
 
