@@ -1,42 +1,44 @@
 """Exact n-gram Jaccard join by vertical partitioning.
 
-A document is the set of its distinct word n-grams, as 64-bit hashes.  N-grams have one global order: those
-that a bounded sample shows to be common come last, the rest by hash.  The order is cut into fragments;
-two documents' overlap is counted fragment by fragment and the partial counts are summed per pair.
-
-Pairs to count: documents whose sets meet the threshold share an n-gram among the first
-``n - ceil(t n) + 1`` of each, so these make buckets.  Equal sets are one class with one representative.  In a
-bucket, members are compared with pivots first; members that end in one component need no comparison with each
-other, all other pairs of a bucket are compared in later rounds.  Sizes and a parity sketch (whose Hamming
-distance is at most the sets' difference) drop pairs that cannot meet the threshold before anything is counted.
+A document is the set of its distinct word n-grams, as 64-bit hashes; equal sets are one node.  N-grams have a global
+order, by hash.  For the pairs that may link the order is cut into fragments; their overlap is counted fragment by
+fragment and the partial counts are summed per pair.
+
+Which pairs may link:
+
+* Sets that meet the threshold share at least ``l`` of the first ``n - ceil(t n) + l`` n-grams of each.  Over the whole
+  table the nodes of every such n-gram are counted.  A node with fewer than ``l`` shared ones links with nothing; the
+  others keep their rarest, so many that a linking pair shares one of them.
+* The node of a kept n-gram's bucket with the fewest n-grams of its own is its pivot.  Nodes are gathered by
+  pivot, not by n-gram, so what a group of copies shares many times is looked at once.
+* Members meet the pivot first, and after that one head of those that no head has united yet; this joins dense
+  groups by few links.  At the end members of different components meet each other, so no link is lost.  Sizes and a
+  parity sketch, whose Hamming distance never exceeds the sets' difference, drop pairs inside the join.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditflow.llm.components import components
-from creditflow.llm.memo import Memo
-from creditflow.llm.shared import small_batches, written
+from creditflow.llm.memo import Memo, resident
+from creditflow.llm.shared import BROADCAST_ROWS, side, small_batches, written
 
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SKETCH_WORDS = 16
-_hashed: dict[str, Memo] = {}
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    if "words" not in _hashed:
-        _hashed["words"] = Memo(lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws], 200_000)
-    return np.array(_hashed["words"].values(words), "uint64")
+    memo = resident("word hashes", lambda: Memo(lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws], 200_000))
+    return np.array(memo.values(words), "uint64")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -59,15 +61,21 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(out).view("int64") if n > 1 else out.view("int64")
 
 
-def _prefix(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 of a set in the global order."""
+def _node(s: np.ndarray) -> int:
+    """64 bits that stand for the whole set."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _share(n: int, percent: int) -> int:
+    return -(-percent * n // 100)
+
+
+def first_grams(s: np.ndarray, percent: int, extra: int) -> np.ndarray:
+    """The n-grams among which a linking pair shares ``ceil(extra n)`` at least, n being the smaller set's size."""
     n = len(s)
-    size = n - -(-percent * n // 100) + 1
-    if len(common):
-        at = np.searchsorted(common, s).clip(max=len(common) - 1)
-        late = common[at] == s
-        s = np.concatenate([s[~late], s[late]])
-    return s[:size]
+    return s[: n - _share(n, percent) + _share(n, extra)]
 
 
 def _sketch(s: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
@@ -82,79 +90,111 @@ def _fine_words(n: int) -> int:
     return words if words > SKETCH_WORDS else 0
 
 
-def _alike(na: Column, nb: Column, percent: int) -> Column:
-    """Whether sets of these sizes can meet the threshold."""
-    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-
-
-def _bounds(na: Column, nb: Column, percent: int) -> Column:
-    """Least overlap of sets of these sizes: ceil(t (na + nb) / (1 + t))."""
-    return F.ceil((na + nb) * percent / F.lit(100.0 + percent) - F.lit(1e-9)).cast("long")
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype("int32")  # batches are bounded by bytes
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, "int64")))
 
 
-def _common(rows: DataFrame, width: int, sample: int, least: int, most: int) -> np.ndarray:
-    """Hashes of n-grams in at least ``least`` of about ``sample`` documents: at most ``most``, whatever the input."""
-    total = rows.count()
-    draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(total, 1)) * (1 << 30))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n: Counter = Counter()
-            for text in batch["text"]:
-                n.update(shingle_set(text, width).tolist())
-            yield pd.DataFrame({"h": np.fromiter(n.keys(), "int64", len(n)), "n": np.fromiter(n.values(), "int64", len(n))})
-
-    seen = rows.where(draw).select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r["h"] for r in seen.orderBy(F.desc("n"), "h").limit(most).collect()], "int64"))
-
-
-def _signatures(rows: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, fp (of the whole set), sketch, fine (a longer sketch of long sets, else empty), prefix."""
-    shipped = rows.sparkSession.sparkContext.broadcast(common)
+def _signatures(rows: DataFrame, width: int, percent: int, extra: int) -> DataFrame:
+    """doc_id, key, node, n, the sketch's words, fine (a longer sketch of long sets, else empty), grams (``first_grams``)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-            prefixes = [_prefix(s, shipped.value, percent) if len(s) else s for s in sets]
-            ends = np.cumsum([0, *map(len, prefixes)]).astype("int32")
-            sketches = np.concatenate([_sketch(s) for s in sets]) if sets else np.zeros(0, "int64")
-            fine = [_sketch(s, w) if (w := _fine_words(len(s))) else s[:0] for s in sets]
+            sketches = np.stack([_sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH_WORDS), "int64")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("key"),
+                    pa.array([_node(s) for s in sets], "int64"),
                     pa.array([len(s) for s in sets], "int64"),
-                    pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "string"),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype="int32") * SKETCH_WORDS), pa.array(sketches)),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, fine)]).astype("int32")), pa.array(np.concatenate(fine) if fine else np.zeros(0, "int64"))),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, "int64"))),
+                    *[pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH_WORDS)],
+                    _lists([_sketch(s, w) if (w := _fine_words(len(s))) else s[:0] for s in sets]),
+                    _lists([first_grams(s, percent, extra) for s in sets]),
                 ],
-                names=["doc_id", "n", "fp", "sketch", "fine", "prefix"],
+                names=["doc_id", "key", "node", "n", *SKETCH, "fine", "grams"],
             )
 
-    return rows.mapInArrow(sign, "doc_id long, n long, fp string, sketch array<long>, fine array<long>, prefix array<long>")
+    longs = ", ".join(f"{c} long" for c in ("doc_id", "key", "node", "n", *SKETCH))
+    return rows.mapInArrow(sign, f"{longs}, fine array<long>, grams array<long>")
 
 
-def _fragments(rows: DataFrame, ids: DataFrame, width: int, fragment_bits: int, broadcast_ids: int) -> DataFrame:
-    """doc_id, fp, fragment, part (the set's n-grams there) of the documents in ``ids``; their whole sets are made again."""
-    rows = rows.join(_side(ids, broadcast_ids), "doc_id")
+def _nodes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, rid) of all sets, rid being the smallest document id; and one signature of each node."""
+    real = signed.where("n > 0 AND doc_id IS NOT NULL")
+    ids = real.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    nodes = written(ids.groupBy("node").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("ids"), F.max("times").alias("times")), "nodes")
+    copied = side(nodes.where("ids > 1").select("node", "rid"))
+    copies = written(real.select("node", "doc_id").join(copied, "node").where("doc_id <> rid").select("node", "doc_id"), "copies")
+    few = copies.count() <= BROADCAST_ROWS
+    once = real.join(F.broadcast(copies) if few else copies, ["node", "doc_id"], "left_anti").drop("doc_id", "key")
+    repeated = nodes.where("times > 1").select("node")  # the same id and text in several rows
+    if not repeated.isEmpty():
+        repeated = side(repeated)
+        once = once.join(repeated, "node", "left_anti").union(once.join(repeated, "node", "left_semi").dropDuplicates(["node"]))
+    return nodes.select("node", "rid"), once if few else written(once, "one")  # so that it is shuffled once
+
+
+def _kept_grams(one: DataFrame, percent: int, extra: int) -> DataFrame:
+    """(gram, node, own): the grams that a node keeps, and how many of its first ones no other node has."""
+    grams = one.select("node", F.explode("grams").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rare = grams.join(shared, "gram").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("rare"))
+    share = lambda n, p: F.ceil(n * p / F.lit(100.0) - F.lit(1e-9)).cast("int")
+    found = one.select("node", "n").join(rare, "node")
+    found = found.withColumn("first", (F.col("n") - share(F.col("n"), percent)).cast("int") + share(F.col("n"), extra))
+    found = found.withColumn("own", F.col("first") - F.size("rare"))
+    keep = F.col("first") - share(share(F.col("n"), percent), extra) + 1 - F.col("own")
+    return found.where(keep > 0).select("node", "own", F.explode(F.slice("rare", F.lit(1), keep)).alias("r")).select("r.gram", "node", "own")
+
+
+def _members(kept: DataFrame, one: DataFrame) -> DataFrame:
+    """(pivot, node, own, n, sketch): every node beside the pivot of each of its buckets, once."""
+    kept = written(kept, "kept")
+    heads = kept.groupBy("gram").agg(F.min(F.struct("own", "node")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    found = kept.join(heads.select("gram", F.col("head.node").alias("pivot")), "gram").select("pivot", "node", "own").distinct()
+    return written(found.join(one.select("node", "n", *SKETCH), "node"), "members")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
+def _alike(na: Column, nb: Column, percent: int) -> Column:
+    """Whether sets of these sizes can meet the threshold."""
+    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+
+
+def _spare(na: Column, nb: Column, percent: int) -> Column:
+    """The largest symmetric difference of sets of these sizes that link."""
+    return na + nb - 2 * F.ceil((na + nb) * percent / F.lit(100.0 + percent) - F.lit(1e-9)).cast("long")
+
+
+def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of one pivot and two components that sizes and sketches let link."""
+    p, q = left.alias("p"), right.alias("q")
+    differ = sum((F.bit_count(F.col(f"p.{s}").bitwiseXOR(F.col(f"q.{s}"))) for s in SKETCH), F.lit(0))
+    na, nb = F.col("p.n"), F.col("q.n")
+    on = (F.col("p.pivot") == F.col("q.pivot")) & (F.col("p.label") != F.col("q.label")) & _alike(na, nb, percent) & (differ <= _spare(na, nb, percent))
+    a, b = F.struct(F.col("p.node").alias("x"), na.alias("n")), F.struct(F.col("q.node").alias("x"), nb.alias("n"))
+    ends = p.join(q, on).select(F.least(a, b).alias("l"), F.greatest(a, b).alias("r")).distinct()
+    return ends.select(F.col("l.x").alias("a"), F.col("r.x").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb"))
+
+
+def _fragments(rows: DataFrame, ids: DataFrame, width: int, fragment_bits: int) -> DataFrame:
+    """node, fragment, part (the set's n-grams there) of the documents in ``ids``; their whole sets are made again."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            nodes, fragments, parts = [], [], []
+            for text in batch.column("text").to_pylist():
                 s = shingle_set(text, width)
                 at = (s.view("uint64") >> np.uint64(64 - fragment_bits)).astype("int64")
-                fp = xxhash.xxh3_128_hexdigest(s.tobytes())
-                for f in np.unique(at).tolist():
-                    for column, x in zip(out, (doc, fp, f, s[at == f]), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "fp", "fragment", "part"])
+                cuts = np.searchsorted(at, np.arange((1 << fragment_bits) + 1))
+                for f, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if x < y:
+                        nodes.append(_node(s))
+                        fragments.append(f)
+                        parts.append(s[x:y])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, "int64"), pa.array(fragments, "int32"), _lists(parts)], names=["node", "fragment", "part"])
 
-    return rows.select("doc_id", "text").mapInArrow(cut, "doc_id long, fp string, fragment int, part array<long>")
+    return rows.join(side(ids), "doc_id").select("text").mapInArrow(cut, "node long, fragment int, part array<long>")
 
 
 def _differ(x: Column, y: Column) -> Column:
@@ -167,41 +207,67 @@ def _folded(x: Column) -> Column:
     return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))
 
 
-def _side(df: DataFrame, most: int) -> DataFrame:
-    """A side that is broadcast while it has at most ``most`` rows (a few longs each), and shuffled beyond that."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are not in one component."""
-    top = lambda x: labels.select(F.col("x").alias(x), F.col("label").alias(f"l{x}"))
-    rows = pairs.join(top("a"), "a", "left").join(top("b"), "b", "left")
-    return rows.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int, fragment_bits: int, broadcast_ids: int) -> DataFrame:
-    """The pairs (a < b) that link."""
-    names = lambda x: [F.col("rid").alias(x), F.col("fp").alias(f"f{x}")]
-    size = lambda x: _side(nodes.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}")), broadcast_ids)
-    side = lambda x: nodes.select(*names(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    fine = lambda x: nodes.where(F.size("fine") > 0).select(*names(x), F.col("fine").alias(f"s{x}"))
-    spare = F.col("na") + F.col("nb") - 2 * _bounds(F.col("na"), F.col("nb"), percent)
-    alike = _alike(F.col("na"), F.col("nb"), percent)
-    pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(alike).select("a", "b")
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(alike & (_differ(F.col("sa"), F.col("sb")) <= spare)).select("a", "b", "fa", "fb", "na", "nb")
-    likely = written(likely, "likely")
-    long = F.least("na", "nb") > 32 * SKETCH_WORDS  # both have the longer sketch, of one length or the double
-    folded = lambda x, y: F.when(F.size(x) > F.size(y), _folded(F.col(x))).otherwise(F.col(x))
-    looked = likely.where(long).join(fine("a"), ["a", "fa"]).join(fine("b"), ["b", "fb"]).where(_differ(folded("sa", "sb"), folded("sb", "sa")) <= spare)
-    likely = written(likely.where(~long).unionByName(looked.select(*likely.columns)), "pairs")
-    ids = written(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "ids")
-    parts = written(_fragments(rows, ids, width, fragment_bits, broadcast_ids), "fragments")
-    part = lambda x: parts.select(F.col("doc_id").alias(x), F.col("fp").alias(f"f{x}"), "fragment", F.col("part").alias(f"p{x}"))
-    both = likely.join(part("b"), ["b", "fb"]).join(part("a"), ["a", "fa", "fragment"])
-    partial = both.select("a", "b", "fa", "fb", "na", "nb", "fragment", F.size(F.array_intersect("pa", "pb")).cast("long").alias("common"))
-    partial = partial.groupBy("a", "b", "fa", "fb", "na", "nb", "fragment").agg(F.max("common").alias("common"))  # repeated rows count once
-    summed = partial.groupBy("a", "b", "fa", "fb", "na", "nb").agg(F.sum("common").alias("common"))
-    return summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b").distinct()
+class _Verifier:
+    """Which of the pairs that may link do: whole sets, cut into fragments of the global order."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, one: DataFrame, width: int, percent: int, fragment_bits: int):
+        self.rows, self.nodes, self.width, self.percent, self.bits = rows, nodes, width, percent, fragment_bits
+        self.fine = written(one.where(F.size("fine") > 0).select("node", "fine"), "fine")
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        long = F.least("na", "nb") > 32 * SKETCH_WORDS  # both have the longer sketch, of one length or the double
+        fine = lambda x: self.fine.select(F.col("node").alias(x), F.col("fine").alias(f"f{x}"))
+        folded = lambda x, y: F.when(F.size(x) > F.size(y), _folded(F.col(x))).otherwise(F.col(x))
+        looked = pairs.where(long).join(fine("a"), "a").join(fine("b"), "b")
+        looked = looked.where(_differ(folded("fa", "fb"), folded("fb", "fa")) <= _spare(F.col("na"), F.col("nb"), self.percent))
+        pairs = written(pairs.where(~long).unionByName(looked.select(*pairs.columns)), "pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        ids = written(ends.join(self.nodes, "node").select(F.col("rid").alias("doc_id")).distinct(), "ids")
+        parts = written(_fragments(self.rows, ids, self.width, self.bits), "fragments")
+        part = lambda x: parts.select(F.col("node").alias(x), "fragment", F.col("part").alias(f"p{x}"))
+        partial = pairs.join(part("a"), "a").join(part("b"), ["b", "fragment"])
+        partial = partial.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("pa", "pb")).cast("long").alias("common"))
+        partial = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))  # repeated rows count once
+        summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+        return written(summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * self.percent).select("a", "b"), "links")
+
+
+def _components(df: DataFrame, width: int, percent: int, id_col: str, text_col: str, extra: int, fragment_bits: int, head_rounds: int) -> DataFrame:
+    """doc_id, key (of the text), n_shingles, component_id for every row."""
+    small_batches(df.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    signed = written(_signatures(rows, width, percent, extra), "signatures")
+    nodes, one = _nodes(signed)
+    members = _members(_kept_grams(one, percent, extra), one)
+    verify = _Verifier(rows, nodes, one, width, percent, fragment_bits)
+    alone = members.withColumn("label", F.col("node"))
+    links = verify(_meet(alone, alone.where("node = pivot"), percent))
+    labels = components(links)
+    heads = members.select("pivot", F.col("pivot").alias("node")).distinct()
+    for k in range(head_rounds + 1):
+        named = members.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = written(named.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("pivot"), "open")
+        if open_.isEmpty():
+            break
+        named = written(named.join(open_, "pivot"), "named")
+        met = named
+        if k < head_rounds:  # of those that no head of their group has united, one is the next head
+            united = named.join(heads, ["pivot", "node"]).select("pivot", "label").distinct()
+            head = named.join(united, ["pivot", "label"], "left_anti").groupBy("pivot").agg(F.min(F.struct("own", "node")).alias("h"))
+            head = written(head.select("pivot", "h.node"), "heads")
+            heads = heads.union(head)
+            met = named.join(head, ["pivot", "node"]).select(*named.columns)
+        links = written(links.union(verify(_meet(named, met, percent))), "links")
+        labels = components(links)
+    tops = nodes.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tops = written(tops.select("node", "rid", "label"), "tops")
+    least = tops.groupBy("label").agg(F.min("rid").alias("component_id"))
+    tops = written(tops.join(least, "label").select("node", "component_id"), "tops")
+    out = signed.select("doc_id", "key", F.col("n").alias("n_shingles"), "node").join(tops, "node", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "key", "n_shingles", own.alias("component_id"))
 
 
 def jaccard_components(
@@ -210,75 +276,34 @@ def jaccard_components(
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
-    sample: int = 20_000,
-    common_least: int = 3,
-    common_most: int = 500_000,
+    extra: int = 10,
     fragment_bits: int = 3,
-    exhaust_below: int = 32,
-    broadcast_ids: int = 2_000_000,
+    head_rounds: int = 2,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: components of links with ``100 I >= percent U``.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased.  Fewer than ``width`` words make one n-gram of
     the whole sequence; none make an empty set, which links with nothing (its component is its own id).  A null text
     is empty; a row with a null id takes part in nothing and has a null component.  Rows that repeat an id
-    stand for one document each by their text; equal texts share a class whatever their ids.  Whole texts are used,
-    extra columns are ignored, an empty table gives no rows.
+    are documents of their own: each has its text's component, named by the smallest id in it, so two
+    components may have one name where an id repeats.  Equal texts share a component whatever their ids.  Whole texts
+    are used, extra columns are ignored, an empty table gives no rows.
+
+    ``extra`` (a percentage of a set, at most ``percent``) and ``head_rounds`` change the work, never the result.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    common = _common(rows, width, sample, common_least, common_most)
-    signed = written(_signatures(rows, width, percent, common), "signatures")
-    real = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(real.groupBy("fp").agg(F.min("doc_id").alias("rid")), "classes")
-    copies = written(real.select("fp", "doc_id").join(classes, "fp").where("doc_id <> rid").select("fp", "doc_id").distinct(), "copies")
-    chosen = real.join(_side(copies, broadcast_ids), ["fp", "doc_id"], "left_anti").withColumnRenamed("doc_id", "rid")
-    nodes = written(chosen.select("rid", "fp", "n", "sketch", "fine"), "nodes")
-    keys = chosen.select("rid", "n", F.explode("prefix").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).where("first < last")
-    shared = written(shared.select("key", "first"), "shared")  # from files on both sides, Spark can split a hot bucket
-    buckets = written(keys.join(_side(shared, broadcast_ids), "key"), "buckets")
-    check = lambda pairs: _verified(pairs, nodes, rows, width, percent, fragment_bits, broadcast_ids)
-    # First each member meets one pivot, which joins most of a dense group; then the other pivots of other components.
-    one = buckets.groupBy(F.col("rid").alias("b")).agg(F.min("first").alias("a")).where("a < b").select("a", "b")
-    links = written(check(one), "links")
-    labels = components(links)
-    others = written(buckets.where("first < rid").select(F.col("first").alias("a"), F.col("rid").alias("b")).distinct(), "others")
-    links = written(links.union(check(_apart(others, labels).join(one, ["a", "b"], "left_anti"))), "links")
-    labels = components(links)
-    buckets, pivots = buckets.where("first < rid").select("key", "rid", "n"), 1
-    while True:
-        # What is left: pairs of a bucket, neither of them a pivot so far, that lie in different components.
-        named = buckets.join(labels.withColumnRenamed("x", "rid"), "rid", "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
-        named = written(named, "named")
-        open_ = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-        open_ = written(open_.select("key", "size"), "open-keys")
-        if open_.isEmpty():
-            break
-        buckets = written(named.join(open_, "key"), "open")
-        pivots *= 4
-        small = buckets.where(F.col("size") <= exhaust_below)
-        large = buckets.where(F.col("size") > exhaust_below).withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rid"), "rid")))
-        probes = small.select("key", "rid", "n", "label").union(large.where(F.col("turn") <= pivots).select("key", "rid", "n", "label"))
-        probes = written(probes, "probes")
-        met = probes.alias("p").join(buckets.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.rid") != F.col("q.rid")) & (F.col("p.label") != F.col("q.label")) & _alike(F.col("p.n"), F.col("q.n"), percent))
-        pairs = met.select(F.least("p.rid", "q.rid").alias("a"), F.greatest("p.rid", "q.rid").alias("b")).distinct()
-        links = written(links.union(check(pairs)), "links")
-        labels = components(links)
-        buckets = buckets.join(probes.select("key", "rid"), ["key", "rid"], "left_anti").select("key", "rid", "n")
-    tops = classes.join(labels.withColumnRenamed("x", "rid"), "rid", "left").select("fp", F.coalesce("label", "rid").alias("component_id"))
-    tops = written(tops, "tops")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(tops, "fp", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", own.alias("component_id"))
+    found = _components(df, width, percent, id_col, text_col, extra, fragment_bits, head_rounds)
+    return found.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` whose document is the smallest id of its component; rows with a null id all stay.
+def keep_first(
+    df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", extra: int = 10, fragment_bits: int = 3, head_rounds: int = 2
+) -> DataFrame:
+    """The rows of ``df`` that have the smallest id of their text's component; rows with a null id all stay.
 
-    Rows that repeat the kept id all stay, since the id is one document.
+    Rows of one component that repeat the kept id all stay.  Columns keep their names, values and order, whatever
+    they are called.
     """
-    found = jaccard_components(df, id_col=id_col, **options)
-    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct(), "gone")
-    return df.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    found = _components(df, width, percent, id_col, text_col, extra, fragment_bits, head_rounds)
+    gone = written(found.where("doc_id <> component_id").select("doc_id", "key").distinct(), "gone").alias("gone")
+    key = F.xxhash64(F.coalesce(F.col(f"rows.{text_col}"), F.lit("")))
+    return df.alias("rows").join(gone, (F.col(f"rows.{id_col}").cast("long") == F.col("gone.doc_id")) & (key == F.col("gone.key")), "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
 
 
@@ -32,3 +33,18 @@ class Memo:
             self.old, self.young = self.young, {}
         self.young.update((k, v) for k, v in found.items() if len(k) <= self.longest)
         return found
+
+
+_resident: dict[str, object] = {}
+
+
+def resident(key: str, make: Callable[[], object]):
+    """What ``make`` gives, kept for the worker's next batches and tasks until another operator needs the room.
+
+    Workers outlive a query; one operator's models and memories at a time stay in them.
+    """
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _resident[key] = make()
+    return _resident[key]

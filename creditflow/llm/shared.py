@@ -40,11 +40,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+#: Rows of a few longs that a side may have to be broadcast: some 16 MB, whatever the table's size.
+BROADCAST_ROWS = 250_000
+
+
+def side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A side of a join that is broadcast while it has at most ``most`` rows, and shuffled beyond that."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound Arrow batches by bytes, so that a batch of very long texts fits a Python worker.
+
+    The bound is a setting of the session, read when a result is computed, so it stays set.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).strip().lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= size:
+        spark.conf.set(key, str(size))
 
 
 def crc32_text(text: Column) -> Column:

@@ -55,6 +55,7 @@ def shingles(text, width):
 
 
 def brute_components(rows, width, percent):
+    """(id, set size, component) by row; a row is a document of its own, a component has its smallest id."""
     rows = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
     sets = [shingles(t, width) for _, t in rows]
     links = [(i, j) for i, j in combinations(range(len(rows)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
@@ -83,11 +84,43 @@ def test_jaccard_join_chains_that_no_pivot_links(spark):
     base = [f"w{i}" for i in range(120)]
     texts = [" ".join([f"d{j}" for j in range(k * 2)] + base[k * 2 :]) for k in range(40)] + [" ".join(base[:60] + [f"z{k}_{i}" for i in range(60)]) for k in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for options in ({}, {"exhaust_below": 2, "common_most": 1}):
+    for options in ({}, {"head_rounds": 0, "extra": 0}, {"head_rounds": 1, "extra": 60}):
         got = sorted(tuple(r) for r in jaccard_join.jaccard_components(df, width=3, percent=90, **options).collect())
         assert got == brute_components(list(enumerate(texts)), 3, 90)
 
 
+def test_jaccard_join_of_dense_groups(spark):
+    """Copies of one text with a few words changed, cut or added, copies of copies, and a passage that many share."""
+    rng = np.random.default_rng(7)
+    base = [f"b{i}" for i in range(150)]
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for k in range(260):
+        own = list(base)
+        for j in rng.choice(150, rng.integers(0, 8), replace=False):
+            own[j] = f"n{rng.integers(0, 400)}"
+        if k % 9 == 0:
+            own = own[: int(rng.integers(60, 150))]
+        texts.append(" ".join(own))
+    texts += [" ".join([*passage, *(f"u{k}_{i}" for i in range(rng.integers(0, 60)))]) for k in range(60)]
+    rows = [(i // 2 if i % 7 == 0 else i, t) for i, t in enumerate([*texts, *texts[:50]])]  # ids repeat, with other texts too
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((3, 90), (5, 80), (2, 60)):
+        got = sorted(tuple(r) for r in jaccard_join.jaccard_components(df, width=width, percent=percent).collect())
+        assert got == brute_components(rows, width, percent)
+
+
+def test_jaccard_join_with_a_repeated_id(spark):
+    """Two texts of one id are two documents: what is like the one is not like the other."""
+    words = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(1, words("a")), (1, words("b")), (1, words("b")), (2, words("a") + " end"), (3, words("b") + " end"), (0, words("b") + " z")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, gone string")
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(df, width=3, percent=90).collect())
+    assert got == brute_components(rows, 3, 90)
+    kept = sorted((r["doc_id"], r["text"][0]) for r in jaccard_join.keep_first(df, width=3, percent=90).collect())
+    assert kept == [(0, "b"), (1, "a")]
+
+
 def test_keep_first(spark, odd):
     kept = jaccard_join.keep_first(odd)
     assert kept.columns == odd.columns
