@@ -17,12 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditflow.llm.memo import Memo
+from creditflow.llm.memo import Memo, resident
 from creditflow.llm.shared import small_batches
 from creditflow.llm.word_ids import spaced_chunk, word_chunks
 
 _to_char = {b: 0x100 + b for b in range(256)}
-_codecs: dict[tuple[str, str], "ByteBPE"] = {}
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -68,9 +67,9 @@ class ByteBPE:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
         self.cut = regex.compile(pattern).findall
         self.whole = {t: struct.pack("<I", i) for i, t in enumerate(self.tokens)}
-        self.pieces = Memo(self._merge, 200_000)
-        self.chunks = Memo(self._join)
-        self.spaced = Memo(lambda words: self._join([spaced_chunk(w) for w in words]), 350_000)
+        self.pieces = Memo(self._merge, 100_000)
+        self.chunks = Memo(self._join, 50_000)
+        self.spaced = Memo(lambda words: self._join([spaced_chunk(w) for w in words]), 200_000)
 
     def _merge(self, pieces: list[str]) -> list[bytes]:
         """A pre-token that is a token is that token; others are merged by the model."""
@@ -97,9 +96,7 @@ class ByteBPE:
 
 
 def codec(path: str, pattern: str) -> ByteBPE:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = ByteBPE(path, pattern)
-    return _codecs[path, pattern]
+    return resident(f"byte BPE {path} {pattern}", lambda: ByteBPE(path, pattern))
 
 
 def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditflow.llm.memo import Memo
-from creditflow.llm.shared import small_batches
+from creditflow.llm.memo import Memo, resident
+from creditflow.llm.shared import named, small_batches
 
 UNKNOWN = "und"
 ORDER = 4
@@ -169,34 +169,25 @@ class Scorer:
         return (-sums[:-1] / n if n else np.zeros(len(self.model.languages))), n
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, model: Model) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
-
-
 def fold(id_column: Column) -> Column:
     """crc32 of the id as text, mod 3; a null id is in no fold (-1)."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3, F.lit(-1))
 
 
 def train(
-    df: DataFrame, per_language: int = 600, calibrate: int = 100, order: int = ORDER, margin: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    df: DataFrame, per_language: int = 600, calibrate: int = 100, most_labels: int = 500, order: int = ORDER, margin: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Model | None:
     """Fit on about ``per_language`` documents of each label and calibrate on about ``calibrate`` others.
 
     Rows are chosen by a hash of their id, at a rate from a count by language, so the sample's bound does not
-    grow with the table; their whole texts are used.  Rows without text, label or id are left out.  None if nothing
-    is left.  Only n-gram counts (bounded by the sample) and one row a language come to the driver.
+    grow with the table; their whole texts are used.  The ``most_labels`` most frequent labels have models, ties by name, so
+    that a column of many stray labels does not make the model grow.  Rows without text, label or id are left out.  None
+    if nothing is left.  Only n-gram counts (bounded by the sample) and one row a language come to the driver.
     """
     spark = df.sparkSession
     small_batches(spark)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()}
     if not sizes:
         return None
     bits = 1 << 30
@@ -228,23 +219,25 @@ def train(
     return model
 
 
-def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
-    """id (and ``extra`` columns), lang_pred, score, cross_entropy, n_letters (with word ends), rejected.
+RESULT = "lang_pred string, score double, cross_entropy double, n_letters long, rejected boolean"
+
+
+def judgement(spark: SparkSession, model: Model | None, text: Column) -> Column:
+    """A struct of lang_pred, score, cross_entropy, n_letters (with word ends) and rejected for a column of texts.
 
-    Nulls: a null text, or one without letters, is ``und`` with score 0 and is rejected; a null id stays null.  Whole
-    texts are scored.  A tie goes to the first language by name.  ``rejected`` is also set where the cross-entropy is
-    above the language's calibrated limit.  Without a model all is ``und``.  Repeated rows give repeated rows.
+    A null text, or one without letters, is ``und`` with score 0 and is rejected.  Whole texts are scored.  A tie goes
+    to the first language by name.  ``rejected`` is also set where the cross-entropy is above the language's calibrated
+    limit.  Without a model all is ``und``.
     """
-    spark = df.sparkSession
     small_batches(spark)
-    keep = [F.col(id_col), *[F.col(c) for c in extra or []]]
     if model is None:
-        return df.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(0).cast("long").alias("n_letters"), F.lit(True).alias("rejected"))
+        none = {"lang_pred": UNKNOWN, "score": 0.0, "cross_entropy": 0.0, "n_letters": 0, "rejected": True}
+        return F.struct(*[F.lit(v).alias(k) for k, v in none.items()]).cast(f"struct<{RESULT.replace(' ', ':').replace(',:', ',')}>")
     shipped, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # its size is bounded by the sample; workers outlive a query
 
-    @F.pandas_udf("lang_pred string, score double, cross_entropy double, n_letters long, rejected boolean")
+    @F.pandas_udf(RESULT)
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = _scorer(key, shipped.value)
+        own = resident(f"language {key}", lambda: Scorer(shipped.value))
         limits = own.model.limits
         for batch in texts:
             rows = []
@@ -258,4 +251,18 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 rows.append((own.model.languages[best], float(share), float(h[best]), n, bool(limits is not None and h[best] > limits[best])))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "cross_entropy", "n_letters", "rejected"])
 
-    return df.select(*keep, score(F.coalesce(F.col(text_col), F.lit(""))).alias("got")).select(*[F.col(c) for c in [id_col, *(extra or [])]], "got.*")
+    return score(F.coalesce(text, F.lit("")))
+
+
+def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
+    """id (and ``extra`` columns), lang_pred, score, cross_entropy, n_letters, rejected: see ``judgement``.
+
+    A null id stays null.  Repeated rows give repeated rows, an empty table none.  Other columns of ``df`` are left out,
+    whatever their names; an ``extra`` one with the name of a result gives two columns of that name, for which
+    ``judgement`` is the way.
+    """
+    keep = [id_col, *(extra or [])]
+    inner = max(["got", *keep], key=len) + "_"  # a name that no column has
+    got = judgement(df.sparkSession, model, named(text_col)).alias(inner)
+    fields = [named(inner)[f.split()[0]].alias(f.split()[0]) for f in RESULT.split(", ")]
+    return df.select(*map(named, keep), got).select(*map(named, keep), *fields)

@@ -60,6 +60,11 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+def named(column: str) -> Column:
+    """The column of this very name, dots and back-ticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def crc32_text(text: Column) -> Column:
     """Unsigned crc32 of the UTF-8 bytes; of none where the text is null."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))

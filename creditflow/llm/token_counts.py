@@ -2,8 +2,8 @@
 
 No piece of such a model holds a space mark after another character, so merges never cross the
 place where a word ends and a space begins.  A text is therefore a row of pre-tokens (the spaces before a
-word and the word) whose counts add up.  Before any text is read, every vocabulary string is encoded alone;
-those that come back as themselves are proved whole tokens and count as 1 by a lookup.  Only other pre-tokens
+word and the word) whose counts add up.  Before any text is read, on the driver, every vocabulary string is encoded
+alone; those that come back as themselves are proved whole tokens, are shipped to the workers and count as 1 by a lookup.  Only other pre-tokens
 are merged, by the library, and remembered for the texts that follow.
 """
 
@@ -16,30 +16,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditflow.llm.memo import Memo
+from creditflow.llm.memo import Memo, resident
 from creditflow.llm.shared import n_bytes, small_batches
 
 MARK = "▁"
 _spaced = re.compile(" +[^ ]*")
-_counters: dict[str, "PreTokenCounter"] = {}
+
+
+def prove_whole(path: str) -> dict[str, int]:
+    """The pre-tokens that are a vocabulary string and that the model encodes, alone, as that one token; and the empty one.
+
+    Raises for a model whose counts do not add up by pre-token.
+    """
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    for p in pieces:
+        if re.search(f"[^{MARK}]{MARK}", p):
+            raise ValueError(f"piece {p!r} crosses a word boundary; this model's counts do not add up by pre-token")
+    words = [p[1:] for p in pieces if len(p) > 1 and p[0] == MARK and MARK not in p[1:]]
+    whole = {w: 1 for w, ids in zip(words, model.encode(words, num_threads=1), strict=True) if len(ids) == 1 and model.id_to_piece(ids[0]) == MARK + w}
+    return whole | {"": len(model.encode("a ")) - len(model.encode("a"))}  # a space before nothing
 
 
 class PreTokenCounter:
     """Counts for one model file; keys are pre-tokens without the first space, which the model adds itself."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: dict[str, int]):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.model.get_piece_size()
-        pieces = [self.model.id_to_piece(i) for i in range(n)]
-        for p in pieces:
-            if re.search(f"[^{MARK}]{MARK}", p):
-                raise ValueError(f"piece {p!r} crosses a word boundary; this model's counts do not add up by pre-token")
-        words = [p[1:] for p in pieces if len(p) > 1 and p[0] == MARK and MARK not in p[1:]]
-        alone = self.model.encode(words, num_threads=1)
-        self.whole = {w: 1 for w, ids in zip(words, alone, strict=True) if len(ids) == 1 and self.model.id_to_piece(ids[0]) == MARK + w}
-        self.whole[""] = len(self.model.encode("a ")) - len(self.model.encode("a"))  # a space before nothing
+        self.model, self.whole = sentencepiece.SentencePieceProcessor(model_file=path), whole
         self.memo = Memo(self._merge, 400_000)
 
     def pre_tokens(self, text: str) -> list[str]:
@@ -58,10 +65,8 @@ class PreTokenCounter:
         return [whole[p] if p in whole else merged[p] for p in pre_tokens]
 
 
-def counter(path: str) -> PreTokenCounter:
-    if path not in _counters:
-        _counters[path] = PreTokenCounter(path)
-    return _counters[path]
+def counter(path: str, whole: dict[str, int]) -> PreTokenCounter:
+    return resident(f"token counts {path}", lambda: PreTokenCounter(path, whole))
 
 
 def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,10 +76,11 @@ def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, id_col: str
     whole.  Repeated rows give repeated rows, an empty table none; extra columns are ignored.
     """
     small_batches(df.sparkSession)
+    proved = df.sparkSession.sparkContext.broadcast(prove_whole(model_path))  # bounded by the vocabulary
 
     @F.pandas_udf("long")
     def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = counter(model_path)
+        own = counter(model_path, proved.value)
         for batch in texts:
             yield pd.Series([own.count(t) for t in batch], dtype="int64")
 

@@ -7,7 +7,7 @@ import re
 import struct
 from itertools import islice
 
-from creditflow.llm.memo import Memo
+from creditflow.llm.memo import Memo, resident
 
 #: White space other than a space; with it, or with runs of spaces, a text is cut by a slower rule.
 _white = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -15,7 +15,6 @@ _before_word = re.compile(r"(?= \S)")
 #: The byte alphabet of these vocabularies: printable bytes stand for themselves, the others for U+0100 and on in turn.
 _printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _printable)}
-_encoders: dict[tuple[str, str], "WordEncoder"] = {}
 
 
 def word_chunks(text: str) -> tuple[list[str], list[str]]:
@@ -81,6 +80,4 @@ class WordEncoder:
 
 
 def encoder(path: str, pattern: str) -> WordEncoder:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = WordEncoder(path, pattern)
-    return _encoders[path, pattern]
+    return resident(f"word ids {path} {pattern}", lambda: WordEncoder(path, pattern))
