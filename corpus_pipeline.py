@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from creditflow.llm import byte_bpe, jaccard_join, language_id, mixing
-from creditflow.llm.shared import written
+from creditflow.llm.shared import named, written
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one, so that no name of theirs meets one of a stage's own."""
+    return F.struct(*[named(c).alias(c) for c in docs.columns]).alias("row")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rejected: no letters, or a cross-entropy over the calibrated limit of the best language.
     """
     model = language_id.train(docs.where(language_id.fold(F.col("doc_id")) != 1))
-    columns = docs.columns
-    found = language_id.predict(docs, model, extra=columns[1:])
-    return found.where("NOT rejected").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    found = docs.select(whole_row(docs), language_id.judgement(spark, model, F.col("text")).alias("found")).where("NOT found.rejected")
+    lang = F.coalesce("row.lang", "found.lang_pred")
+    return found.select(*[(lang if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +46,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = (F.col("taken") / F.col("size")).cast("int")
     mixed = mixing.mix(docs, with_source=True).where("size > 0").groupBy(*keys).agg(F.min(times).alias("times"), (F.sum(times) - F.count(F.lit(1)) * F.min(times)).alias("more"))
     mixed = written(mixed.where("times > 0 OR more > 0"), "mixed").alias("m")
-    sized = docs.withColumn("words", mixing.words("text")).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.words") == F.col("m.size"))
-    columns = [F.col(f"d.{c}").alias(c) for c in docs.columns]
-    even = sized.join(mixed.where("more = 0"), same).select(*columns, "times")
+    sized = docs.select(whole_row(docs), mixing.words("text").alias("words")).alias("d")
+    same = F.col("row.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("row.source").eqNullSafe(F.col("m.source")) & (F.col("words") == F.col("m.size"))
+    even = sized.join(mixed.where("more = 0"), same).select("row", "times")
     # Only groups at the place where a source's last epoch ends: few rows, unless very many are alike.
-    turn = Window.partitionBy("d.doc_id", "d.source", "d.words").orderBy(F.xxhash64("d.text"), "d.text")
+    turn = Window.partitionBy("row.doc_id", "row.source", "words").orderBy(F.xxhash64("row.text"), "row.text")
     uneven = sized.join(mixed.where("more > 0"), same).withColumn("turn", F.row_number().over(turn))
-    uneven = uneven.select(*columns, (F.col("times") + (F.col("turn") <= F.col("more")).cast("int")).alias("times"))
-    return even.union(uneven).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    uneven = uneven.select("row", (F.col("times") + (F.col("turn") <= F.col("more")).cast("int")).alias("times"))
+    return even.union(uneven).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
