@@ -251,7 +251,8 @@ def judgement(spark: SparkSession, model: Model | None, text: Column) -> Column:
                 rows.append((own.model.languages[best], float(share), float(h[best]), n, bool(limits is not None and h[best] > limits[best])))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "cross_entropy", "n_letters", "rejected"])
 
-    return score(F.coalesce(text, F.lit("")))
+    # Spark would copy the function into every filter on its result, and score each text again there.
+    return score.asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
