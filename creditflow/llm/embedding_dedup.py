@@ -2,7 +2,8 @@
 
 Each pass orders all vectors lexicographically by the concatenated signs of random projections and compares
 every vector with a bounded window of its neighbours; pairs at or above the threshold are united across
-passes.  Equal vectors are one class and take part once.  The windows find which vectors belong together;
+passes.  Equal vectors are one node, named by a hash of its components, and take part once.  A run of windows hands on
+only the pairs that unite two of its groups.  The windows find which vectors belong together;
 inside a component the links are then counted exactly: members within half the threshold's angle of a pivot
 are all linked with each other, and the others are compared with every member in blocks.
 """
@@ -42,7 +43,8 @@ def passes_for(rows: int, threshold: float, window: int, recall: float) -> int:
 
 
 def _passes(vectors: DataFrame, passes: int, bits: int, window: int, threshold: float, recall: float, rows_per_part: int, seed: int) -> DataFrame:
-    """Links (a, b), a < b, that the windows of any pass verify; ``passes`` or as many as the table's size needs."""
+    """Links (a, b), a < b, that the windows of any pass verify and that unite; ``passes`` or as many as the table's size needs."""
+    kind = vectors.schema["v"].dataType.elementType.simpleString()
     total = vectors.count()
     passes = max(passes, passes_for(total, threshold, window, recall))
 
@@ -53,7 +55,7 @@ def _passes(vectors: DataFrame, passes: int, bits: int, window: int, threshold:
                 for p in range(passes):
                     signs = x @ _planes(dim, bits, seed + p) > 0
                     code = signs @ (1 << np.arange(bits - 1, -1, -1, dtype="int64"))
-                    yield pd.DataFrame({"pass": np.int32(p), "dim": np.int32(dim), "code": code, "id": own["id"], "v": own["v"]})
+                    yield pd.DataFrame({"pass": np.int32(p), "dim": np.int32(dim), "code": code, "id": own["id"].to_numpy(), "v": own["v"].to_numpy()})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the last window of what came before
@@ -61,7 +63,7 @@ def _passes(vectors: DataFrame, passes: int, bits: int, window: int, threshold:
             held = batch if held is None else pd.concat([held.tail(window), batch])
             yield from _window(held, len(batch), window, threshold)
 
-    coded = vectors.mapInPandas(project, "pass int, dim int, code long, id long, v array<double>")
+    coded = vectors.mapInPandas(project, f"pass int, dim int, code long, id long, v array<{kind}>")
     parts = max(1, -(-total * passes // rows_per_part))
     tie = F.xxhash64("pass", "id")  # equal codes may span partitions, in another order each pass
     placed = coded.withColumn("tie", tie).repartitionByRange(parts, "pass", "dim", "code", "tie").sortWithinPartitions("pass", "dim", "code", "tie")
@@ -70,28 +72,35 @@ def _passes(vectors: DataFrame, passes: int, bits: int, window: int, threshold:
 
 
 def _window(rows: pd.DataFrame, new: int, window: int, threshold: float) -> Iterator[pd.DataFrame]:
-    """Pairs of one of the last ``new`` rows with one of the ``window`` rows before it."""
+    """Of the pairs of one of the last ``new`` rows with one of the ``window`` rows before it, those that unite two groups."""
     start = len(rows) - new
     for _, own in rows.assign(at=np.arange(len(rows))).groupby(["pass", "dim"], sort=False):
         x, ids, at = _unit(own["v"].to_list()), own["id"].to_numpy(), own["at"].to_numpy()
+        top, links = np.arange(len(own)), []
         for gap in range(1, min(window, len(own) - 1) + 1):
-            hit = (np.einsum("ij,ij->i", x[gap:], x[:-gap]) >= threshold) & (at[gap:] >= start)
-            if hit.any():
-                a, b = ids[:-gap][hit], ids[gap:][hit]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            apart = np.flatnonzero((top[gap:] != top[:-gap]) & (at[gap:] >= start))
+            hit = apart[np.einsum("ij,ij->i", x[apart + gap], x[apart]) >= threshold]
+            for i in hit.tolist():
+                a, b = top[i], top[i + gap]
+                if a != b:
+                    top[top == max(a, b)] = min(a, b)
+                    links.append((i, i + gap))
+        if links:
+            a, b = ids[np.array(links)].T
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def _linked_inside(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """(id, label, n, v) of components -> (id, links): rows linked by cosine with each, copies counted, itself left out.
 
-    The pivot is the member that names the component.  Others are split into those in the pivot's ball (angle at
+    The pivot is the node that names the component.  Others are split into those in the pivot's ball (angle at
     most half the threshold's), whose links with each other need no comparison, and the rest.  The rest
     meets all members block by block; members and rest get their counts from both directions.
     """
     half = math.cos(math.acos(threshold) / 2) + 1e-9
 
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    dot = F.aggregate(F.zip_with("v", "pv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    dot = F.aggregate(F.zip_with("v", "pv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
     pivots = written(members.where("id = label").select("label", F.col("v").alias("pv")), "pivots")
     near = members.join(pivots, "label").withColumn("core", dot / (norm(F.col("v")) * norm(F.col("pv"))) >= half)
     near = written(near.select("id", "label", "n", "v", "core"), "near")
@@ -141,26 +150,28 @@ def near_duplicates(
     Cosine in double precision.  Vectors that are null, zero or empty, or hold a null or non-finite component, link with
     nothing (no links, their own component); vectors of different lengths never link.  A row with a null id
     takes part in nothing and has a null component.  Equal vectors always link; rows that repeat an id count as
-    one row each.  Extra columns are ignored; an empty table gives no rows.  Passes may miss a link between
-    components; inside a component none is missed.  ``passes`` is the least number; it grows with the table so that
-    a lone pair at the threshold is found with chance ``recall`` at any size.
+    one row each, by their vectors, so two components may have one name where an id repeats.  Extra columns are
+    ignored; an empty table gives no rows.  Passes may miss a link between components; inside a component none is
+    missed.  ``passes`` is the least number; it grows with the table so that a lone pair at the threshold is found with
+    chance ``recall`` at any size.
     """
-    x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    x = F.col(vector_col) if dict(df.dtypes)[vector_col] in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("id"), x.alias("v"))
     finite = ~F.exists("v", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("v", lambda v: v != 0)
     good = F.coalesce(F.col("id").isNotNull() & F.col("v").isNotNull() & finite, F.lit(False))
-    # +0.0 turns -0.0 into 0.0, so that equal vectors are equal bytes
-    rows = rows.withColumn("key", F.when(good, F.sha2(F.concat_ws(",", F.transform("v", lambda v: (v + F.lit(0.0)).cast("string"))).cast("binary"), 256)))
+    # +0.0 turns -0.0 into 0.0, so that equal vectors have equal hashes
+    rows = rows.withColumn("node", F.when(good, F.xxhash64(F.size("v"), F.transform("v", lambda v: v.cast("double") + F.lit(0.0)))))
     rows = written(rows, "vectors")
-    classes = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")), "classes")
-    # Two classes may only have the same smallest id where ids repeat; then they are one node.
-    nodes = classes.select("id", "n", "v")
+    sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rid"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
+    nodes = written(sizes, "nodes").withColumnRenamed("node", "id")
     links = written(_passes(nodes.select("id", "v"), passes, bits, window, threshold, recall, rows_per_part, seed), "links")
-    labels = components(links)
-    members = written(nodes.join(labels.withColumnRenamed("x", "id"), "id"), "members")
+    labels = written(components(links).withColumnRenamed("x", "id"), "labels")
+    members = written(nodes.select("id", "n", "v").join(labels, "id"), "members")
     counts = written(_linked_inside(members, threshold, block), "counts")
-    tops = classes.select("key", "id", "n").join(labels.withColumnRenamed("x", "id"), "id", "left").join(counts, "id", "left")
-    tops = written(tops.select("key", F.coalesce("label", "id").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), "tops")
-    out = rows.select("id", "key").join(tops, "key", "left")
-    component = F.coalesce("label", "id")
+    tops = nodes.select("id", "rid", "n").join(labels, "id", "left").join(counts, "id", "left")
+    tops = written(tops.select("id", "rid", F.coalesce("label", "id").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), "tops")
+    least = tops.groupBy("label").agg(F.min("rid").alias("component_id"))
+    tops = written(tops.join(least, "label").select(F.col("id").alias("node"), "component_id", "links"), "tops")
+    out = rows.select("id", "node").join(tops, "node", "left")
+    component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

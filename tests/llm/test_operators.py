@@ -158,20 +158,35 @@ def test_embedding_near_dedup(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_embedding_passes_grow_with_the_table(spark):
-    rng = np.random.default_rng(9)
-    x, y = rng.standard_normal((2, 1000, 64))
+def planted_pairs(n, dim, cosine, seed=9):
+    """n vectors spread in all directions, each with one that has this cosine with it."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.standard_normal((2, n, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= (x * y).sum(axis=1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    near = 0.705 * x + math.sqrt(1 - 0.705**2) * y  # 1000 lone pairs just over the threshold
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.vstack([x, near]))], "vec_id long, embedding array<double>")
-    found = embedding_dedup.near_duplicates(df, threshold=0.7, window=4).where("n_links > 0").count()
-    assert found >= 0.97 * 2000
+    return np.vstack([x, cosine * x + math.sqrt(1 - cosine**2) * y])
+
+
+@pytest.mark.parametrize("n", [1000, 8000])
+def test_embedding_recall_of_the_query(spark, tmp_path, n):
+    """The registered query with its own parameters: lone pairs just over the threshold are found at any size."""
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(planted_pairs(n, 64, 0.905))], "vec_id long, embedding array<float>, node string")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = queries.op4_embedding_near_dedup(spark, str(tmp_path)).collect()
+    right = [r for r in rows if r["n_links"] == 1 and r["component_id"] == r["vec_id"] % n]
+    assert len(rows) == 2 * n and all(r["n_links"] <= 1 for r in rows) and len(right) >= 0.95 * 2 * n
     few, many = (embedding_dedup.passes_for(n, 0.9, 32, 0.99) for n in (2_000, 10_000_000))
     assert few <= 16 and many > 70
 
 
+def test_embedding_repeated_and_null_ids(spark):
+    e1, e2 = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, e1), (1, e2), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.1]), (None, e1), (4, e2), (5, [0.0, 0.0, 1.0])]
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id IS NOT NULL").collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True)]
+
+
 def test_components_of_a_long_chain(spark):
     n = 400  # 0, n-1, n-2, ..., 1
     links = [(0, n - 1), *[(i, i - 1) for i in range(n - 1, 1, -1)]]
