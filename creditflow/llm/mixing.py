@@ -19,7 +19,8 @@ def water_fill(sources: DataFrame, weights: Sequence[int], budget: float, max_ep
     Sources take ``weights`` in turn by code point, null last, and share ``budget`` times all
     words.  Sources whose share is over ``max_epochs`` times their size are clamped and the excess goes
     to the rest by weight until none is over.  In the order of size over weight the clamped sources come
-    first, so running sums find the point where clamping ends.  One row per source.
+    first, so running sums find the point where clamping ends.  One row per source, all in one task: for
+    up to some millions of sources.
     """
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
     order = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())

@@ -128,7 +128,9 @@ def shard_documents(
     inside = Window.partitionBy("cell").orderBy("at", "id", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = kinds.withColumn("rank", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     placed = ranked.join(F.broadcast(per_cell), "cell")
-    each = placed.withColumn("i", F.explode(F.sequence(F.col("rank"), F.col("rank") + F.col("n") - 1)))
+    last, run = F.col("rank") + F.col("n") - 1, 1000  # exact repeats are numbered run by run, so that no array grows with them
+    each = placed.withColumn("from", F.explode(F.sequence(F.col("rank"), last, F.lit(run).cast("long"))))
+    each = each.withColumn("i", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + run - 1, last))))
     hit = F.filter("runs", lambda r: (F.col("i") >= r["first"]) & (F.col("i") < r["first"] + r["taken"]))[0]
     return each.withColumn("hit", hit).select(
         F.col("id").alias(id_col),

@@ -29,7 +29,7 @@ def write_orc(
     pattern: str,
     end_id: int = 0,
     bytes_per_file: int = 64 << 20,
-    stripe_bytes: int = 64 << 20,
+    stripe_bytes: int = 8 << 20,
     row_index_stride: int = 1000,
     id_col: str = "doc_id",
     text_col: str = "text",

@@ -17,34 +17,38 @@ class Shard:
         self.ids, self.postings = ids, np.ascontiguousarray(weights.T)
         self.low, self.high = self.postings.min(axis=1), self.postings.max(axis=1)
 
-    def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    def top(self, query: np.ndarray, own: int, k: int, chunk: int = 2048) -> list[tuple[int, int]]:
         """The k best (score, id) but for the query's own id; ties to smaller ids.
 
-        A term's bound is the most it can add to any score.  Terms are essential until the bounds of the rest cannot lift
-        a vector over the others; those are traversed for all vectors.  The rest are probed, one after another, for the
-        vectors that can still reach the k-th best score known.
+        A term's bounds are the most and the least it can add.  The threshold is the k-th best score of the chunks before;
+        terms are non-essential as long as a vector that has the most in all of them and the least in the others stays
+        below it.  A chunk's essential postings are traversed whole, the others probed one after another for the vectors
+        that can still reach the threshold.  It rises from chunk to chunk, and the split moves with it.
         """
         bound = np.maximum(query * self.low, query * self.high)
         least = np.minimum(query * self.low, query * self.high)
         order = np.argsort(-(bound - least), kind="stable")
         rest_up = np.append(np.cumsum(bound[order][::-1])[::-1], 0)
         rest_low = np.append(np.cumsum(least[order][::-1])[::-1], 0)
-        spread = rest_up - rest_low
-        essential = int(np.searchsorted(-spread, -spread[0] / 2)) + 1
-        live = np.flatnonzero(self.ids != own)
-        if not len(live):
-            return []
-        score = query[order[:essential]] @ self.postings[order[:essential]]
-        score = score[live]
-        for t in range(essential, len(query)):
-            if len(live) > k:
-                kth = np.partition(score, len(score) - k)[len(score) - k] + rest_low[t]  # k vectors reach this at least
-                competitive = score + rest_up[t] >= kth
+        reach = rest_up + (rest_low[0] - rest_low)  # of a vector with the least in all essential terms
+        best_scores, best_ids, threshold = np.zeros(0, "int64"), np.zeros(0, "int64"), None
+        for start in range(0, len(self.ids), chunk):
+            live = np.flatnonzero(self.ids[start : start + chunk] != own) + start
+            essential = len(query) if threshold is None else int(np.argmax(np.append(reach < threshold, True)))
+            score = query[order[:essential]] @ self.postings[order[:essential]][:, live]
+            for t in range(essential, len(query)):
+                competitive = score + rest_up[t] >= threshold
                 if not competitive.all():
                     live, score = live[competitive], score[competitive]
-            score = score + query[order[t]] * self.postings[order[t]][live]
-        by = np.lexsort((self.ids[live], -score))[:k]
-        return [(int(score[i]), int(self.ids[live[i]])) for i in by]
+                    if not len(live):
+                        break
+                score = score + query[order[t]] * self.postings[order[t]][live]
+            best_scores, best_ids = np.concatenate([best_scores, score]), np.concatenate([best_ids, self.ids[live]])
+            by = np.lexsort((best_ids, -best_scores))[:k]
+            best_scores, best_ids = best_scores[by], best_ids[by]
+            if len(by) == k:
+                threshold = best_scores[-1]
+        return list(zip(best_scores.tolist(), best_ids.tolist(), strict=True))
 
 
 def top_k(df: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 8192, query_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "weights") -> DataFrame:
@@ -80,7 +84,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 8192
 
 def integer_weights(df: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id and weights: floor(scale * x) of every component as double; vectors that are null or hold null or
-    non-finite components are left out, as are null ids."""
+    non-finite components are left out, as are null ids.  Repeated rows give repeated rows; other columns are left out."""
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     finite = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite).select(id_col, F.transform(x, lambda v: F.floor(v * scale)).alias("weights"))

@@ -18,44 +18,60 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditflow.llm.shared import scratch_path, small_batches, written
+from creditflow.llm.shared import scratch_path, side, small_batches, written
 
 SKIPPABLE = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "file string, offset long, record_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def train_dictionary(pages: DataFrame, records: int = 1000, bytes_each: int = 16_384, size: int = 65_536) -> bytes:
-    """A dictionary from a bounded sample: about ``records`` pages, chosen by a hash of id and url at a rate from the count.
+def train_dictionary(rows: DataFrame, date: str = "2024-01-01T00:00:00Z", sample_bytes: int = 8 << 20, size: int = 65_536) -> bytes:
+    """A dictionary of at most ``size`` bytes from whole archived records of a bounded sample of ``classify``'s rows.
 
-    Only what helps compression depends on it.  With too few samples there is none (empty bytes).
+    About ``sample_bytes`` of records are drawn by a hash at a rate from the table's bytes; a record of over an
+    eighth of that is no sample, so the driver holds little whatever the input.  The size follows the sample.  Where
+    there is too little to train on, the sampled records themselves are the dictionary's content, so that every
+    archive has one; only compression depends on it.  Empty only for an empty table.
     """
     import zstandard
 
-    filled = pages.where("octet_length(html) > 0")
-    rate = int(min(1.0, records / max(filled.count(), 1)) * (1 << 30))
-    key = F.xxhash64("page_id", "url")
-    sample = filled.where(F.pmod(key, F.lit(1 << 30)) < rate).select(key.alias("key"), F.substring(F.col("html").cast("binary"), 1, bytes_each).alias("head"))
-    samples = [bytes(r["head"]) for r in sorted(sample.collect(), key=lambda r: (r["key"], r["head"]))]
-    if sum(map(len, samples)) < 8 * size or len(samples) < 64:
+    head = 500  # about what a record has beside its payload
+    total = rows.agg(F.sum(F.col("payload_bytes") + head)).first()[0]
+    if not total:
         return b""
-    return zstandard.train_dictionary(size, samples).as_bytes()
+    key = F.xxhash64("page_id", "url", "digest")
+    rate = int(min(1.0, sample_bytes / total) * (1 << 30))
+    rows = rows.withColumn("key", key).where(F.col("payload_bytes") <= sample_bytes // 8)
+    drawn = rows.where(F.pmod("key", F.lit(1 << 30)) <= rate).collect() or rows.orderBy("key").limit(1).collect()
+    drawn = sorted(drawn, key=lambda r: (r["key"], -1 if r["page_id"] is None else r["page_id"]))
+    samples = [record_bytes(r["page_id"], r["url"], r["html"], r["digest"], r["payload_bytes"], r["record_type"], r["refers_to"], date) for r in drawn]
+    size = max(1024, min(size, sum(map(len, samples)) // 8))
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:  # too few or too short samples
+        return b"".join(samples)[-size:] or b"WARC/1.1\r\nWARC-Type: response\r\n"
 
 
 def classify(pages: DataFrame, least_bytes: int) -> DataFrame:
     """The rows with payload_bytes, digest, record_type and refers_to.
 
     Of payloads that are equal and at least ``least_bytes`` long, the row with the largest page_id is the response.
+    Digests meet without the pages; pages are joined by id and digest with the revisits alone, so that neither
+    short pages nor a payload that many share make a hot key.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.withColumn("digest", F.sha1(body)).withColumn("payload_bytes", F.octet_length(body).cast("long"))
-    first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    first = written(first.where("copies > 1").select("digest", "first"), "payloads")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    joined = rows.join(first, "digest", "left")
-    return joined.select(
-        "page_id", "url", "html", "digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to")
-    )
+    rows = pages.select("page_id", "url", "html", F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
+    long = rows.where(F.col("payload_bytes") >= least_bytes)
+    first = long.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    first = written(first.select("digest", "first"), "payloads")
+    other = long.select("page_id", "digest").join(side(first), "digest").where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = side(written(other.select("page_id", "digest", "first").distinct(), "revisits")).alias("v")
+    same = (F.col("p.digest") == F.col("v.digest")) & F.col("p.page_id").eqNullSafe(F.col("v.page_id"))
+    columns = ["page_id", "url", "html", "digest", "payload_bytes"]
+    kind = F.when(F.col("v.digest").isNotNull(), "revisit").otherwise("response").alias("record_type")
+    found = long.alias("p").join(revisits, same, "left").select(*[F.col(f"p.{c}").alias(c) for c in columns], kind, F.col("v.first").alias("refers_to"))
+    short = rows.where(F.col("payload_bytes") < least_bytes).select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return found.unionByName(short)
 
 
 def _uri(page_id) -> str:
@@ -117,8 +133,8 @@ def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int =
     spark = pages.sparkSession
     small_batches(spark)
     path = path or scratch_path(spark, "warc")
-    pages = pages.select("page_id", "url", "html")
-    words = train_dictionary(pages) if dictionary is None else dictionary
+    rows = classify(pages.select(F.col("page_id").cast("long"), "url", "html"), least_bytes)
+    words = train_dictionary(rows, date) if dictionary is None else dictionary
     run = uuid.uuid4().hex[:8]
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +167,6 @@ def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int =
             close()
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
-    rows = classify(pages, least_bytes)
     return written(rows.mapInPandas(write, "path string, records long, bytes long"), "archives")
 
 

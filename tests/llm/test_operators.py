@@ -343,7 +343,7 @@ def test_warc_frames_stand_alone(spark, sf, tmp_path):
 
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     big = pages.union(pages.selectExpr("page_id + 10000", "url", "concat(html, page_id)"))
-    archives = warc.write_archives(big, path=f"file://{tmp_path}/w", dictionary=warc.train_dictionary(big, size=4096))
+    archives = warc.write_archives(big, path=f"file://{tmp_path}/w", dictionary=warc.train_dictionary(warc.classify(big, 1000), size=4096))
     path = archives.first()["path"].removeprefix("file://")
     raw = open(path, "rb").read()
     magic, n = struct.unpack("<II", raw[:8])
@@ -353,6 +353,97 @@ def test_warc_frames_stand_alone(spark, sf, tmp_path):
     assert zstandard.ZstdDecompressor(dict_data=words).decompressobj().decompress(raw[at:]).startswith(b"WARC/1.1\r\n")
 
 
+def test_warc_always_has_a_dictionary_of_records(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    assert len(warc.train_dictionary(warc.classify(pages, 1000))) > 4096
+    for few in (pages.limit(1), pages.limit(3), spark.createDataFrame([(1, None, None)], pages.schema)):
+        words = warc.train_dictionary(warc.classify(few, 1000))
+        assert words and (b"WARC" in words or len(words) >= 256)
+        back = warc.read_archives(spark, warc.write_archives(few)).collect()
+        assert Counter((r["record_id"], bytes(r["payload"])) for r in back) == Counter((r["page_id"], (r["html"] or "").encode()) for r in few.collect())
+    assert warc.train_dictionary(warc.classify(pages.limit(0), 1000)) == b""
+
+
+def test_orc_files_have_stripes_indexes_and_filters(spark, tmp_path):
+    from pathlib import Path
+
+    from pyarrow import orc
+
+    docs = spark.range(0, 24_000, 1, 4).selectExpr("id * 2 AS doc_id", "concat('word ', id, ' ', md5(string(id)), md5(string(id + 1)), md5(string(id + 2))) AS text")
+    path = f"file://{tmp_path}/o"
+    token_output.write_orc(docs, path, P.path("byte_bpe_50k.json"), P.PATTERN, stripe_bytes=1 << 18)
+    files = [orc.ORCFile(f) for f in Path(tmp_path, "o").glob("*.orc")]
+    assert sum(f.nrows for f in files) == 24_000 and all(f.nstripes > 1 and f.row_index_stride == 1000 and f.compression == "ZSTD" for f in files)
+    raw = Path(next(Path(tmp_path, "o").glob("*.orc"))).read_bytes()
+    assert len(raw) < 0.75 * 4 * sum(r["n_tokens"] for r in spark.read.orc(path).select("n_tokens").collect())  # run-length and compression
+    found = spark.read.schema(token_output.SCHEMA).orc(path).where("doc_id = 24002")
+    assert len(found.collect()) == 1
+
+    def scanned(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        while plan.children().size():
+            plan = plan.children().head()
+        return plan.metrics().get("numOutputRows").get().value()
+
+    assert scanned(found) <= 2000 and scanned(found.where("doc_id = 24002")) <= 2000
+    assert scanned(spark.read.schema(token_output.SCHEMA).orc(path).where("doc_id = 24003")) == 0  # between two ids: the Bloom filter
+
+
+def test_sharding_equals_a_ring_walked_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    shards, replicas, cells, seed = 5, 4, 64, 20240101
+    df = spark.range(400).selectExpr("id AS doc_id", "repeat('x', int(id % 7)) AS text")
+    for epsilon in (0.0, 0.3):
+        got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(df, shards=shards, replicas=replicas, cells=cells, epsilon=epsilon).collect()}
+        at = {r["id"]: r["at"] for r in spark.range(400).select("id", F.xxhash64(F.lit(seed), "id").alias("at")).collect()}
+        spots = spark.range(shards * replicas).select((F.col("id") % shards).alias("s"), F.pmod(F.xxhash64(F.lit(seed), F.col("id") % shards, F.floor(F.col("id") / shards)), F.lit(cells)).alias("c"))
+        nodes = [(r["s"], r["c"]) for r in spots.collect()]
+        ties = spark.range(cells * shards).select((F.col("id") % shards).cast("int").alias("s"), F.floor(F.col("id") / shards).cast("int").alias("g"))
+        tie = {(r["s"], r["g"]): r["t"] for r in ties.select("s", "g", F.xxhash64(F.lit(seed), "s", "g").alias("t")).collect()}
+        turns = [r["c"] for r in spark.range(cells).select(F.col("id").cast("int").alias("c")).orderBy(F.xxhash64(F.lit(seed), "c")).collect()]
+        room = [int((1 + epsilon) * 400 / shards)] * shards
+        want = {}
+        for cell in turns:
+            gaps = sorted((g, tie[s, g], s) for s in range(shards) for g in [min((c - cell) % cells for x, c in nodes if x == s)])
+            for i in sorted((i for i in at if at[i] % cells == cell), key=lambda i: at[i]):
+                want[i] = next(s for _, _, s in gaps if room[s])
+                room[want[i]] -= 1
+        assert got == want
+
+
+def test_language_model_equals_plain_kneser_ney(spark):
+    import pandas as pd
+
+    words = {"x": ["the", "then", "other", "tea", "tea", "ate", "heat"], "y": ["der", "die", "das", "tee", "erde", "rede"]}
+    order, n = 4, Counter()
+    for lang, ws in words.items():
+        for w in ws:
+            s = language_id.START * (order - 1) + w + language_id.END
+            n.update((lang, s[i : i + order]) for i in range(len(w) + 1))
+    model = language_id.build(pd.DataFrame([(*k, v) for k, v in n.items()], columns=["lang", "gram", "n"]), order)
+    counts = {order: n}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter((lang, g[1:]) for lang, g in counts[k + 1])
+    characters = len({g for _, g in counts[1]}) + 1
+
+    def p(lang, gram):
+        if not gram:
+            return 1 / characters
+        own = {g: c for (x, g), c in counts[len(gram)].items() if x == lang}
+        ones, twos = (sum(c == i for c in own.values()) for i in (1, 2))
+        d = min(0.9, max(0.1, ones / (ones + 2 * twos) if ones + twos else 0.5))
+        after = {g: c for g, c in own.items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(lang, gram[1:])
+        return (max(after.get(gram, 0) - d, 0) + d * len(after) * p(lang, gram[1:])) / sum(after.values())
+
+    for gram in ["\x02the", "them", "tea\x03", "\x02\x02de", "zzzz", "erde", "eede", "ther"]:
+        got = model.characters(language_id._codes(gram), np.array([order - 1]), order)[0]
+        assert np.allclose(np.exp(got), [p(lang, gram) for lang in model.languages], rtol=1e-4), gram
+
+
 def test_language_id(spark, docs, odd):
     fold = language_id.fold(docs["doc_id"])
     model = language_id.train(docs.where(fold != 1))
