@@ -67,9 +67,9 @@ class ByteBPE:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
         self.cut = regex.compile(pattern).findall
         self.whole = {t: struct.pack("<I", i) for i, t in enumerate(self.tokens)}
-        self.pieces = Memo(self._merge, 100_000)
-        self.chunks = Memo(self._join, 50_000)
-        self.spaced = Memo(lambda words: self._join([spaced_chunk(w) for w in words]), 200_000)
+        self.pieces = Memo(self._merge, 60_000)
+        self.chunks = Memo(self._join, 20_000)
+        self.spaced = Memo(lambda words: self._join([spaced_chunk(w) for w in words]), 100_000)
 
     def _merge(self, pieces: list[str]) -> list[bytes]:
         """A pre-token that is a token is that token; others are merged by the model."""

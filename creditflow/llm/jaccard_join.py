@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditflow.llm.components import components
-from creditflow.llm.memo import Memo, resident
 from creditflow.llm.shared import BROADCAST_ROWS, side, small_batches, written
 
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -35,10 +34,9 @@ SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
+    from xxhash import xxh3_64_intdigest
 
-    memo = resident("word hashes", lambda: Memo(lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws], 200_000))
-    return np.array(memo.values(words), "uint64")
+    return np.fromiter(map(xxh3_64_intdigest, words), "uint64", len(words))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

@@ -150,7 +150,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.memo = Memo(self._pieces, 150_000)
+        self.memo = Memo(self._pieces, 120_000)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         words = [letter_words(p) for p in pieces]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterable
 
@@ -46,5 +47,7 @@ def resident(key: str, make: Callable[[], object]):
     if key not in _resident:
         _resident.clear()
         gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it, hand free pages back
+            trim(0)
         _resident[key] = make()
     return _resident[key]

@@ -49,7 +49,7 @@ def side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bound Arrow batches by bytes, so that a batch of very long texts fits a Python worker.
 
     The bound is a setting of the session, read when a result is computed, so it stays set.
