@@ -302,6 +302,6 @@ def keep_first(
     they are called.
     """
     found = _components(df, width, percent, id_col, text_col, extra, fragment_bits, head_rounds)
-    gone = written(found.where("doc_id <> component_id").select("doc_id", "key").distinct(), "gone").alias("gone")
+    gone = side(written(found.where("doc_id <> component_id").select("doc_id", "key").distinct(), "gone")).alias("gone")
     key = F.xxhash64(F.coalesce(F.col(f"rows.{text_col}"), F.lit("")))
     return df.alias("rows").join(gone, (F.col(f"rows.{id_col}").cast("long") == F.col("gone.doc_id")) & (key == F.col("gone.key")), "left_anti")
