@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from creditflow.llm import byte_bpe, jaccard_join, language_id, mixing
-from creditflow.llm.shared import named, written
+from creditflow.llm.shared import named, side, written
 
 
 def whole_row(docs: DataFrame) -> Column:
@@ -42,12 +42,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are matched by id, source and size, null ids and sources too.  Where rows that are equal in those are
     taken unequally, the order of their texts' hashes says which are taken once more, so words stay the mix's.
     """
-    keys = ["doc_id", "source", "size"]
+    keys = ["doc_id", "origin", "size"]
     times = (F.col("taken") / F.col("size")).cast("int")
-    mixed = mixing.mix(docs, with_source=True).where("size > 0").groupBy(*keys).agg(F.min(times).alias("times"), (F.sum(times) - F.count(F.lit(1)) * F.min(times)).alias("more"))
-    mixed = written(mixed.where("times > 0 OR more > 0"), "mixed").alias("m")
+    mixed = mixing.mix(docs, with_source=True).where("size > 0").withColumn("origin", F.xxhash64("source")).groupBy(*keys).agg(F.min(times).alias("times"), (F.sum(times) - F.count(F.lit(1)) * F.min(times)).alias("more"))
+    mixed = side(written(mixed.where("times > 0 OR more > 0"), "mixed")).alias("m")  # longs alone, broadcast while they are few
     sized = docs.select(whole_row(docs), mixing.words("text").alias("words")).alias("d")
-    same = F.col("row.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("row.source").eqNullSafe(F.col("m.source")) & (F.col("words") == F.col("m.size"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64("row.source") == F.col("m.origin")) & (F.col("words") == F.col("m.size"))
     even = sized.join(mixed.where("more = 0"), same).select("row", "times")
     # Only groups at the place where a source's last epoch ends: few rows, unless very many are alike.
     turn = Window.partitionBy("row.doc_id", "row.source", "words").orderBy(F.xxhash64("row.text"), "row.text")
