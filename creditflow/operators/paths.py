@@ -46,34 +46,41 @@ def conversion_paths(cycles: DataFrame, sessions: DataFrame, s: Settings, strict
 def order_coverage(cycles: DataFrame, sessions: DataFrame, strict: DataFrame, revised: DataFrame, s: Settings) -> DataFrame:
     """Per order how many of the user's sessions pass each condition, and whether a path covers it.
 
-    Conditions are counted while the join streams; the count per order is a partial aggregate.
+    Sessions of all time are counted by a running window over both; the other conditions hold inside the lookback
+    only, so orders meet sessions by user and stretch of time, and a user of many years makes no more pairs.
     """
-    o, t = cycles.select("order_key", "user_pseudo_id", "order_ts", "previous_order_ts", "conversion_session_key").alias("o"), sessions.alias("t")
-    start, c = F.col("session_start_ts"), F.col
-    before = start <= c("order_ts")
-    recent = before & (start >= c("order_ts") - days(s.lookback_days))
-    standard = recent & (c("previous_order_ts").isNull() | (start > c("previous_order_ts")))
+    c, days_back = F.col, s.lookback_days
+    o = cycles.select("order_key", "user_pseudo_id", "order_ts", "previous_order_ts", "conversion_session_key")
+    start = c("session_start_ts")
+    both = o.select("order_key", "user_pseudo_id", c("order_ts").alias("at"), F.lit(0).alias("session")).unionByName(
+        sessions.where(c("user_pseudo_id").isNotNull()).select(F.lit(None).cast(o.schema["order_key"].dataType).alias("order_key"), "user_pseudo_id", start.alias("at"), F.lit(1).alias("session"))
+    )
+    user = Window.partitionBy("user_pseudo_id")
+    so_far = F.sum(F.when(c("at").isNotNull(), c("session")).otherwise(0)).over(user.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ever = both.withColumns({"all_user_session_count": F.sum("session").over(user), "session_on_or_before_order_count": so_far}).where(c("order_key").isNotNull())
+    ever = ever.select("order_key", "all_user_session_count", "session_on_or_before_order_count")
+    stretch = lambda ts: F.floor(F.datediff(F.to_date(ts), F.lit("1970-01-01")) / days_back)
+    near = o.withColumn("stretch", F.explode(F.array(stretch("order_ts") - 1, stretch("order_ts"))))
+    met = near.join(sessions.withColumn("stretch", stretch(start)), ["user_pseudo_id", "stretch"])
+    met = met.where((start <= c("order_ts")) & (start >= c("order_ts") - days(days_back)))
+    standard = c("previous_order_ts").isNull() | (start > c("previous_order_ts"))
     own = c("session_key") == c("conversion_session_key")
-    revised_ok = recent & (c("previous_order_ts").isNull() | (start > c("previous_order_ts")) | own)
+    revised_ok = standard | own
     good = c("is_attribution_eligible") & ~c("is_internal_admin_traffic") & (c("channel") != "Internal/Admin")
     admin = c("is_internal_admin_traffic")
-    counts = (
-        o.join(t, "user_pseudo_id", "left")
-        .groupBy("order_key")
-        .agg(
-            F.count("session_key").alias("all_user_session_count"),
-            F.count_if(before).alias("session_on_or_before_order_count"),
-            F.count_if(recent).alias("session_within_lookback_count"),
-            F.count_if(standard).alias("strict_pre_internal_exclusion_session_count"),
-            F.count_if(standard & (F.coalesce("resolved_source_host", F.lit("")) != s.admin_hosts[0])).alias("historical_baseline_touchpoint_count"),
-            F.count_if(standard & admin).alias("strict_internal_admin_session_count"),
-            F.count_if(standard & good).alias("strict_attribution_eligible_session_count"),
-            F.count_if(revised_ok).alias("revised_pre_internal_exclusion_session_count"),
-            F.count_if(revised_ok & admin).alias("revised_internal_admin_session_count"),
-            F.count_if(revised_ok & good).alias("revised_attribution_eligible_session_count"),
-            F.count_if(c("previous_order_ts").isNotNull() & (start <= c("previous_order_ts")) & recent & own).alias("current_conversion_session_exception_candidate_count"),
-        )
+    recent = met.groupBy("order_key").agg(
+        F.count(F.lit(1)).alias("session_within_lookback_count"),
+        F.count_if(standard).alias("strict_pre_internal_exclusion_session_count"),
+        F.count_if(standard & (F.coalesce("resolved_source_host", F.lit("")) != s.admin_hosts[0])).alias("historical_baseline_touchpoint_count"),
+        F.count_if(standard & admin).alias("strict_internal_admin_session_count"),
+        F.count_if(standard & good).alias("strict_attribution_eligible_session_count"),
+        F.count_if(revised_ok).alias("revised_pre_internal_exclusion_session_count"),
+        F.count_if(revised_ok & admin).alias("revised_internal_admin_session_count"),
+        F.count_if(revised_ok & good).alias("revised_attribution_eligible_session_count"),
+        F.count_if(c("previous_order_ts").isNotNull() & (start <= c("previous_order_ts")) & own).alias("current_conversion_session_exception_candidate_count"),
     )
+    counted = [x for x in recent.columns if x != "order_key"]
+    counts = ever.join(recent, "order_key", "left").fillna(0, counted)
     size = lambda paths, name: paths.groupBy("order_key").agg(F.count(F.lit(1)).alias(name))
     rows = (
         cycles.join(counts, "order_key")

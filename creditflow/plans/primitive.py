@@ -11,7 +11,7 @@ from creditflow.operators.sensitivity import ordinal_rank, tied_channels
 from creditflow.operators.sessions import EMAIL_MEDIUM
 from creditflow.plans.registry import of_tables
 from creditflow.settings import DEFAULT
-from creditflow.sources import readers
+from creditflow.sources import readers, writers
 from creditflow.sources.readers import table as t
 
 c = F.col
@@ -37,13 +37,84 @@ _HOST = "nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?(
 
 # Sources
 of_tables("src_shard_scan", lambda s, d: readers.shards(_events(s, d).withColumn("event_date", F.date_format("ts", "yyyyMMdd")), "20240105", "20240110").groupBy("event_date").agg(F.count("*").alias("events")), "SELECT strftime(ts, '%Y%m%d') AS event_date, count(*) AS events FROM events WHERE strftime(ts, '%Y%m%d') BETWEEN '20240105' AND '20240110' GROUP BY 1")
-of_tables("src_chunked_ingest", lambda s, d: _events(s, d).where("ts < '2024-01-16'").unionByName(_events(s, d).where("ts >= '2024-01-16'")).agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids")), "SELECT count(*) AS events, count(DISTINCT event_id) AS ids FROM events")
 of_tables("src_table", lambda s, d: t(s, d, "nation").select("n_nationkey", "n_name"), "SELECT n_nationkey, n_name FROM nation")
-of_tables("src_catalog_fields", lambda s, d: readers.catalog_fields(s, {n: t(s, d, n) for n in ("nation", "events", "embeddings")}))
-of_tables("src_table_exists", lambda s, d: readers.snapshot(t(s, d, "region")).select("rows"), "SELECT count(*) AS rows FROM region")
 of_tables("src_literal_rows", lambda s, d: readers.literal(s, [("a", 1), ("b", 2)], "name string, n int"), "SELECT * FROM (VALUES ('a', 1), ('b', 2)) AS v(name, n)")
 of_tables("src_date_spine", lambda s, d: readers.date_spine(s, "2023-11-01", "2024-01-31"), "SELECT CAST(unnest(generate_series(DATE '2023-11-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS date")
-of_tables("src_connection_probe", lambda s, d: s.createDataFrame([(readers.probe(t(s, d, "events")),)], "ok boolean"), "SELECT TRUE AS ok")
+
+NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+_LISTED = ", ".join(f"'{n}'" for n in NAMES)
+of_tables(
+    "src_catalog_fields",
+    lambda s, d: readers.catalog_fields(s, {n: t(s, d, n) for n in NAMES}),
+    f"""SELECT table_name, column_name AS field_path, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+    WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' ELSE lower(data_type) END AS data_type
+    FROM information_schema.columns WHERE table_name IN ({_LISTED})""",
+)
+of_tables(
+    "src_table_exists",
+    lambda s, d: readers.literal(s, [(n, readers.exists(s, f"{d}/{n}.parquet")) for n in (*NAMES, "no_such_table")], "table_name string, present boolean"),
+    f"""SELECT n AS table_name, EXISTS (SELECT 1 FROM information_schema.tables WHERE table_name = n) AS present
+    FROM (SELECT unnest([{_LISTED}, 'no_such_table']) AS n)""",
+)
+of_tables(
+    "src_connection_probe",
+    lambda s, d: readers.literal(s, [(n, readers.probe(s, f"{d}/{n}.parquet")) for n in ("events", "no_such_table")], "table_name string, ok boolean"),
+    "SELECT n AS table_name, EXISTS (SELECT 1 FROM information_schema.tables WHERE table_name = n) AS ok FROM (SELECT unnest(['events', 'no_such_table']) AS n)",
+)
+
+
+# Sinks, each read back
+def _chunked_ingest(s: SparkSession, d: str) -> DataFrame:
+    path, events = writers.scratch(s, "ingest"), _events(s, d)
+    writers.save_chunks([events.where("ts < '2024-01-11'"), events.where("ts >= '2024-01-11' AND ts < '2024-01-21'"), events.where("ts >= '2024-01-21'")], path)
+    return s.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
+
+
+def _saved_table(s: SparkSession, d: str) -> DataFrame:
+    path, nation = writers.scratch(s, "table"), t(s, d, "nation")
+    writers.save(nation.where("n_regionkey = 0"), path)  # replaced by the next
+    writers.save(nation.where("n_regionkey <= 2"), path, "overwrite", cluster=["n_regionkey", "n_nationkey"])
+    writers.save(nation.where("n_regionkey > 2"), path, "append", cluster=["n_regionkey", "n_nationkey"])
+    return s.read.parquet(path)
+
+
+def _saved_rows(s: SparkSession, d: str) -> DataFrame:
+    path = writers.scratch(s, "rows")
+    writers.save_rows(s, [("a", 1, None), ("b", None, 2.5), (None, 3, 0.0)], "name string, n long, share double", path)
+    return s.read.parquet(path)
+
+
+def _csv_out(s: SparkSession, d: str) -> DataFrame:
+    path = writers.scratch(s, "csv")
+    rows = t(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.struct("o_custkey", "o_orderstatus").alias("who"), F.when(c("o_orderpriority") != "5-LOW", c("o_orderpriority")).alias("priority"))
+    writers.save_csv(rows, path, ["o_orderkey"])
+    return readers.read_csv(s, path)
+
+
+def _csv_in(s: SparkSession, d: str) -> DataFrame:
+    path = writers.scratch(s, "csv")
+    writers.save_csv(t(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), path, ["c_custkey"])
+    return readers.read_csv(s, path)
+
+
+def _json_out(s: SparkSession, d: str) -> DataFrame:
+    path = writers.scratch(s, "json")
+    rows = t(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.max("o_orderkey").alias("last"))
+    writers.save_json(rows, path)
+    return s.read.schema("o_orderstatus string, orders long, last long").json(path)
+
+
+of_tables("src_chunked_ingest", _chunked_ingest, "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
+of_tables("snk_table", _saved_table, "SELECT * FROM nation")
+of_tables("snk_rows_schema", _saved_rows, "SELECT * FROM (VALUES ('a', CAST(1 AS BIGINT), CAST(NULL AS DOUBLE)), ('b', NULL, 2.5), (NULL, 3, 0.0)) AS v(name, n, share)")
+of_tables(
+    "snk_csv",
+    _csv_out,
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day,
+    '{"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS who, nullif(o_orderpriority, '5-LOW') AS priority FROM orders""",
+)
+of_tables("src_csv", _csv_in, "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+of_tables("snk_metadata_json", _json_out, "SELECT o_orderstatus, count(*) AS orders, max(o_orderkey) AS last FROM orders GROUP BY 1")
 
 # Projections, filters, predicates
 of_tables("prj_columns", lambda s, d: t(s, d, "region").select(c("r_regionkey").alias("key"), c("r_name").alias("name")), "SELECT r_regionkey AS key, r_name AS name FROM region")
@@ -60,7 +131,15 @@ of_tables("prd_bool_col", lambda s, d: t(s, d, "supplier").select("s_suppkey", (
 # Joins
 of_tables("join_inner_using", lambda s, d: t(s, d, "nation").join(t(s, d, "region"), c("n_regionkey") == c("r_regionkey")).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 of_tables("join_left", lambda s, d: t(s, d, "customer").join(t(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")), c("c_custkey") == c("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders")), "SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
-of_tables("join_full_outer", lambda s, d: t(s, d, "customer").where("c_custkey % 3 <> 0").groupBy(c("c_nationkey").alias("k")).agg(F.count("*").alias("a")).join(t(s, d, "supplier").where("s_suppkey % 2 = 0").groupBy(c("s_nationkey").alias("k")).agg(F.count("*").alias("b")), "k", "full"), "SELECT coalesce(x.k, y.k) AS k, a, b FROM (SELECT c_nationkey AS k, count(*) AS a FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1) x FULL JOIN (SELECT s_nationkey AS k, count(*) AS b FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1) y ON x.k = y.k")
+of_tables(
+    "join_full_outer",
+    lambda s, d: t(s, d, "orders")
+    .groupBy(c("o_orderdate").alias("k"))
+    .agg(F.count("*").alias("a"))
+    .join(t(s, d, L).groupBy(c("l_shipdate").alias("k")).agg(F.count("*").alias("b")), "k", "full"),
+    """SELECT coalesce(x.k, y.k) AS k, a, b FROM (SELECT o_orderdate AS k, count(*) AS a FROM orders GROUP BY 1) x
+    FULL JOIN (SELECT l_shipdate AS k, count(*) AS b FROM lineitem GROUP BY 1) y ON x.k = y.k""",
+)
 of_tables("join_cross", lambda s, d: t(s, d, "region").crossJoin(F.broadcast(t(s, d, "nation").agg(F.count("*").alias("nations")))).select("r_name", "nations"), "SELECT r_name, nations FROM region CROSS JOIN (SELECT count(*) AS nations FROM nation)")
 of_tables(
     "join_range_equi",
@@ -79,7 +158,7 @@ L = "lineitem"
 of_tables("agg_count", lambda s, d: t(s, d, L).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count("l_tax").alias("m")), "SELECT l_returnflag, count(*) AS n, count(l_tax) AS m FROM lineitem GROUP BY 1")
 of_tables("agg_count_distinct", lambda s, d: t(s, d, L).groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct(F.when(c("l_quantity") > 25, c("l_partkey"))).alias("large_parts")), "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT CASE WHEN l_quantity > 25 THEN l_partkey END) AS large_parts FROM lineitem GROUP BY 1")
 of_tables("agg_countif", lambda s, d: t(s, d, L).groupBy("l_linestatus").agg(F.count_if(c("l_discount") > 0.05).alias("n")), "SELECT l_linestatus, count(*) FILTER (l_discount > 0.05) AS n FROM lineitem GROUP BY 1")
-of_tables("agg_sum_conditional", lambda s, d: t(s, d, L).groupBy("l_linestatus").agg(F.round(F.sum(F.when(c("l_quantity") > 60, c("l_tax")).otherwise(0.0)), 4).alias("zero"), F.sum(F.when(c("l_quantity") > 60, c("l_tax"))).alias("none")), "SELECT l_linestatus, round(sum(CASE WHEN l_quantity > 60 THEN l_tax ELSE 0 END), 4) AS zero, sum(CASE WHEN l_quantity > 60 THEN l_tax END) AS none FROM lineitem GROUP BY 1")
+of_tables("agg_sum_conditional", lambda s, d: t(s, d, L).groupBy("l_linestatus").agg(F.round(F.sum(F.when(c("l_quantity") > 45, c("l_tax")).otherwise(0.0)), 4).alias("high"), F.round(F.sum(F.when(c("l_quantity") > 90, c("l_tax"))), 4).alias("none")), "SELECT l_linestatus, round(sum(CASE WHEN l_quantity > 45 THEN l_tax ELSE 0 END), 4) AS high, sum(CASE WHEN l_quantity > 90 THEN l_tax END) AS none FROM lineitem GROUP BY 1")
 of_tables("agg_min_max_avg", lambda s, d: t(s, d, L).groupBy("l_returnflag").agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"), F.round(F.avg("l_linenumber"), 6).alias("mean")), "SELECT l_returnflag, min(l_shipdate) AS first, max(l_shipdate) AS last, round(avg(l_linenumber), 6) AS mean FROM lineitem GROUP BY 1")
 of_tables("agg_any_value", lambda s, d: t(s, d, "nation").join(t(s, d, "region"), c("n_regionkey") == c("r_regionkey")).groupBy("n_regionkey").agg(F.max("r_name").alias("name")), "SELECT n_regionkey, any_value(r_name) AS name FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 of_tables("agg_logical_or", lambda s, d: t(s, d, "orders").groupBy("o_orderpriority").agg(F.bool_or(c("o_totalprice") > 450000).alias("has_large"), F.bool_or(F.when(c("o_totalprice") < 0, True)).alias("none")), "SELECT o_orderpriority, bool_or(o_totalprice > 450000) AS has_large, bool_or(CASE WHEN o_totalprice < 0 THEN TRUE END) AS none FROM orders GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,15 +45,26 @@ def catalog_fields(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFra
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text, under the header's names."""
-    return spark.read.option("header", True).csv(path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
-def probe(df: DataFrame) -> bool:
-    """Whether a table can be read: at most one row is."""
-    return len(df.limit(1).collect()) <= 1
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at the path; its schema alone is read."""
+    try:
+        spark.read.parquet(path).schema  # noqa: B018
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
+def probe(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there and can be read: at most one row is."""
+    return exists(spark, path) and len(spark.read.parquet(path).limit(1).collect()) <= 1
 
 
 def snapshot(df: DataFrame) -> DataFrame:
-    """One row: rows, schema and a fingerprint that no order of rows changes."""
-    rows = F.struct(*[F.col(c) for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(F.to_json(rows))).alias("fingerprint")).withColumn("schema", F.lit(df.schema.simpleString()))
+    """One row: rows, schema and a fingerprint that no order of rows changes, repeated rows included."""
+    h = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).alias("fingerprint")).withColumn("schema", F.lit(df.schema.simpleString()))

@@ -61,10 +61,10 @@ def web_events(events: DataFrame) -> DataFrame:
         ),
         lambda p: p.isNotNull(),
     )
-    raw = rows.select(
+    return rows.select(
         "event_id",
         F.date_format("ts", "yyyyMMdd").alias("event_date"),
-        F.col("ts").alias("event_ts"),
+        F.explode(F.when(is_purchase & (F.col("event_id") % 50 == 0), F.array("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND"))).otherwise(F.array("ts"))).alias("event_ts"),
         name[F.col("event_type")].alias("event_name"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_pseudo_id"),
         params.alias("event_params"),
@@ -75,5 +75,3 @@ def web_events(events: DataFrame) -> DataFrame:
         ).alias("traffic_source"),
         F.struct(F.when(is_purchase, bought).alias("transaction_id"), F.when(is_purchase, F.col("value")).alias("purchase_revenue"), F.when(is_purchase, F.col("value")).alias("purchase_revenue_in_usd")).alias("ecommerce"),
     )
-    again = raw.where((F.col("event_name") == "purchase") & (F.col("event_id") % 50 == 0)).withColumn("event_ts", F.col("event_ts") + F.expr("INTERVAL 1 SECOND"))
-    return raw.unionByName(again)

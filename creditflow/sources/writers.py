@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +34,24 @@ def save_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType | str
 
 
 def csv_ready(df: DataFrame) -> DataFrame:
-    """Nulls as nothing, dates in ISO form, nested values as JSON."""
+    """Nulls as nothing, dates in ISO form, nested values as JSON; quotes inside a value are doubled."""
     nested = (T.ArrayType, T.StructType, T.MapType)
     return df.select(*[F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema.fields])
 
 
 def save_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    csv_ready(df).orderBy(*order).write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    csv_ready(df).orderBy(*order).write.option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def save_json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below spark.checkpoint.dir, which a cluster's machines share; a local one on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

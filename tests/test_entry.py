@@ -14,7 +14,7 @@ CORE = (
     "model_comparison", "markov_journeys", "markov_matrix", "markov_effects", "rule_markov_comparison", "sens_lookback", "sens_null14", "rank_stability", "channel_funnel", "journey_summary",
     "aud_closeout", "aud_session_reuse", "aud_admin_impact", "aud_purchase_quality", "aud_traffic_values", "aud_reprocess_summary",
 )
-PRIMITIVE = [n for n in registry.SQL if n.split("_")[0] in ("src", "prj", "flt", "prd", "join", "agg", "win", "srt", "lmt", "topk", "set", "arr", "struct", "str", "url", "hash", "json", "dt", "math", "cond", "cast", "sub")]
+PRIMITIVE = [n for n in registry.SQL if n.split("_")[0] in ("src", "snk", "prj", "flt", "prd", "join", "agg", "win", "srt", "lmt", "topk", "set", "arr", "struct", "str", "url", "hash", "json", "dt", "math", "cond", "cast", "sub")]
 
 
 def normal(row):
