@@ -54,7 +54,7 @@ class WordEncoder:
         self.merge = self.tokenizer.model.tokenize
         self.pieces = Memo(self._pieces, 300_000)
         self.chunks = Memo(self._join)
-        self.spaced = Memo(lambda words: self._join([spaced_chunk(w) for w in words]), 350_000)
+        self.spaced = Memo(lambda words: self._join([spaced_chunk(w) for w in words]), 450_000)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
