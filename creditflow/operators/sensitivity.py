@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditflow.functions.columns import compress_path, divide, omit_direct
@@ -14,6 +15,8 @@ from creditflow.operators.attribution import model_weights
 from creditflow.operators.markov import Chain, edges, full_paths, normalised, removal_effects
 from creditflow.settings import CONVERSION, NULL, START, Settings
 
+BOOTSTRAP_SEED = 20_240_101
+
 
 def lookback_touchpoints(paths: DataFrame, s: Settings) -> DataFrame:
     """Touchpoints inside each scenario's lookback, by cohort view and renumbered.
@@ -138,28 +141,36 @@ def user_edges(paths: DataFrame) -> DataFrame:
     return edges(paths, ("user_pseudo_id",))
 
 
-def _poisson(uniform, most: int = 10):
-    """Poisson(1) by inversion: how often a unit is drawn when each draw takes every unit with equal chance."""
-    out, p, total = F.lit(0), float(np.exp(-1.0)), float(np.exp(-1.0))
-    for k in range(1, most + 1):
-        out = out + F.when(uniform >= total, 1).otherwise(0)
+def poisson_steps(bits: int = 32) -> list[int]:
+    """Where a uniform integer of so many bits must lie for a Poisson(1) count of at least 1, 2, ... (by inversion)."""
+    steps, p, total, k = [], math.exp(-1.0), math.exp(-1.0), 0
+    while (step := math.ceil(total * 2**bits)) < 2**bits:
+        steps.append(step)
+        k += 1
         p /= k
         total += p
-    return out
+    return steps
+
+
+def draw_weight(seed: int, replicate: Column, user: Column) -> Column:
+    """How often a replicate draws a user: Poisson(1) from the first 32 bits of an MD5."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), user))
+    uniform = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.size(F.filter(F.array(*[F.lit(x) for x in poisson_steps()]), lambda x: x <= uniform))
 
 
-def bootstrap(paths: DataFrame, replicates: int = 500, seed: int = 20_240_101, per_task: int = 25) -> DataFrame:
+def bootstrap(paths: DataFrame, replicates: int = 500, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """Replicates over user clusters: replicate, channel, effect, share, rank, reason (of a failure).
 
     A user's weight in a replicate is Poisson(1) from a hash of user, replicate and seed: the limit of drawing as many
-    users as there are with replacement.  No list of users is needed anywhere, so edges are summed per replicate as a
-    partial aggregate and only replicates x edges rows are shuffled.  Channels that a replicate lacks have effect 0.
+    users as there are with replacement.  No list of users is needed anywhere: a user's edges (states squared at most)
+    are one row, weighed once per replicate, and summed per replicate as a partial aggregate, so only replicates x
+    edges rows are shuffled.  Channels that a replicate lacks have effect 0.
     """
-    e = user_edges(paths)
-    rows = e.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    uniform = F.pmod(F.xxhash64(F.lit(seed), "replicate", "user_pseudo_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    summed = rows.withColumn("n", F.col("n") * _poisson(uniform)).groupBy("replicate", "src", "dst").agg(F.sum("n").alias("n"))
-    summed = summed.where("n > 0 OR src <> ''")
+    users = user_edges(paths).groupBy("user_pseudo_id").agg(F.collect_list(F.struct("src", "dst", "n")).alias("edges"))
+    drawn = users.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = drawn.select("replicate", draw_weight(seed, F.col("replicate"), F.col("user_pseudo_id")).alias("weight"), F.explode("edges").alias("e"))
+    summed = drawn.groupBy("replicate", "e.src", "e.dst").agg(F.sum(F.col("e.n") * F.col("weight")).alias("n"))
     columns = ["replicate", "channel", "removal_effect", "attribution_share", "channel_rank", "reason"]
 
     def solve(key: tuple, drawn: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +181,7 @@ def bootstrap(paths: DataFrame, replicates: int = 500, seed: int = 20_240_101, p
             shares = normalised(effects)
         except (ValueError, np.linalg.LinAlgError) as why:
             return pd.DataFrame([(*key, None, None, None, None, str(why))], columns=columns)
-        ranks = {c: i + 1 for i, c in enumerate(sorted(channels, key=lambda c: (-shares[c], c)))}
+        ranks = {c: i + 1 for i, c in enumerate(sorted(channels, key=lambda c: (-round(shares[c], 9), c)))}
         return pd.DataFrame([(*key, c, effects[c], shares[c], ranks[c], None) for c in channels], columns=columns)
 
     return summed.groupBy("replicate").applyInPandas(solve, "replicate int, channel string, removal_effect double, attribution_share double, channel_rank long, reason string")

@@ -78,3 +78,26 @@ def core_checks(base: DataFrame, orders: DataFrame, sessions: DataFrame, strict:
         Check("censored_not_included", journeys.where("journey_status = 'Right Censored' AND is_markov_included")),
         Check("no_outcome_inside_paths", journeys.where(F.exists("channel_path", lambda x: x.isin("Start", "Conversion", "Null")))),
     ]
+
+
+def model_checks(matrix: DataFrame, effects: DataFrame, scenarios: DataFrame, funnel: DataFrame, revised: DataFrame, coverage: DataFrame, results: DataFrame, s: Settings) -> list[Check]:
+    """What must hold of chains, scenarios, the funnel and the windows, whatever the data."""
+    direct = F.col("channel") == "Direct"
+    last = results.where("model = 'Last Non-direct Click'").select("order_key", direct.alias("credits_direct"))
+    all_direct = revised.groupBy("order_key").agg(F.bool_and(direct).alias("all_direct"))
+    ranks = scenarios.groupBy("scenario").agg(F.min("channel_rank").alias("low"), F.max("channel_rank").alias("high"), F.count_distinct("channel_rank").alias("ranks"), F.count(F.lit(1)).alias("n"), F.sum("attribution_share").alias("shares"))
+    rates = [c for c in funnel.columns if c.endswith("_rate")]
+    return [
+        Check("matrix_rows_sum_to_one", matrix.groupBy("src").agg(F.sum("probability").alias("p")).where("abs(p - 1) > 1e-9")),
+        Check("absorbing_states_stay", matrix.where("is_absorbing AND src = dst AND probability <> 1")),
+        Check("effects_are_shares", effects.where("removal_effect < 0 OR removal_effect > 1")),
+        Check("removal_never_helps", effects.where("probability_without > base_probability + 1e-9")),
+        Check("scenario_shares_sum_to_one", ranks.where("abs(shares - 1) > 1e-9")),
+        Check("scenario_ranks_are_permutations", ranks.where("low <> 1 OR high <> n OR ranks <> n")),
+        Check("direct_only_as_fallback", last.join(all_direct, "order_key").where("credits_direct <> all_direct")),
+        Check("touchpoints_in_lookback", revised.where(F.col("seconds_before_conversion") > s.lookback_days * 86_400)),
+        Check("wider_windows_hold_more", coverage.where("all_user_session_count < session_on_or_before_order_count OR session_on_or_before_order_count < session_within_lookback_count")),
+        Check("revised_covers_strict", coverage.where("conversion_touchpoint_count < strict_conversion_touchpoint_count")),
+        Check("funnel_channels_unique", duplicates(funnel, "channel")),
+        Check("funnel_rates_in_range", funnel.where("sessions <= 0 OR " + " OR ".join(f"{r} IS NULL OR {r} < 0 OR {r} > 1" for r in rates))),
+    ]

@@ -122,8 +122,8 @@ _STABLE = """(WITH j AS (SELECT r.scenario, r.channel, r.attribution_share, b.at
     sum(CASE WHEN cr <= 3 AND br <= 3 THEN 1 ELSE 0 END) OVER w AS top_3_overlap, max(abs(rank_shift)) OVER w AS maximum_rank_shift FROM j WINDOW w AS (PARTITION BY scenario))"""
 of_run("rank_stability", lambda r: sensitivity.rank_stability(r.scenarios), "scenario channel ~share_change_points ~relative_change #rank_shift ~spearman #top_3_overlap #maximum_rank_shift", _STABLE)
 of_run("spearman", lambda r: sensitivity.rank_stability(r.scenarios).select("scenario", "spearman").distinct(), "scenario ~spearman", f"(SELECT DISTINCT scenario, round(spearman, 9) AS spearman FROM {_STABLE})")
-of_run("bootstrap_user_cluster", lambda r: r.bootstrap_draws, "#replicate channel ~removal_effect ~attribution_share channel_rank reason")
-of_run("bootstrap_summary", lambda r: sensitivity.bootstrap_summary(r.bootstrap_draws), "channel ~mean_share ~median_share ~share_stddev ~share_percentile_2_5 ~share_percentile_97_5 minimum_rank maximum_rank ~probability_top_1 ~probability_top_3 ~probability_top_5 attempted_replicates successful_replicates failed_replicates")
+of_run("bootstrap_user_cluster", lambda r: r.bootstrap_draws, "#replicate channel ~removal_effect ~attribution_share channel_rank reason", "x_boot")
+of_run("bootstrap_summary", lambda r: sensitivity.bootstrap_summary(r.bootstrap_draws), "channel ~mean_share ~median_share ~share_stddev ~share_percentile_2_5 ~share_percentile_97_5 minimum_rank maximum_rank ~probability_top_1 ~probability_top_3 ~probability_top_5 attempted_replicates successful_replicates failed_replicates", "x_boot_summary")
 of_run(
     "scenario_manifest",
     lambda r: r.spark.createDataFrame(sensitivity.scenario_manifest(s), "scenario string, assumption string, value string").join(r.scenario_paths.groupBy("scenario").agg(F.count("*").alias("journeys")), "scenario"),
@@ -134,15 +134,18 @@ of_run("sens_projection", lambda r: r.scenarios.orderBy("scenario", "channel_ran
 
 # Marts
 _f = reporting.FUNNEL_EVENTS
-of_run(
-    "channel_funnel",
-    lambda r: reporting.channel_funnel(r.event_base, r.sessions, s),
-    "channel sessions " + " ".join(f"#sessions_with_{e} ~{e}_rate" for e in _f),
+_FUNNEL = (
     "(SELECT *, "
     + ", ".join(f"sessions_with_{e} / CAST(sessions AS DOUBLE) AS {e}_rate" for e in _f)
     + " FROM (SELECT channel, count(DISTINCT t.session_key) AS sessions, "
     + ", ".join(f"count(DISTINCT CASE WHEN event_name = '{e}' THEN t.session_key END) AS sessions_with_{e}" for e in _f)
-    + " FROM x_sessions t LEFT JOIN x_base b USING (session_key) WHERE is_attribution_eligible AND channel <> 'Internal/Admin' GROUP BY channel))",
+    + " FROM x_sessions t LEFT JOIN x_base b USING (session_key) WHERE is_attribution_eligible AND channel <> 'Internal/Admin' GROUP BY channel))"
+)
+of_run(
+    "channel_funnel",
+    lambda r: reporting.channel_funnel(r.event_base, r.sessions, s),
+    "channel sessions " + " ".join(f"#sessions_with_{e} ~{e}_rate" for e in _f),
+    _FUNNEL,
 )
 SUMMARY = "summary_type dimension_key dimension_label #sort_order attributable_conversions ~attributable_revenue ~conversion_share ~revenue_share ~mean_path_length ~median_path_length #single_touch_conversions #multi_touch_conversions"
 of_run("journey_summary", lambda r: reporting.journey_summary(r.revised, s), SUMMARY, "x_summary")
@@ -152,6 +155,12 @@ of_run(
     "attribution_business_summary",
     lambda r: reporting.business_summary(r.comparison, r.scenarios, sensitivity.bootstrap_summary(r.bootstrap_draws), s),
     "channel model ~attributed_conversions ~attributed_revenue ~attribution_share ~revenue_share channel_rank revenue_rank ~markov_minus_last_click_conversions ~markov_minus_last_click_revenue scenarios minimum_scenario_rank maximum_scenario_rank ~scenario_rank_1_frequency ~scenario_top_3_frequency ~minimum_scenario_share ~maximum_scenario_share ~bootstrap_mean_share is_presentation_channel",
+    """(WITH m AS (SELECT *, attributed_revenue / sum(attributed_revenue) OVER w AS revenue_share, row_number() OVER (PARTITION BY model ORDER BY round(attributed_revenue, 6) DESC, channel) AS revenue_rank,
+    max(CASE WHEN model = 'Markov' THEN conversions_difference_vs_last_click END) OVER c AS markov_minus_last_click_conversions, max(CASE WHEN model = 'Markov' THEN revenue_difference_vs_last_click END) OVER c AS markov_minus_last_click_revenue
+    FROM x_comparison WINDOW w AS (PARTITION BY model), c AS (PARTITION BY channel)),
+    s AS (SELECT channel, count(DISTINCT scenario) AS scenarios, min(channel_rank) AS minimum_scenario_rank, max(channel_rank) AS maximum_scenario_rank, count(*) FILTER (channel_rank = 1) / CAST(count(*) AS DOUBLE) AS scenario_rank_1_frequency,
+    count(*) FILTER (channel_rank <= 3) / CAST(count(*) AS DOUBLE) AS scenario_top_3_frequency, min(attribution_share) AS minimum_scenario_share, max(attribution_share) AS maximum_scenario_share FROM x_ranked GROUP BY channel)
+    SELECT m.*, s.* EXCLUDE (channel), b.mean_share AS bootstrap_mean_share, m.channel NOT IN ('Unknown', 'Other') AS is_presentation_channel FROM m JOIN s USING (channel) JOIN x_boot_summary b USING (channel))""",
 )
 of_run("rpt_charts", lambda r: reporting.chart_revenue_by_model(r.comparison).toDF("channel", *[f"{p}_revenue" for p in _p.values()], "markov_revenue"), "channel " + " ".join(f"~{p}_revenue" for p in (*_p.values(), "markov")), "(SELECT channel, " + ", ".join(f"sum(CASE WHEN model = '{m}' THEN attributed_revenue END) AS {p}_revenue" for m, p in (*_p.items(), ("Markov", "markov"))) + " FROM x_comparison GROUP BY channel)")
 of_run("rpt_chart_markov_difference", lambda r: reporting.chart_markov_difference(r.comparison), "channel ~revenue_difference_vs_last_click", "(SELECT * FROM x_comparison WHERE model = 'Markov')")
@@ -275,6 +284,54 @@ of_run(
 )
 
 # Checks
-of_run("ctl_validate", lambda r: validation.run_checks(validation.core_checks(r.event_base, r.orders, r.sessions, r.strict, r.revised, r.coverage, r.results, r.journeys, s)), "check_id #observed #expected status")
+#: check_id and the SQL whose rows break it, over the tables of plans/oracle.py.
+CHECKS_SQL = {
+    "orders_unique": "SELECT order_key FROM x_orders GROUP BY 1 HAVING count(*) > 1",
+    "sessions_unique": "SELECT session_key FROM x_sessions GROUP BY 1 HAVING count(*) > 1",
+    "sessions_cover_events": "SELECT 1 FROM x_base b WHERE session_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM x_sessions t WHERE t.session_key = b.session_key)",
+    "session_span_ordered": "SELECT 1 FROM x_sessions WHERE session_start_ts > session_end_ts",
+    "channel_of_every_session": "SELECT 1 FROM x_sessions WHERE channel IS NULL",
+    "admin_sessions_ineligible": "SELECT 1 FROM x_sessions WHERE is_internal_admin_traffic AND is_attribution_eligible",
+    "paths_unique": "SELECT 1 FROM x_revised GROUP BY order_key, session_key HAVING count(*) > 1",
+    "strict_inside_revised": "SELECT 1 FROM x_strict ANTI JOIN x_revised USING (order_key, session_key)",
+    "touchpoints_before_order": "SELECT 1 FROM x_revised WHERE touchpoint_ts > order_ts OR seconds_before_conversion < 0",
+    "touchpoints_numbered": "SELECT 1 FROM x_revised GROUP BY order_key HAVING max(touchpoint_number) <> count(*) OR max(path_length) <> count(*)",
+    "no_admin_touchpoint": "SELECT 1 FROM x_revised WHERE channel = 'Internal/Admin'",
+    "coverage_of_every_order": "SELECT 1 FROM x_orders ANTI JOIN x_coverage USING (order_key)",
+    "conversions_sum_to_one": "SELECT 1 FROM x_results GROUP BY order_key, model HAVING abs(sum(attributed_conversion) - 1) > 1e-9",
+    "revenue_is_shared_out": "SELECT 1 FROM x_results GROUP BY order_key, model HAVING abs(sum(attributed_revenue) - max(order_revenue_usd)) > 1e-6",
+    "no_weight_without_path": "SELECT 1 FROM x_results ANTI JOIN x_revised USING (order_key)",
+    "journeys_unique": "SELECT 1 FROM x_journeys GROUP BY journey_id HAVING count(*) > 1",
+    "journey_lengths": "SELECT 1 FROM x_journeys WHERE len(channel_path) <> session_count OR len(session_key_path) <> session_count",
+    "conversion_journeys_are_paths": "SELECT DISTINCT order_key FROM x_revised ANTI JOIN (SELECT order_key FROM x_journeys WHERE outcome_state = 'Conversion') USING (order_key)",
+    "censored_not_included": "SELECT 1 FROM x_journeys WHERE journey_status = 'Right Censored' AND is_markov_included",
+    "no_outcome_inside_paths": "SELECT 1 FROM x_journeys WHERE list_has_any(channel_path, ['Start', 'Conversion', 'Null'])",
+    "matrix_rows_sum_to_one": "SELECT 1 FROM x_prob WHERE scenario = 'baseline' GROUP BY src HAVING abs(sum(p) - 1) > 1e-9",
+    "absorbing_states_stay": "SELECT 1 FROM x_edges WHERE scenario = 'baseline' AND src IN ('Conversion', 'Null')",
+    "effects_are_shares": "SELECT 1 FROM x_effects WHERE scenario = 'baseline' AND (removal_effect < 0 OR removal_effect > 1)",
+    "removal_never_helps": "SELECT 1 FROM x_effects WHERE scenario = 'baseline' AND probability_without > base_probability + 1e-9",
+    "scenario_shares_sum_to_one": "SELECT 1 FROM x_ranked GROUP BY scenario HAVING abs(sum(attribution_share) - 1) > 1e-9",
+    "scenario_ranks_are_permutations": "SELECT 1 FROM x_ranked GROUP BY scenario HAVING min(channel_rank) <> 1 OR max(channel_rank) <> count(*) OR count(DISTINCT channel_rank) <> count(*)",
+    "direct_only_as_fallback": "SELECT 1 FROM x_results r JOIN (SELECT order_key, bool_and(channel = 'Direct') AS d FROM x_revised GROUP BY 1) USING (order_key) WHERE model = 'Last Non-direct Click' AND (r.channel = 'Direct') <> d",
+    "touchpoints_in_lookback": f"SELECT 1 FROM x_revised WHERE seconds_before_conversion > {s.lookback_days * 86_400}",
+    "wider_windows_hold_more": "SELECT 1 FROM x_coverage WHERE all_user_session_count < session_on_or_before_order_count OR session_on_or_before_order_count < session_within_lookback_count",
+    "revised_covers_strict": "SELECT 1 FROM x_coverage WHERE conversion_touchpoint_count < strict_conversion_touchpoint_count",
+    "funnel_channels_unique": f"SELECT 1 FROM {_FUNNEL} GROUP BY channel HAVING count(*) > 1",
+    "funnel_rates_in_range": f"SELECT 1 FROM {_FUNNEL} WHERE sessions <= 0" + "".join(f" OR {e}_rate IS NULL OR {e}_rate < 0 OR {e}_rate > 1" for e in _f),
+}
+
+
+def _checks(r: Run):
+    core = validation.core_checks(r.event_base, r.orders, r.sessions, r.strict, r.revised, r.coverage, r.results, r.journeys, s)
+    matrix, funnel = markov.transition_matrix(markov.edges(r.markov_paths)), reporting.channel_funnel(r.event_base, r.sessions, s)
+    return validation.run_checks(core + validation.model_checks(matrix, r.effects, r.scenarios, funnel, r.revised, r.coverage, r.results, s))
+
+
+of_run(
+    "ctl_validate",
+    _checks,
+    "check_id #observed #expected status",
+    "(SELECT *, 0 AS expected, CASE WHEN observed = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS check_id, count(*) AS observed FROM ({v})" for k, v in CHECKS_SQL.items()) + "))",
+)
 of_run("ctl_formula_replay", lambda r: validation.replay_weights(r.revised, s), "order_key model ~weight", "(SELECT order_key, model, sum(w) AS weight FROM x_weights WHERE w > 0 GROUP BY ALL)")
 of_run("ctl_fingerprint", lambda r: readers.snapshot(r.orders), "rows fingerprint schema")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from creditflow.operators import sessions as S
+from creditflow.operators.sensitivity import BOOTSTRAP_SEED, poisson_steps
 from creditflow.settings import DEFAULT
 from creditflow.sources.web_events import EVIDENCE, SESSION_GAP_SECONDS
 
@@ -133,6 +134,23 @@ SELECT 'SESSION_JOURNEY:' || sha256(CAST(to_json(struct_pack(user_pseudo_id := u
 FROM {source} WHERE {ended} OR (inactivity_expiry_ts >= {END} AND (next_purchase_ts IS NULL OR next_purchase_ts >= {END}))"""
 
 
+def _probabilities(edges: str) -> str:
+    return f"SELECT *, n / CAST(sum(n) OVER (PARTITION BY scenario, src) AS DOUBLE) AS p FROM {edges} WHERE n > 0"
+
+
+def _chance(prob: str) -> str:
+    """(I - Q) x = r by iteration: x is the chance to convert within i steps, for the whole chain ('') and without each channel.
+
+    A state without a way to convert falls out; its chance is 0.
+    """
+    return f"""
+WITH RECURSIVE t AS (SELECT 0 AS i, c.scenario, c.removed, v.state, 0.0::DOUBLE AS x FROM (SELECT DISTINCT scenario, src AS removed FROM {prob} WHERE src <> 'Start' UNION SELECT DISTINCT scenario, '' FROM {prob}) c JOIN (SELECT DISTINCT scenario, src AS state FROM {prob}) v USING (scenario)
+  UNION ALL
+  SELECT t.i + 1, t.scenario, t.removed, e.src, sum(CASE WHEN e.dst = 'Conversion' THEN e.p WHEN e.dst = t.state THEN e.p * t.x ELSE 0.0 END)
+  FROM t JOIN {prob} e ON e.scenario = t.scenario AND (e.dst = t.state OR (e.dst = 'Conversion' AND t.state = 'Start')) WHERE t.i < 120 AND e.src <> t.removed AND e.dst <> t.removed GROUP BY ALL)
+SELECT scenario, removed, x FROM t WHERE i = 120 AND state = 'Start'"""
+
+
 CTES: dict[str, str] = {
     "x_raw0": f"""
 SELECT event_id, user_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
@@ -244,14 +262,8 @@ SELECT 'baseline' AS scenario, user_pseudo_id, ['Start'] || channel_path || [out
         ]
     ),
     "x_edges": "SELECT scenario, path[i] AS src, path[i + 1] AS dst, count(*) AS n FROM (SELECT scenario, path, unnest(range(1, len(path))) AS i FROM x_scenario_paths) GROUP BY ALL",
-    "x_prob": "SELECT *, n / CAST(sum(n) OVER (PARTITION BY scenario, src) AS DOUBLE) AS p FROM x_edges",
-    # (I - Q) x = r by iteration: x is the chance to convert within i steps, for the whole chain ('') and without each channel.
-    "x_chance": """
-WITH RECURSIVE t AS (SELECT 0 AS i, c.scenario, c.removed, v.state, 0.0::DOUBLE AS x FROM (SELECT DISTINCT scenario, src AS removed FROM x_prob WHERE src <> 'Start' UNION SELECT DISTINCT scenario, '' FROM x_prob) c JOIN (SELECT DISTINCT scenario, src AS state FROM x_prob) v USING (scenario)
-  UNION ALL
-  SELECT t.i + 1, t.scenario, t.removed, e.src, sum(CASE WHEN e.dst = 'Conversion' THEN e.p WHEN e.dst = t.state THEN e.p * t.x ELSE 0.0 END)
-  FROM t JOIN x_prob e ON e.scenario = t.scenario AND (e.dst = t.state OR (e.dst = 'Conversion' AND t.state = 'Start')) WHERE t.i < 120 AND e.src <> t.removed AND e.dst <> t.removed GROUP BY ALL)
-SELECT scenario, removed, x FROM t WHERE i = 120 AND state = 'Start'""",
+    "x_prob": _probabilities("x_edges"),
+    "x_chance": _chance("x_prob"),
     "x_effects": """
 SELECT *, removal_effect / sum(removal_effect) OVER (PARTITION BY scenario) AS attribution_share
 FROM (SELECT b.scenario, r.removed AS channel, b.x AS base_probability, r.x AS probability_without, greatest(1 - r.x / b.x, 0) AS removal_effect FROM x_chance b JOIN x_chance r ON b.scenario = r.scenario AND b.removed = '' AND r.removed <> '')""",
@@ -264,6 +276,26 @@ m AS (SELECT *, attributed_conversions / sum(attributed_conversions) OVER (PARTI
 SELECT m.*, m.attributed_conversions - b.attributed_conversions AS conversions_difference_vs_last_click, (m.attributed_conversions - b.attributed_conversions) / nullif(b.attributed_conversions, 0) AS conversions_relative_difference_vs_last_click,
   m.attributed_revenue - b.attributed_revenue AS revenue_difference_vs_last_click, (m.attributed_revenue - b.attributed_revenue) / nullif(b.attributed_revenue, 0) AS revenue_relative_difference_vs_last_click
 FROM m JOIN m b ON m.channel = b.channel AND b.model = 'Last Click'""",
+    # The bootstrap: a user's weight in a replicate is Poisson(1) by inversion of 32 bits of an MD5.
+    "x_user_edges": "SELECT user_pseudo_id, path[i] AS src, path[i + 1] AS dst, count(*) AS n FROM (SELECT user_pseudo_id, path, unnest(range(1, len(path))) AS i FROM x_paths) GROUP BY ALL",
+    "x_boot_edges": f"""
+WITH u AS (SELECT user_pseudo_id, scenario, CAST('0x' || substr(md5('{BOOTSTRAP_SEED}|' || scenario || '|' || user_pseudo_id), 1, 8) AS BIGINT) AS h FROM (SELECT DISTINCT user_pseudo_id FROM x_user_edges) CROSS JOIN (SELECT unnest(range(500)) AS scenario)),
+w AS (SELECT user_pseudo_id, scenario, {" + ".join(f"CAST(h >= {x} AS BIGINT)" for x in poisson_steps())} AS weight FROM u)
+SELECT scenario, src, dst, CAST(sum(n * weight) AS BIGINT) AS n FROM w JOIN x_user_edges USING (user_pseudo_id) GROUP BY ALL""",
+    "x_boot_prob": _probabilities("x_boot_edges"),
+    "x_boot_chance": _chance("x_boot_prob"),
+    "x_boot": """
+WITH c AS (SELECT scenario, channel FROM (SELECT scenario, src AS channel FROM x_boot_edges UNION SELECT scenario, dst FROM x_boot_edges) WHERE channel NOT IN ('Start', 'Conversion', 'Null')),
+live AS (SELECT DISTINCT scenario, src AS channel, TRUE AS is_live FROM x_boot_prob),
+b AS (SELECT DISTINCT e.scenario, coalesce(x, 0) AS x, p.scenario IS NOT NULL AS is_drawn FROM (SELECT DISTINCT scenario FROM x_boot_edges) e LEFT JOIN (SELECT DISTINCT scenario FROM x_boot_prob) p USING (scenario) LEFT JOIN (SELECT scenario, x FROM x_boot_chance WHERE removed = '') USING (scenario)),
+f AS (SELECT c.scenario, c.channel, b.is_drawn, b.x AS base, CASE WHEN is_live AND b.x > 1e-12 THEN greatest(1 - coalesce(r.x, 0) / b.x, 0) ELSE 0 END AS effect FROM c JOIN b USING (scenario) LEFT JOIN live USING (scenario, channel) LEFT JOIN x_boot_chance r ON r.scenario = c.scenario AND r.removed = c.channel),
+g AS (SELECT *, CASE WHEN NOT is_drawn THEN 'no path leaves Start' WHEN base <= 1e-12 THEN 'the chain never converts' WHEN sum(effect) OVER s <= 1e-12 THEN 'no effect to share' END AS reason, effect / nullif(sum(effect) OVER s, 0) AS share FROM f WINDOW s AS (PARTITION BY scenario))
+SELECT scenario AS replicate, channel, effect AS removal_effect, share AS attribution_share, row_number() OVER (PARTITION BY scenario ORDER BY round(share, 9) DESC, channel) AS channel_rank, reason FROM g WHERE reason IS NULL
+UNION ALL SELECT DISTINCT scenario, NULL, NULL, NULL, NULL, reason FROM g WHERE reason IS NOT NULL""",
+    "x_boot_summary": """
+SELECT * FROM (SELECT channel, avg(attribution_share) AS mean_share, quantile_cont(attribution_share, 0.5) AS median_share, stddev_samp(attribution_share) AS share_stddev, quantile_cont(attribution_share, 0.025) AS share_percentile_2_5, quantile_cont(attribution_share, 0.975) AS share_percentile_97_5,
+  min(channel_rank) AS minimum_rank, max(channel_rank) AS maximum_rank, avg(CAST(channel_rank <= 1 AS INT)) AS probability_top_1, avg(CAST(channel_rank <= 3 AS INT)) AS probability_top_3, avg(CAST(channel_rank <= 5 AS INT)) AS probability_top_5 FROM x_boot WHERE reason IS NULL GROUP BY channel),
+  (SELECT count(DISTINCT replicate) AS attempted_replicates, count(DISTINCT replicate) - count(*) FILTER (reason IS NOT NULL) AS successful_replicates, count(*) FILTER (reason IS NOT NULL) AS failed_replicates FROM x_boot)""",
     "x_order_paths": "SELECT order_key, any_value(order_revenue_usd) AS revenue, any_value(path_length) AS path_length, arg_min(channel, touchpoint_number) AS first_touch, arg_max(channel, touchpoint_number) AS last_touch, string_agg(channel, ' > ' ORDER BY touchpoint_number) AS converting_path FROM x_revised GROUP BY order_key",
     "x_summary": """
 WITH t AS (SELECT *, unnest([{'t': 'OVERALL', 'k': 'all_attributable_conversions'}, {'t': 'PATH_LENGTH', 'k': CAST(path_length AS VARCHAR)}, {'t': 'CONVERTING_PATH', 'k': converting_path}, {'t': 'FIRST_TOUCH_CHANNEL', 'k': first_touch}, {'t': 'LAST_TOUCH_CHANNEL', 'k': last_touch}]) AS m FROM x_order_paths),

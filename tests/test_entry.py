@@ -12,7 +12,7 @@ from creditflow.plans import registry
 CORE = (
     "event_base", "orders_dedup", "source_v1", "source_v2", "session_touchpoints", "paths_strict", "paths_revised", "aud_order_coverage", "orders_unmatched", "attr_results",
     "model_comparison", "markov_journeys", "markov_matrix", "markov_effects", "rule_markov_comparison", "sens_lookback", "sens_null14", "rank_stability", "channel_funnel", "journey_summary",
-    "aud_closeout", "aud_session_reuse", "aud_admin_impact", "aud_purchase_quality", "aud_traffic_values", "aud_reprocess_summary",
+    "aud_closeout", "aud_session_reuse", "aud_admin_impact", "aud_purchase_quality", "aud_traffic_values", "aud_reprocess_summary", "bootstrap_user_cluster", "bootstrap_summary", "attribution_business_summary", "ctl_validate",
 )
 PRIMITIVE = [n for n in registry.SQL if n.split("_")[0] in ("src", "snk", "prj", "flt", "prd", "join", "agg", "win", "srt", "lmt", "topk", "set", "arr", "struct", "str", "url", "hash", "json", "dt", "math", "cond", "cast", "sub")]
 
@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 def test_checks_pass(spark, sf):
     rows = registry.QUERIES["ctl_validate"](spark, sf).collect()
-    assert len(rows) == 20 and {r["status"] for r in rows} == {"PASS"}
+    assert len(rows) == 32 and {r["status"] for r in rows} == {"PASS"}
 
 
 def test_entry(spark):
