@@ -152,11 +152,15 @@ def poisson_steps(bits: int = 32) -> list[int]:
     return steps
 
 
-def draw_weight(seed: int, replicate: Column, user: Column) -> Column:
-    """How often a replicate draws a user: Poisson(1) from the first 32 bits of an MD5."""
+def draw_bits(seed: int, replicate: Column, user: Column) -> Column:
+    """The first 32 bits of an MD5 of seed, replicate and user."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), user))
-    uniform = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    return F.size(F.filter(F.array(*[F.lit(x) for x in poisson_steps()]), lambda x: x <= uniform))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def draw_weight(bits: Column) -> Column:
+    """How often a replicate draws a user: Poisson(1) by inversion."""
+    return sum((F.when(bits >= step, 1).otherwise(0) for step in poisson_steps()), F.lit(0))
 
 
 def bootstrap(paths: DataFrame, replicates: int = 500, seed: int = BOOTSTRAP_SEED) -> DataFrame:
@@ -167,10 +171,13 @@ def bootstrap(paths: DataFrame, replicates: int = 500, seed: int = BOOTSTRAP_SEE
     are one row, weighed once per replicate, and summed per replicate as a partial aggregate, so only replicates x
     edges rows are shuffled.  Channels that a replicate lacks have effect 0.
     """
-    users = user_edges(paths).groupBy("user_pseudo_id").agg(F.collect_list(F.struct("src", "dst", "n")).alias("edges"))
-    drawn = users.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.select("replicate", draw_weight(seed, F.col("replicate"), F.col("user_pseudo_id")).alias("weight"), F.explode("edges").alias("e"))
-    summed = drawn.groupBy("replicate", "e.src", "e.dst").agg(F.sum(F.col("e.n") * F.col("weight")).alias("n"))
+    # Both partitionings are given: what follows is many times the work that the bytes of a partition suggest.
+    tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    users = user_edges(paths).repartition(tasks, "user_pseudo_id").groupBy("user_pseudo_id").agg(F.collect_list(F.struct("src", "dst", "n")).alias("edges"))
+    # The bits are made inside the generator, once per user and replicate; outside they would be made per edge.
+    bits = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.struct(r.alias("replicate"), draw_bits(seed, r, F.col("user_pseudo_id")).alias("bits")))
+    drawn = users.select("edges", F.explode(bits).alias("d")).select("d.replicate", draw_weight(F.col("d.bits")).alias("weight"), F.explode("edges").alias("e"))
+    summed = drawn.groupBy("replicate", "e.src", "e.dst").agg(F.sum(F.col("e.n") * F.col("weight")).alias("n")).repartition(tasks, "replicate")
     columns = ["replicate", "channel", "removal_effect", "attribution_share", "channel_rank", "reason"]
 
     def solve(key: tuple, drawn: pd.DataFrame) -> pd.DataFrame:
