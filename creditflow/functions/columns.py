@@ -18,16 +18,45 @@ def placeholder_null(c: Column) -> Column:
     return F.when(~F.lower(F.trim(c)).isin(*PLACEHOLDERS), F.trim(c))
 
 
+# A host with or without a scheme, a user and a port; what follows it starts with one of ``/:?#``.
+HOST = r"^(?:(?:[a-z][a-z0-9+.-]*:)?//)?(?:[^/@?#]*@)?([^/:?#@\s]+)(?:[/:?#].*)?$"
+# A host of at least two labels, none empty; not an IPv4 address, whose last label is a number.
+REGISTRABLE = r"^([^.]+\.)+[^.]*[^0-9.][^.]*$"
+
+
 def url_host(c: Column) -> Column:
-    """Lower-case host of a URL with a scheme, without user and port; else null."""
-    return F.nullif(F.regexp_extract(F.lower(c), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))
+    """Lower-case host of a URL, without user and port; null where there is none or blanks stand in it."""
+    return F.nullif(F.regexp_extract(F.lower(c), HOST, 1), F.lit(""))
+
+
+def suffix_depths(suffixes: tuple[str, ...]) -> list[tuple[int, list[str], list[str], list[str]]]:
+    """(labels, suffixes, parents of a wildcard, exceptions) by number of labels, longest first."""
+    by: dict[int, tuple[list[str], list[str], list[str]]] = {}
+    for rule in sorted(set(suffixes)):
+        kind = 1 if rule.startswith("*.") else 2 if rule.startswith("!") else 0
+        by.setdefault(rule.count(".") + 1, ([], [], []))[kind].append(rule[(0, 2, 1)[kind] :])
+    return [(n, *by[n]) for n in sorted(by, reverse=True)]
 
 
 def reg_domain(host: Column, suffixes: tuple[str, ...]) -> Column:
-    """The last two labels of a host, or three where the last two are a public suffix."""
-    two = F.substring_index(host, ".", -2)
+    """The host's public suffix and the label before it; null for a suffix alone, one label or an IP address.
+
+    Of the rules that match, an exception wins (its suffix lacks its first label), then the longest; without one the
+    top-level domain is the suffix.  Look-ups are in sets of literals, so a rule more costs nothing a row.
+    """
+    tail = lambda n: F.substring_index(host, ".", -n)
     labels = F.size(F.split(host, r"\."))
-    return F.when((labels >= 3) & two.isin(*suffixes), F.substring_index(host, ".", -3)).when((labels >= 2) & ~two.isin(*suffixes), two)
+    depths = suffix_depths(suffixes)
+    cases = [(tail(n).isin(*spared), tail(n)) for n, _, _, spared in depths if spared]
+    for n, exact, parents, _ in depths:
+        hit = [tail(n).isin(*exact)] if exact else []
+        hit += [tail(n - 1).isin(*parents)] if parents else []
+        if hit:
+            cases.append(((labels >= n) & (hit[0] | hit[1] if len(hit) > 1 else hit[0]), F.when(labels > n, tail(n + 1))))
+    found = tail(2)
+    for condition, value in reversed(cases):
+        found = F.when(condition, value).otherwise(found)
+    return F.when(host.rlike(REGISTRABLE), found)
 
 
 _BARE = r"^(?:[a-z0-9-]+\.)+[a-z]{2,}$"

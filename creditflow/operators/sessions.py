@@ -44,7 +44,7 @@ def clean_events(base: DataFrame, s: Settings) -> DataFrame:
     names = [f"{a}_{b}" for a in ("event", "first_user") for b in ("source", "medium", "campaign")]
     rows = rows.withColumns({n: placeholder_null(F.col(n)) for n in names})
     hosts = {f"{a}_source_host": source_host(F.col(f"{a}_source")) for a in ("event", "first_user")}
-    domains = {f"{a}_source_domain": source_domain(F.col(f"{a}_source"), s.two_label_suffixes) for a in ("event", "first_user")}
+    domains = {f"{a}_source_domain": source_domain(F.col(f"{a}_source"), s.public_suffixes) for a in ("event", "first_user")}
     return rows.withColumns(hosts | domains)
 
 

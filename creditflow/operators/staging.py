@@ -38,8 +38,8 @@ def event_base(raw: DataFrame, s: Settings) -> DataFrame:
         flat.withColumn("session_key", F.when(known, hash_key(user_pseudo_id=F.col("user_pseudo_id"), ga_session_id=F.col("ga_session_id"))))
         .withColumn("page_location_host", url_host(F.col("page_location")))
         .withColumn("page_referrer_host", url_host(F.col("page_referrer")))
-        .withColumn("page_location_domain", reg_domain(F.col("page_location_host"), s.two_label_suffixes))
-        .withColumn("page_referrer_domain", reg_domain(F.col("page_referrer_host"), s.two_label_suffixes))
+        .withColumn("page_location_domain", reg_domain(F.col("page_location_host"), s.public_suffixes))
+        .withColumn("page_referrer_domain", reg_domain(F.col("page_referrer_host"), s.public_suffixes))
     )
 
 

@@ -27,26 +27,35 @@ def _placeholder(c: str) -> str:
     return f"CASE WHEN lower(trim({c})) NOT IN ('', '(not set)', '(not provided)', '(data deleted)', '<other>', 'unknown') THEN trim({c}) END"
 
 
-def _host(c: str) -> str:
-    return f"nullif(regexp_extract(lower({c}), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1), '')"
+def host(c: str) -> str:
+    pattern = r"^(?:(?:[a-z][a-z0-9+.-]*:)?//)?(?:[^/@?#]*@)?([^/:?#@\s]+)(?:[/:?#].*)?$"
+    return f"nullif(regexp_extract(lower({c}), '{pattern}', 1), '')"
 
 
-def _domain(h: str) -> str:
-    parts = f"string_split({h}, '.')"
-    two = f"array_to_string({parts}[-2:], '.')"
-    return f"CASE WHEN len({parts}) >= 3 AND {two} IN ({_quoted(s.two_label_suffixes)}) THEN array_to_string({parts}[-3:], '.') WHEN len({parts}) >= 2 AND {two} NOT IN ({_quoted(s.two_label_suffixes)}) THEN {two} END"
+def domain(h: str) -> str:
+    """The longest suffix of the host that matches a rule, an exception first, and one label more."""
+    rules = s.public_suffixes
+    kinds = [[r for r in rules if r[0] not in "*!"], [r[2:] for r in rules if r[0] == "*"], [r[1:] for r in rules if r[0] == "!"]]
+    exact, parents, spared = (_quoted(k) or "''" for k in kinds)
+    p = f"string_split({h}, '.')"
+    longest = lambda test, n: f"list_max(list_transform(range(1, len({p}) + 1), lambda i: CASE WHEN {test} THEN {n} ELSE 0 END))"
+    any_rule = longest(f"array_to_string({p}[i:], '.') IN ({exact}) OR (i < len({p}) AND array_to_string({p}[i + 1:], '.') IN ({parents}))", f"len({p}) - i + 1")
+    exception = longest(f"array_to_string({p}[i:], '.') IN ({spared})", f"len({p}) - i")
+    length = f"coalesce(nullif({exception}, 0), greatest({any_rule}, 1))"
+    valid = f"len({p}) > {length} AND NOT list_contains({p}, '') AND NOT regexp_matches({p}[-1], '^[0-9]+$')"
+    return f"CASE WHEN {valid} THEN array_to_string({p}[len({p}) - {length}:], '.') END"
 
 
 _BARE = r"^(?:[a-z0-9-]+\.)+[a-z]{2,}$"
 
 
 def _source_host(c: str) -> str:
-    return f"CASE WHEN regexp_matches(lower({c}), '^[a-z][a-z0-9+.-]*://') THEN {_host(c)} WHEN regexp_matches(lower({c}), '{_BARE}') THEN lower({c}) END"
+    return f"CASE WHEN regexp_matches(lower({c}), '^[a-z][a-z0-9+.-]*://') THEN {host(c)} WHEN regexp_matches(lower({c}), '{_BARE}') THEN lower({c}) END"
 
 
 def _source_domain(c: str) -> str:
     bare = f"regexp_replace(lower({c}), '^[a-z][a-z0-9+.-]*://', '')"
-    return f"CASE WHEN regexp_matches({bare}, '{_BARE}') THEN {_domain(bare)} END"
+    return f"CASE WHEN regexp_matches({bare}, '{_BARE}') THEN {domain(bare)} END"
 
 
 def _direct(p: str) -> str:
@@ -170,8 +179,8 @@ FROM x_raw0""",
     "x_raw": "SELECT * FROM x_raw1 UNION ALL SELECT * REPLACE (event_ts + INTERVAL 1 SECOND AS event_ts) FROM x_raw1 WHERE event_name = 'purchase' AND event_id % 50 = 0",
     "x_base": f"""
 SELECT *, CAST(event_ts AS DATE) AS event_date, sha256(CAST(to_json(struct_pack(user_pseudo_id := user_pseudo_id, ga_session_id := ga_session_id)) AS VARCHAR)) AS session_key,
-  {_domain("page_location_host")} AS page_location_domain, {_domain("page_referrer_host")} AS page_referrer_domain
-FROM (SELECT *, {_host("page_location")} AS page_location_host, {_host("page_referrer")} AS page_referrer_host FROM x_raw)""",
+  {domain("page_location_host")} AS page_location_domain, {domain("page_referrer_host")} AS page_referrer_domain
+FROM (SELECT *, {host("page_location")} AS page_location_host, {host("page_referrer")} AS page_referrer_host FROM x_raw)""",
     "x_orders": """
 SELECT user_pseudo_id, transaction_id, min(event_ts) AS order_ts, CAST(min(event_ts) AS DATE) AS order_date, min(struct_pack(t := event_ts, k := session_key)).k AS conversion_session_key,
   max(purchase_revenue_in_usd) AS order_revenue_usd, count(*) AS purchase_event_count, count(*) - 1 AS duplicate_purchase_event_count,

@@ -9,13 +9,14 @@ from creditflow.functions import columns as C
 from creditflow.operators.paths import asof_last, asof_next
 from creditflow.operators.sensitivity import ordinal_rank, tied_channels
 from creditflow.operators.sessions import EMAIL_MEDIUM
+from creditflow.plans import oracle
 from creditflow.plans.registry import of_tables
 from creditflow.settings import DEFAULT
 from creditflow.sources import readers, writers
 from creditflow.sources.readers import table as t
 
 c = F.col
-SUFFIXES = DEFAULT.two_label_suffixes
+SUFFIXES = DEFAULT.public_suffixes
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +34,7 @@ def _nation_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PATHS = "(SELECT o_custkey, list(o_orderpriority ORDER BY o_orderdate, o_orderkey) AS path FROM orders GROUP BY o_custkey)"
-_HOST = "nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1), '')"
+_HOST = oracle.host("url")
 
 # Sources
 of_tables("src_shard_scan", lambda s, d: readers.shards(_events(s, d).withColumn("event_date", F.date_format("ts", "yyyyMMdd")), "20240105", "20240110").groupBy("event_date").agg(F.count("*").alias("events")), "SELECT strftime(ts, '%Y%m%d') AS event_date, count(*) AS events FROM events WHERE strftime(ts, '%Y%m%d') BETWEEN '20240105' AND '20240110' GROUP BY 1")
@@ -221,7 +222,28 @@ of_tables("str_lower_concat_substr", lambda s, d: t(s, d, "nation").select(F.low
 of_tables("str_regexp", lambda s, d: t(s, d, "pages").select("page_id", c("url").rlike("[?#]").alias("has"), F.regexp_replace("url", r"[?#].*$", "").alias("bare")), "SELECT page_id, regexp_matches(url, '[?#]') AS has, regexp_replace(url, '[?#].*$', '') AS bare FROM pages")
 of_tables("str_placeholder_null", lambda s, d: readers.literal(s, [(" (Not Set) ",), ("<Other>",), ("x",), ("",), (None,)], "x string").select(C.placeholder_null(c("x")).alias("y")), "SELECT y FROM (VALUES (NULL), (NULL), ('x'), (NULL), (NULL)) AS v(y)")
 of_tables("url_host", _hosts, f"SELECT page_id, {_HOST} AS host FROM pages")
-of_tables("url_reg_domain", lambda s, d: _hosts(s, d).select("page_id", C.reg_domain(c("host"), SUFFIXES).alias("domain")), "WITH h AS (SELECT page_id, string_split(" + _HOST + ", '.') AS p FROM pages) SELECT page_id, CASE WHEN len(p) >= 3 AND array_to_string(p[-2:], '.') IN (" + ", ".join(f"'{x}'" for x in SUFFIXES) + ") THEN array_to_string(p[-3:], '.') WHEN len(p) >= 2 AND array_to_string(p[-2:], '.') NOT IN (" + ", ".join(f"'{x}'" for x in SUFFIXES) + ") THEN array_to_string(p[-2:], '.') END AS domain FROM h")
+of_tables("url_reg_domain", lambda s, d: _hosts(s, d).select("page_id", C.reg_domain(c("host"), SUFFIXES).alias("domain")), f"WITH h AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, {oracle.domain('host')} AS domain FROM h")
+_URLS = {
+    "http://a.b.com.cn/x": "b.com.cn",
+    "com.cn": None,
+    "me.github.io/p?q": "me.github.io",
+    "github.io": None,
+    "https://192.168.1.1:8080/": None,
+    "www.Shop.co.uk": "shop.co.uk",
+    "//user@shop.example:80/x": "shop.example",
+    "a.b.c.ck": "b.c.ck",
+    "c.ck": None,
+    "x.www.ck": "www.ck",
+    "localhost/x": None,
+    "a..com": None,
+    "no host here": None,
+    "": None,
+}
+of_tables(
+    "url_reg_domain_rules",
+    lambda s, d: readers.literal(s, [(u,) for u in _URLS], "url string").select("url", C.reg_domain(C.url_host(c("url")), SUFFIXES).alias("domain")),
+    f"SELECT url, {oracle.domain(_HOST)} AS domain FROM (VALUES {', '.join(f"('{u}')" for u in _URLS)}) AS v(url)",
+)
 of_tables("hash_sha256_key", lambda s, d: t(s, d, "nation").select("n_nationkey", C.hash_key(name=c("n_name"), key=c("n_nationkey"), none=F.lit(None).cast("string")).alias("h")), "SELECT n_nationkey, sha256(CAST(to_json(struct_pack(name := n_name, key := n_nationkey, none := CAST(NULL AS VARCHAR))) AS VARCHAR)) AS h FROM nation")
 of_tables("json_struct_compare", lambda s, d: t(s, d, "nation").select("n_nationkey", (~F.struct("n_regionkey", F.lit(None).cast("int").alias("z")).eqNullSafe(F.struct(F.lit(1).alias("n_regionkey"), F.lit(None).cast("int").alias("z")))).alias("differs")), "SELECT n_nationkey, n_regionkey <> 1 AS differs FROM nation")
 of_tables("dt_parse_date", lambda s, d: readers.literal(s, [("20240229",), ("20240230",), ("x",)], "x string").select(F.try_to_date("x", "yyyyMMdd").alias("d")), "SELECT d FROM (VALUES (DATE '2024-02-29'), (NULL), (NULL)) AS v(d)")

@@ -2,9 +2,38 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
 
+# Registries of the public suffix list that most shops meet, by top-level domain.
+SECOND_LEVEL = {
+    "au": "com edu gov net org",
+    "br": "com edu gov net org",
+    "cn": "ac com edu gov net org",
+    "hk": "com edu gov net org",
+    "id": "ac co go or web",
+    "il": "ac co gov net org",
+    "in": "ac co gov net org",
+    "jp": "ac co go ne or",
+    "kr": "ac co go ne or",
+    "mx": "com edu gob net org",
+    "my": "com edu gov net org",
+    "nz": "ac co govt net org",
+    "pl": "com edu gov net org",
+    "sg": "com edu gov net org",
+    "th": "ac co go in or",
+    "tr": "com edu gov net org",
+    "tw": "com edu gov net org",
+    "ua": "com edu gov net org",
+    "uk": "ac co gov ltd me net org plc",
+    "za": "ac co gov net org",
+    "io": "github",
+    "com": "blogspot",
+    "app": "vercel web",
+    "ck": "*",
+}
+SUFFIX_EXCEPTIONS = ("!www.ck",)
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -18,8 +47,9 @@ class Settings:
     boundary_end: datetime = datetime(2024, 1, 31)
     half_life_seconds: int = 604_800
     scenario_days: tuple[int, ...] = (1, 3, 7)
-    #: Suffixes of two labels under which names are registered.
-    two_label_suffixes: tuple[str, ...] = field(default=("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "co.in", "com.mx"))
+    #: Suffixes under which names are registered, in the notation of the public suffix list: ``*`` is any label, ``!``
+    #: an exception; a top-level domain needs no rule.  ``readers.suffix_rules`` reads a whole list.
+    public_suffixes: tuple[str, ...] = (*(f"{x}.{tld}" for tld, names in SECOND_LEVEL.items() for x in names.split()), *SUFFIX_EXCEPTIONS)
     resolution_version: str = "source-1"
     mapping_version: str = "channels-1"
     path_version: str = "paths-1"

@@ -48,6 +48,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
+def suffix_rules(path: str) -> tuple[str, ...]:
+    """Rules of a file in the public suffix list's format, for ``Settings.public_suffixes``; other scripts in Punycode too."""
+    rules = []
+    with open(path, encoding="utf-8") as lines:
+        for line in lines:
+            rule = line.split()[0].lower() if line.split() else "//"
+            if not rule.startswith("//"):
+                rules += [rule, *([] if rule.isascii() else [".".join(x if x in "*" else x.encode("idna").decode() for x in rule.split("."))])]
+    return tuple(rules)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a table at the path; its schema alone is read."""
     try:

@@ -229,3 +229,18 @@ def test_streamed_sessions(spark, sf, tmp_path):
     ingest.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/check")
     got = spark.read.parquet(f"{tmp_path}/out").agg(F.sum("events").alias("n")).first()["n"]
     assert got == events.count()
+
+
+def test_registered_domains(spark, tmp_path):
+    from creditflow.plans.primitive import _URLS
+
+    got = spark.createDataFrame(list(_URLS.items()), "url string, want string").select("url", "want", C.reg_domain(C.url_host(F.col("url")), DEFAULT.public_suffixes).alias("got"))
+    assert [(r.url, r.got) for r in got.collect()] == [(r.url, r.want) for r in got.collect()]
+    path = tmp_path / "rules.dat"
+    path.write_text("// rules\n\ncom\n*.kawasaki.jp\n!city.kawasaki.jp\n\u516c\u53f8.cn\nlong.one.example // note\n", encoding="utf-8")
+    rules = readers.suffix_rules(str(path))
+    assert "xn--55qx5d.cn" in rules and len(rules) == 6
+    hosts = {"a.b.kawasaki.jp": "a.b.kawasaki.jp", "b.kawasaki.jp": None, "x.city.kawasaki.jp": "city.kawasaki.jp", "a.b.long.one.example": "b.long.one.example", "a.xn--55qx5d.cn": "a.xn--55qx5d.cn", "a.b.com": "b.com", "10.0.0.1": None, None: None}
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", C.reg_domain(F.col("h"), rules).alias("d")).collect()
+    assert {r.h: r.d for r in rows} == hosts
+    assert spark.createDataFrame([("a.b.co.uk",)], "h string").select(C.reg_domain(F.col("h"), ()).alias("d")).first().d == "co.uk"
