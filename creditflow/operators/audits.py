@@ -185,7 +185,7 @@ def domain_rules(spark: SparkSession, s: Settings) -> DataFrame:
 def reprocessing(before: DataFrame, after: DataFrame, s: Settings) -> DataFrame:
     """Sessions before and after a change of the resolution, and whether anything changed."""
     names = ["source_resolution_tier", "resolved_source", "resolved_medium", "resolved_campaign"]
-    side = lambda df, p: df.select("session_key", *[F.col(n).alias(f"{p}_{n}") for n in names], F.lit(True).alias(f"in_{p}"), F.col("has_internal_event_source").alias(f"{p}_internal"))
+    side = lambda df, p: df.select("session_key", *[F.col(n).alias(f"{p}_{n}") for n in (*names, "resolved_source_host", "resolved_source_domain")], F.lit(True).alias(f"in_{p}"), F.col("has_internal_event_source").alias(f"{p}_internal"))
     rows = side(before, "before").join(side(after, "after"), "session_key", "full")
     pair = lambda p: F.struct(*[F.col(f"{p}_{n}").alias(n) for n in names])
     return rows.withColumns(
@@ -199,11 +199,16 @@ def reprocessing(before: DataFrame, after: DataFrame, s: Settings) -> DataFrame:
 
 
 def reprocessing_summary(diff: DataFrame, s: Settings) -> DataFrame:
-    """Sessions by tier before and after, and by the channel that the values before map to."""
-    host = F.lit(None).cast("string")
-    old = channel(F.lit(False), F.col("before_source_resolution_tier"), F.col("before_resolved_source"), F.col("before_resolved_medium"), host, host)["channel"]
-    rows = diff.withColumn("before_channel", old)
-    return rows.groupBy("before_source_resolution_tier", "after_source_resolution_tier", "before_channel").agg(F.count(F.lit(1)).alias("sessions"), F.count_if("is_changed").alias("changed_sessions"))
+    """Sessions by tier and channel before and after, by whether the storefront was a source and whether anything changed."""
+    values = ("source_resolution_tier", "resolved_source", "resolved_medium", "resolved_source_host", "resolved_source_domain")
+
+    def mapped(p: str):
+        is_admin = F.coalesce(F.lower(f"{p}_resolved_source_host").isin(*s.admin_hosts), F.lit(False))
+        return F.when(F.col(f"in_{p}"), channel(is_admin, *[F.col(f"{p}_{x}") for x in values])["channel"])
+
+    rows = diff.withColumns({"before_channel": mapped("before"), "after_channel": mapped("after")})
+    keys = ("before_source_resolution_tier", "after_source_resolution_tier", "before_channel", "after_channel", "is_affected_by_storefront", "is_changed")
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("sessions"))
 
 
 def channel_mapping(sessions: DataFrame) -> DataFrame:
@@ -310,3 +315,14 @@ def closeout(coverage: DataFrame, revised: DataFrame, reuse: DataFrame) -> DataF
             }
         )
     return row
+
+
+def schema_audit(fields: DataFrame, shards: list[str]) -> DataFrame:
+    """Per field path and type the shards that have it, the first and the last of them, and whether all have.
+
+    A path of two rows has conflicting types.
+    """
+    count = len(set(shards))
+    rows = fields.where(F.col("table_name").isin(*shards)).groupBy("field_path", F.substring_index("field_path", ".", 1).alias("top_level_column"), "data_type")
+    found = rows.agg(F.count_distinct("table_name").alias("shards_containing_field"), F.min("table_name").alias("first_table"), F.max("table_name").alias("last_table"))
+    return found.withColumn("selected_shard_count", F.lit(count).cast("long")).withColumn("present_in_all_shards", F.col("shards_containing_field") == count)

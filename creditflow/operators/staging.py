@@ -29,6 +29,12 @@ def event_base(raw: DataFrame, s: Settings) -> DataFrame:
         text(F.col("traffic_source.source")).alias("first_user_source"),
         text(F.col("traffic_source.medium")).alias("first_user_medium"),
         text(F.col("traffic_source.name")).alias("first_user_campaign"),
+        F.col("device.category").alias("device_category"),
+        F.col("device.operating_system").alias("operating_system"),
+        F.col("device.web_info.browser").alias("browser"),
+        F.col("geo.country").alias("country"),
+        F.col("geo.region").alias("region"),
+        F.col("geo.city").alias("city"),
         text(F.col("ecommerce.transaction_id")).alias("transaction_id"),
         F.col("ecommerce.purchase_revenue").alias("purchase_revenue"),
         F.col("ecommerce.purchase_revenue_in_usd").alias("purchase_revenue_in_usd"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creditflow.operators import attribution, audits, markov, paths, reporting, sensitivity, validation
+from creditflow.plans.oracle import _channel, _quoted, _resolved
+from creditflow.plans.primitive import CATALOG_SQL, NAMES
 from creditflow.plans.registry import of_run
 from creditflow.plans.run import Run
 from creditflow.operators.sessions import CHANNEL_RULES
@@ -12,7 +14,7 @@ from creditflow.settings import DEFAULT as s
 from creditflow.sources import readers
 
 # Staging and sources
-of_run("event_base", lambda r: r.event_base, "event_id event_date event_ts event_name user_pseudo_id ga_session_id session_key event_source event_medium page_location_host page_location_domain page_referrer_host page_referrer_domain first_user_source first_user_medium transaction_id ~purchase_revenue_in_usd", "x_base")
+of_run("event_base", lambda r: r.event_base, "event_id event_date event_ts event_name user_pseudo_id ga_session_id session_key event_source event_medium page_location_host page_location_domain page_referrer_host page_referrer_domain first_user_source first_user_medium device_category operating_system browser country region city transaction_id ~purchase_revenue_in_usd", "x_base")
 of_run("orders_dedup", lambda r: r.orders, "order_key user_pseudo_id transaction_id order_ts order_date conversion_session_key ~order_revenue_usd purchase_event_count duplicate_purchase_event_count distinct_revenue_value_count ~minimum_observed_revenue_usd ~maximum_observed_revenue_usd", "x_orders")
 SOURCE = "session_key user_pseudo_id ga_session_id session_start_ts session_end_ts event_count purchase_event_count raw_event_tuple_event_count source_resolution_tier resolved_source resolved_medium resolved_campaign resolved_source_host resolved_source_domain is_inferred_source source_quality"
 of_run("source_v1", lambda r: r.provisional_sources, SOURCE, "x_provisional")
@@ -167,7 +169,13 @@ of_run("rpt_chart_markov_difference", lambda r: reporting.chart_markov_differenc
 of_run("rpt_validate_funnel", lambda r: reporting.funnel_problems(reporting.channel_funnel(r.event_base, r.sessions, s)).withColumnRenamed("check", "check_name"), "check_name #violations", "(VALUES ('is_empty', 0), ('repeated_channels', 0), ('channels_without_sessions', 0), ('rates_out_of_range', 0)) AS v(check_name, violations)")
 
 # Audits
-of_run("aud_schema", lambda r: readers.catalog_fields(r.spark, {"raw": r.raw}), "table_name field_path data_type")
+of_run(
+    "aud_schema",
+    lambda r: audits.schema_audit(readers.catalog_fields(r.spark, {n: readers.table(r.spark, r.sf_dir, n) for n in NAMES}), list(NAMES)),
+    "field_path top_level_column data_type #shards_containing_field first_table last_table #selected_shard_count present_in_all_shards",
+    f"""(SELECT field_path, field_path AS top_level_column, data_type, count(*) AS shards_containing_field, min(table_name) AS first_table, max(table_name) AS last_table,
+    {len(NAMES)} AS selected_shard_count, count(*) = {len(NAMES)} AS present_in_all_shards FROM ({CATALOG_SQL}) GROUP BY field_path, data_type)""",
+)
 of_run(
     "aud_date_coverage",
     lambda r: audits.date_coverage(r.raw, "2023-12-30", "2024-02-02"),
@@ -241,9 +249,15 @@ of_run("aud_source_coverage", lambda r: audits.source_coverage(r.sessions), "sou
 of_run("aud_source_frequency", lambda r: audits.source_frequency(r.sessions), "source_resolution_tier resolved_source resolved_medium resolved_campaign sessions ~session_share", "(SELECT source_resolution_tier, resolved_source, resolved_medium, resolved_campaign, count(*) AS sessions, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS session_share FROM x_sessions GROUP BY 1, 2, 3, 4)")
 of_run("rules_tables", lambda r: audits.mapping_rules(r.spark, s), "#priority channel rule_name", "(VALUES " + ", ".join(f"({a}, '{b}', '{c}')" for a, b, c in CHANNEL_RULES) + ") AS v(priority, channel, rule_name)")
 of_run("rules_domains", lambda r: audits.domain_rules(r.spark, s), "name match_type decision", f"(VALUES ('{s.storefront}', 'registered_domain', 'INTERNAL_STOREFRONT'), " + ", ".join(f"('{h}', 'exact_host', 'INTERNAL_ADMIN')" for h in s.admin_hosts) + ") AS v(name, match_type, decision)")
-_DIFF = "(SELECT b.session_key, b.source_resolution_tier AS before_source_resolution_tier, a.source_resolution_tier AS after_source_resolution_tier, b.resolved_source AS before_resolved_source, b.resolved_medium AS before_resolved_medium, a.resolved_source AS after_resolved_source, coalesce(b.has_internal_event_source, FALSE) AS is_affected_by_storefront, (b.source_resolution_tier, b.resolved_source, b.resolved_medium, b.resolved_campaign) IS DISTINCT FROM (a.source_resolution_tier, a.resolved_source, a.resolved_medium, a.resolved_campaign) AS is_changed FROM x_provisional b FULL JOIN x_sources a USING (session_key))"
+_CHANNEL = {x: _channel(*[f"{x}.{c}" for c in _resolved[:-1]], f"coalesce(lower({x}.resolved_source_host) IN ({_quoted(s.admin_hosts)}), FALSE)", 1) for x in "ba"}
+_DIFF = f"(SELECT b.session_key, b.source_resolution_tier AS before_source_resolution_tier, a.source_resolution_tier AS after_source_resolution_tier, b.resolved_source AS before_resolved_source, {_CHANNEL['b']} AS before_channel, {_CHANNEL['a']} AS after_channel, b.resolved_medium AS before_resolved_medium, a.resolved_source AS after_resolved_source, coalesce(b.has_internal_event_source, FALSE) AS is_affected_by_storefront, (b.source_resolution_tier, b.resolved_source, b.resolved_medium, b.resolved_campaign) IS DISTINCT FROM (a.source_resolution_tier, a.resolved_source, a.resolved_medium, a.resolved_campaign) AS is_changed FROM x_provisional b FULL JOIN x_sources a USING (session_key))"
 of_run("aud_reprocess", lambda r: audits.reprocessing(r.provisional_sources, r.sources, s), "session_key before_source_resolution_tier after_source_resolution_tier before_resolved_source after_resolved_source is_affected_by_storefront is_changed", _DIFF)
-of_run("aud_reprocess_summary", lambda r: audits.reprocessing_summary(audits.reprocessing(r.provisional_sources, r.sources, s), s).groupBy("before_source_resolution_tier", "after_source_resolution_tier").agg(F.sum("sessions").alias("sessions"), F.sum("changed_sessions").alias("changed_sessions")), "before_source_resolution_tier after_source_resolution_tier #sessions #changed_sessions", f"(SELECT before_source_resolution_tier, after_source_resolution_tier, count(*) AS sessions, count(*) FILTER (is_changed) AS changed_sessions FROM {_DIFF} GROUP BY ALL)")
+of_run(
+    "aud_reprocess_summary",
+    lambda r: audits.reprocessing_summary(audits.reprocessing(r.provisional_sources, r.sources, s), s),
+    "before_source_resolution_tier after_source_resolution_tier before_channel after_channel is_affected_by_storefront is_changed #sessions",
+    f"(SELECT * EXCLUDE (session_key, before_resolved_source, before_resolved_medium, after_resolved_source), count(*) AS sessions FROM {_DIFF} GROUP BY ALL)",
+)
 _MAP = "channel mapping_rule_name source_resolution_tier resolved_source resolved_medium resolved_source_domain source_quality is_inferred_source is_internal_admin_traffic"
 of_run("aud_channel_mapping", lambda r: audits.channel_mapping(r.sessions), f"{_MAP} sessions distinct_users", f"(SELECT {', '.join(_MAP.split())}, count(*) AS sessions, count(DISTINCT user_pseudo_id) AS distinct_users FROM x_sessions GROUP BY ALL)")
 _IMPACT = " ".join(f"#{v}_touchpoints_before #{v}_orders_before ~{v}_revenue_before #{v}_orders_after ~{v}_revenue_after #{v}_orders_lost ~{v}_revenue_lost" for v in ("strict", "revised"))

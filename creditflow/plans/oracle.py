@@ -173,6 +173,9 @@ SELECT event_id, ts AS event_ts, strftime(ts, '%Y%m%d') AS shard,
   CASE WHEN k BETWEEN 81 AND 84 THEN 'https://www.google.com/search?q=a' WHEN k BETWEEN 85 AND 88 THEN 'https://blog.example.org/post' END AS page_referrer,
   CASE user_id % 5 WHEN 0 THEN 'google' WHEN 1 THEN '(direct)' END AS first_user_source, CASE user_id % 5 WHEN 0 THEN 'organic' WHEN 1 THEN '(none)' END AS first_user_medium,
   CAST(NULL AS VARCHAR) AS first_user_campaign,
+  CASE user_id % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END AS device_category, CASE WHEN user_id % 3 = 0 THEN 'Web' WHEN user_id % 7 <> 0 THEN 'Android' END AS operating_system,
+  CASE WHEN user_id % 2 = 0 THEN 'Chrome' ELSE 'Safari' END AS browser, CASE WHEN user_id % 11 <> 0 THEN 'country-' || user_id % 4 END AS country, 'region-' || user_id % 8 AS region,
+  CASE WHEN user_id % 13 = 0 THEN '(not set)' ELSE 'city-' || user_id % 16 END AS city,
   CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 97 = 0 THEN '(not set)' WHEN event_id % 89 <> 0 THEN 't' || event_id END END AS transaction_id,
   CASE WHEN event_type = 'purchase' THEN value END AS purchase_revenue_in_usd
 FROM x_raw0""",

@@ -44,13 +44,10 @@ of_tables("src_date_spine", lambda s, d: readers.date_spine(s, "2023-11-01", "20
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _LISTED = ", ".join(f"'{n}'" for n in NAMES)
-of_tables(
-    "src_catalog_fields",
-    lambda s, d: readers.catalog_fields(s, {n: t(s, d, n) for n in NAMES}),
-    f"""SELECT table_name, column_name AS field_path, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+CATALOG_SQL = f"""SELECT table_name, column_name AS field_path, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
     WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' ELSE lower(data_type) END AS data_type
-    FROM information_schema.columns WHERE table_name IN ({_LISTED})""",
-)
+    FROM information_schema.columns WHERE table_name IN ({_LISTED})"""
+of_tables("src_catalog_fields", lambda s, d: readers.catalog_fields(s, {n: t(s, d, n) for n in NAMES}), CATALOG_SQL)
 of_tables(
     "src_table_exists",
     lambda s, d: readers.literal(s, [(n, readers.exists(s, f"{d}/{n}.parquet")) for n in (*NAMES, "no_such_table")], "table_name string, present boolean"),

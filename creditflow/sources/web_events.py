@@ -73,5 +73,15 @@ def web_events(events: DataFrame) -> DataFrame:
             F.when(F.col("user_id") % 5 == 0, "organic").when(F.col("user_id") % 5 == 1, "(none)").alias("medium"),
             F.lit(None).cast("string").alias("name"),
         ).alias("traffic_source"),
+        F.struct(
+            F.when(F.col("user_id") % 3 == 0, "desktop").when(F.col("user_id") % 3 == 1, "mobile").otherwise("tablet").alias("category"),
+            F.when(F.col("user_id") % 3 == 0, "Web").when(F.col("user_id") % 7 != 0, "Android").alias("operating_system"),
+            F.struct(F.when(F.col("user_id") % 2 == 0, "Chrome").otherwise("Safari").alias("browser")).alias("web_info"),
+        ).alias("device"),
+        F.struct(
+            F.when(F.col("user_id") % 11 != 0, F.concat(F.lit("country-"), (F.col("user_id") % 4).cast("string"))).alias("country"),
+            F.concat(F.lit("region-"), (F.col("user_id") % 8).cast("string")).alias("region"),
+            F.when(F.col("user_id") % 13 == 0, "(not set)").otherwise(F.concat(F.lit("city-"), (F.col("user_id") % 16).cast("string"))).alias("city"),
+        ).alias("geo"),
         F.struct(F.when(is_purchase, bought).alias("transaction_id"), F.when(is_purchase, F.col("value")).alias("purchase_revenue"), F.when(is_purchase, F.col("value")).alias("purchase_revenue_in_usd")).alias("ecommerce"),
     )

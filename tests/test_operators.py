@@ -244,3 +244,13 @@ def test_registered_domains(spark, tmp_path):
     rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", C.reg_domain(F.col("h"), rules).alias("d")).collect()
     assert {r.h: r.d for r in rows} == hosts
     assert spark.createDataFrame([("a.b.co.uk",)], "h string").select(C.reg_domain(F.col("h"), ()).alias("d")).first().d == "co.uk"
+
+
+def test_schema_audit(spark):
+    from creditflow.operators import audits
+
+    shards = {"e1": spark.createDataFrame([], "a int, p struct<x:string>"), "e2": spark.createDataFrame([], "a long"), "e3": spark.createDataFrame([], "a int, b int"), "other": spark.createDataFrame([], "a int")}
+    rows = audits.schema_audit(readers.catalog_fields(spark, shards), ["e1", "e2", "e3"]).collect()
+    got = {(r.field_path, r.data_type): (r.top_level_column, r.shards_containing_field, r.first_table, r.last_table, r.selected_shard_count, r.present_in_all_shards) for r in rows}
+    assert got[("a", "int")] == ("a", 2, "e1", "e3", 3, False) and got[("a", "bigint")] == ("a", 1, "e2", "e2", 3, False)
+    assert got[("p.x", "string")][0] == "p" and len(got) == 5
