@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditflow.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, mixing, sharding, token_counts, token_output, topk, warc
+from creditflow.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, mixing, sharding, suffix_dedup, token_counts, token_output, topk, warc
 from creditflow.llm.shared import scratch_path
 from creditflow.workers import reachable
 
@@ -72,6 +72,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_id.fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_orc,
         op9_consistent_hash_sharding,
         op10_language_id,
+        op11_suffix_array_dedup,
     )
 }
 
