@@ -20,7 +20,7 @@ def brute(rows, length=200):
                 end = p + length
                 gone[p:end] = b"\1" * length
         kept = bytes(x for x, g in zip(raw, gone, strict=True) if not g)
-        spans = sum(g and not before for g, before in zip(gone, b"\0" + gone[:-1], strict=True))
+        spans = sum(g and not before for g, before in zip(gone, b"\0" + gone, strict=False))
         out.append((i, len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return Counter(out)
 
