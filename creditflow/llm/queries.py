@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditflow.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, mixing, sharding, suffix_dedup, token_counts, token_output, topk, warc
+from creditflow.llm import byte_bpe, conversation_repair, embedding_dedup, filter_audit, jaccard_join, language_id, mixing, sharding, suffix_dedup, token_counts, token_output, topk, warc
 from creditflow.llm.shared import scratch_path
 from creditflow.workers import reachable
 
@@ -77,6 +77,14 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(_table(spark, sf_dir, "conversations")), _table(spark, sf_dir, "conversations").select("conv_id")).drop("repaired")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -91,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_consistent_hash_sharding,
         op10_language_id,
         op11_suffix_array_dedup,
+        op12_conversation_repair,
+        op13_filter_audit,
     )
 }
 
@@ -115,4 +125,5 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BI
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }

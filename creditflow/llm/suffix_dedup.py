@@ -69,9 +69,12 @@ class Keys:
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(self._codes[data] * up[: len(data)], out=self.sums[1:])
 
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        x = (self.sums[end] - self.sums[start]) * self.down[start]
+        return x ^ (x >> np.uint64(31))
+
     def of(self, at: np.ndarray, size: int) -> np.ndarray:
-        x = (self.sums[at + size] - self.sums[at]) * self.down[at]
-        return (x ^ (x >> np.uint64(31))).view(np.int64)
+        return self.between(at, at + size).view(np.int64)
 
 
 def entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, span: int = SPAN) -> tuple[np.ndarray, ...]:
