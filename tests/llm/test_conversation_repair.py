@@ -117,7 +117,7 @@ def test_repaired_text_and_empty_tables(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     row = conversation_repair.repair(df, keep_text=True).first()
     assert hashlib.sha256(row["repaired"].encode()).hexdigest() == row["repaired_sha256"]
-    assert (row["audit"], row["cost"], row["repaired"]) == ("IKKD" + "I", 10, "user:\nassistant:Hi.\nuser:And?\nassistant:")
+    assert (row["audit"], row["cost"], row["repaired"]) == ("IKKR", 9, "user:\nassistant:Hi.\nuser:And?\nassistant:So")
     none = df.limit(0)
     assert conversation_repair.repair(none).count() == 0
     left = conversation_repair.repair(none, df).first()
