@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditflow.functions.columns import days, hash_key, seconds, whole_seconds
+from creditflow.operators.scan import Segments, following, last, total
 from creditflow.operators.sessions import eligible
 from creditflow.settings import CONVERSION, NULL, Settings
 
@@ -125,43 +126,51 @@ def _merged(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts:
 
 
 def asof_last(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, name: str) -> DataFrame:
-    """Left rows with the greatest right time strictly before theirs: one shuffle and a running window, no pairs."""
-    w = Window.partitionBy(by).orderBy("_ts", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    """Left rows with the greatest right time strictly before theirs: one scan over both, no pairs.
+
+    Rows of a key are scanned in segments, so that a key with very many rows is spread over tasks.
+    """
     rows = _merged(left, right, by, left_ts, right_ts, right_first=False)
-    return rows.withColumn(name, F.last("_found", ignorenulls=True).over(w)).where("NOT _right").drop("_ts", "_right", "_found", "_turn")
+    found = Segments.cut(rows, (by,), ["_ts", "_turn"]).with_columns({name: last("_found")})
+    return found.where("NOT _right").done().drop("_ts", "_right", "_found", "_turn")
 
 
 def asof_next(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, name: str) -> DataFrame:
     """Left rows with the least right time at or after theirs."""
-    w = Window.partitionBy(by).orderBy(F.desc("_ts"), "_turn").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _merged(left, right, by, left_ts, right_ts, right_first=True)
-    return rows.withColumn(name, F.last("_found", ignorenulls=True).over(w)).where("NOT _right").drop("_ts", "_right", "_found", "_turn")
+    rows = _merged(left, right, by, left_ts, right_ts, right_first=False)
+    found = Segments.cut(rows, (by,), ["_ts", "_turn"]).with_columns({name: following("_found")})
+    return found.where("NOT _right").done().drop("_ts", "_right", "_found", "_turn")
 
 
 def segmented_journeys(sessions: DataFrame, orders: DataFrame, inactivity_seconds: int) -> DataFrame:
-    """Sessions cut into journeys by inactivity or an order in between, one row per journey."""
-    user = Window.partitionBy("user_pseudo_id").orderBy("session_start_ts", "session_key")
+    """Sessions cut into journeys by inactivity or an order in between, one row per journey.
+
+    Sessions and orders go along a user's time together, in segments: each session gets the session before it, the last
+    order before it and the next order from its start on in one scan, the number of its journey in a second.
+    """
     rows = eligible(sessions).select("user_pseudo_id", "session_key", "session_start_ts", "session_end_ts", "channel", "mapping_version")
-    rows = rows.withColumns({"_prev_start": F.lag("session_start_ts").over(user), "_prev_end": F.lag("session_end_ts").over(user)})
-    rows = asof_last(rows, orders, "user_pseudo_id", "session_start_ts", "order_ts", "_last_order")
+    rows = _merged(rows, orders, "user_pseudo_id", "session_start_ts", "order_ts", right_first=False)
+    scanned = Segments.cut(rows, ("user_pseudo_id",), ["_ts", "_turn", "session_key"]).with_columns(
+        {"_prev_start": last("session_start_ts", before=True), "_prev_end": last("session_end_ts", before=True), "_last_order": last("_found"), "_next_order": following("_found")}
+    )
     fresh = F.col("_prev_start").isNull() | (F.col("session_start_ts") >= F.col("_prev_end") + seconds(inactivity_seconds)) | F.coalesce(F.col("_last_order") >= F.col("_prev_start"), F.lit(False))
-    rows = rows.withColumn("journey_number", F.sum(F.when(fresh, 1).otherwise(0)).over(user.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    rows = scanned.where("NOT _right").with_columns({"journey_number": total(F.when(fresh, 1).otherwise(0).cast("long"))}).done()
     ordered = F.array_sort(F.collect_list(F.struct("session_start_ts", "session_key", "channel")))
     journeys = rows.groupBy("user_pseudo_id", "journey_number").agg(
         F.min("session_start_ts").alias("journey_start_ts"),
         F.max("session_end_ts").alias("last_activity_ts"),
+        F.min("_next_order").alias("next_purchase_ts"),
         ordered.alias("_path"),
         F.count(F.lit(1)).alias("session_count"),
         F.max("mapping_version").alias("mapping_version"),
     )
-    journeys = journeys.withColumns(
+    return journeys.withColumns(
         {
             "inactivity_expiry_ts": F.col("last_activity_ts") + seconds(inactivity_seconds),
             "channel_path": F.transform("_path", lambda x: x["channel"]),
             "session_key_path": F.transform("_path", lambda x: x["session_key"]),
         }
     ).drop("_path")
-    return asof_next(journeys, orders, "user_pseudo_id", "journey_start_ts", "order_ts", "next_purchase_ts")
 
 
 def nonconverting(journeys: DataFrame, s: Settings, inactivity_seconds: int) -> DataFrame:

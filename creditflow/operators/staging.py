@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditflow.functions.columns import get_param, hash_key, reg_domain, text, url_host
+from creditflow.operators.scan import Segments, lag
 from creditflow.settings import Settings
 
 
@@ -74,13 +75,7 @@ def orders(base: DataFrame) -> DataFrame:
 
 
 def order_cycles(orders: DataFrame) -> DataFrame:
-    """Orders with the user's order before, and their place among those of the same time."""
-    user = Window.partitionBy("user_pseudo_id").orderBy("order_ts", "order_key")
+    """Orders with the user's order before, and their place among those of the same time; users are scanned in segments."""
+    rows = Segments.cut(orders, ("user_pseudo_id",), ["order_ts", "order_key"]).with_columns({"previous_order_ts": lag("order_ts")}).done()
     same = Window.partitionBy("user_pseudo_id", "order_ts")
-    return orders.withColumns(
-        {
-            "previous_order_ts": F.lag("order_ts").over(user),
-            "same_timestamp_order_count": F.count(F.lit(1)).over(same),
-            "same_timestamp_order_sequence": F.row_number().over(same.orderBy("order_key")).cast("long"),
-        }
-    )
+    return rows.withColumns({"same_timestamp_order_count": F.count(F.lit(1)).over(same), "same_timestamp_order_sequence": F.row_number().over(same.orderBy("order_key")).cast("long")})

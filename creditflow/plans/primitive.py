@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from creditflow.functions import columns as C
 from creditflow.operators.paths import asof_last, asof_next
+from creditflow.operators.scan import Segments, global_rank, lag, total
 from creditflow.operators.sensitivity import ordinal_rank, tied_channels
 from creditflow.operators.sessions import EMAIL_MEDIUM
 from creditflow.plans import oracle
@@ -176,11 +177,26 @@ of_tables("agg_counter", lambda s, d: _nation_paths(s, d).select(F.explode(C.adj
 
 # Windows
 W = lambda: Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-of_tables("win_lag", lambda s, d: t(s, d, "orders").select("o_orderkey", F.lag("o_orderdate").over(W()).alias("before")), "SELECT o_orderkey, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders")
-of_tables("win_row_number", lambda s, d: t(s, d, "orders").select("o_orderkey", F.row_number().over(W()).cast("long").alias("n")), "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders")
+of_tables(
+    "win_lag",
+    lambda s, d: Segments.cut(t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), ("o_custkey",), ["o_orderdate", "o_orderkey"]).with_columns({"before": lag("o_orderdate")}).done().select("o_orderkey", "before"),
+    "SELECT o_orderkey, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders",
+)
+of_tables(
+    "win_row_number",
+    lambda s, d: global_rank(t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], "n", ("o_custkey",)).select("o_orderkey", "n"),
+    "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders",
+)
 of_tables("win_dense_rank", lambda s, d: t(s, d, "part").select("p_partkey", F.dense_rank().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"))).cast("long").alias("r")), "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS r FROM part")
 of_tables("win_count_partition", lambda s, d: t(s, d, "supplier").select("s_suppkey", F.count("*").over(Window.partitionBy("s_nationkey")).alias("n")), "SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier")
-of_tables("win_sum_running", lambda s, d: _events(s, d).select("event_id", F.sum((c("event_type") == "purchase").cast("long")).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("purchases")), "SELECT event_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS purchases FROM events")
+of_tables(
+    "win_sum_running",
+    lambda s, d: Segments.cut(_events(s, d).select("event_id", "user_id", "ts", "event_type"), ("user_id",), ["ts", "event_id"])
+    .with_columns({"purchases": total((c("event_type") == "purchase").cast("long"))})
+    .done()
+    .select("event_id", "purchases"),
+    "SELECT event_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS purchases FROM events",
+)
 of_tables("win_sum_partition", lambda s, d: t(s, d, "supplier").select("s_suppkey", F.round(c("s_acctbal") / F.sum("s_acctbal").over(Window.partitionBy("s_nationkey")), 6).alias("share")), "SELECT s_suppkey, round(s_acctbal / sum(s_acctbal) OVER (PARTITION BY s_nationkey), 6) AS share FROM supplier")
 of_tables("win_max_conditional", lambda s, d: t(s, d, "orders").select("o_orderkey", F.max(F.when(c("o_orderstatus") != "F", c("o_totalprice"))).over(Window.partitionBy("o_custkey")).alias("m")), "SELECT o_orderkey, max(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END) OVER (PARTITION BY o_custkey) AS m FROM orders")
 of_tables("win_percentile", lambda s, d: t(s, d, "supplier").select("s_suppkey", F.round(F.percentile("s_acctbal", F.lit(0.5)).over(Window.partitionBy("s_nationkey")), 6).alias("median")), "SELECT s_suppkey, round(quantile_cont(s_acctbal, 0.5) OVER (PARTITION BY s_nationkey), 6) AS median FROM supplier")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditflow.operators.scan import Segments, lag, total
+
 #: Last bucket of k, source, medium; the ranges follow each other from 0.
 EVIDENCE = (
     (17, "google", "organic"),
@@ -35,10 +37,9 @@ def _by_bucket(k: Column, at: int) -> Column:
 
 
 def web_events(events: DataFrame) -> DataFrame:
-    """One row per event, and a second purchase one second later for every fiftieth, to exercise de-duplication."""
+    """One row per event, sessions numbered along each user's time, and a second purchase one second later for every fiftieth, to exercise de-duplication."""
     k = F.get_json_object("props", "$.k").cast("int")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.timestamp_diff("SECOND", F.lag("ts").over(order), F.col("ts")) > SESSION_GAP_SECONDS
+    gap = F.timestamp_diff("SECOND", F.col("before"), F.col("ts")) > SESSION_GAP_SECONDS
     name = F.create_map(*[F.lit(x) for x in ("view", "view_item", "click", "add_to_cart", "signup", "begin_checkout", "purchase", "purchase", "error", "page_view")])
     referrer = F.when(k.between(81, 84), "https://www.google.com/search?q=a").when(k.between(85, 88), "https://blog.example.org/post")
     bought = F.when(F.col("event_id") % 97 == 0, "(not set)").when(F.col("event_id") % 89 != 0, F.concat(F.lit("t"), F.col("event_id").cast("string")))
@@ -47,8 +48,9 @@ def web_events(events: DataFrame) -> DataFrame:
         F.lit(key).alias("key"),
         F.struct((F.lit(None).cast("string") if s is None else s).alias("string_value"), (F.lit(None).cast("long") if i is None else i).alias("int_value")).alias("value"),
     )
-    session = F.sum(F.when(gap, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
-    rows = events.select("event_id", "user_id", "ts", "event_type", "value", k.alias("k"), session.alias("session"))
+    rows = events.select("event_id", "user_id", "ts", "event_type", "value", k.alias("k"))
+    timed = Segments.cut(rows, ("user_id",), ["ts", "event_id"]).with_columns({"before": lag("ts")})
+    rows = timed.with_columns({"session": total(F.when(gap, 1).otherwise(0).cast("long"))}).done()
     k = F.col("k")
     referrer = F.when(k.between(81, 84), "https://www.google.com/search?q=a").when(k.between(85, 88), "https://blog.example.org/post")
     params = F.filter(
