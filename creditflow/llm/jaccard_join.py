@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditflow.llm.components import components
+from creditflow.llm import memo
 from creditflow.llm.shared import BROADCAST_ROWS, side, small_batches, written
 
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -97,6 +98,7 @@ def _signatures(rows: DataFrame, width: int, percent: int, extra: int) -> DataFr
     """doc_id, key, node, n, the sketch's words, fine (a longer sketch of long sets, else empty), grams (``first_grams``)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.forget()
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
             sketches = np.stack([_sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH_WORDS), "int64")

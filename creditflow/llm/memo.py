@@ -39,15 +39,20 @@ class Memo:
 _resident: dict[str, object] = {}
 
 
+def forget() -> None:
+    """Drop what is resident and hand its pages back; for operators that need no models, as workers outlive a query."""
+    _resident.clear()
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 def resident(key: str, make: Callable[[], object]):
     """What ``make`` gives, kept for the worker's next batches and tasks until another operator needs the room.
 
     Workers outlive a query; one operator's models and memories at a time stay in them.
     """
     if key not in _resident:
-        _resident.clear()
-        gc.collect()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it, hand free pages back
-            trim(0)
+        forget()
         _resident[key] = make()
     return _resident[key]
