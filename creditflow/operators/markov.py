@@ -98,8 +98,8 @@ class Chain:
         keep = [j for j in range(len(self.states)) if j != i]
         return Chain([self.states[j] for j in keep], counts[np.ix_(keep, keep)], p[np.ix_(keep, keep)]).checked()
 
-    def effects(self) -> list[tuple[str, float, float, float]]:
-        """(channel, base, probability without it, removal effect)."""
+    def effects(self) -> list[tuple[str, float, float, float, float]]:
+        """(channel, base, probability without it, raw effect, removal effect); what rounding makes negative is 0."""
         base = self.conversion_probability()
         if base <= TOLERANCE:
             raise ValueError("the chain never converts")
@@ -107,7 +107,7 @@ class Chain:
         for c in self.states[1:-2]:
             rest = self.without(c).conversion_probability()
             raw = 1 - rest / base
-            out.append((c, base, rest, 0.0 if -TOLERANCE <= raw < 0 else raw))
+            out.append((c, base, rest, raw, 0.0 if -TOLERANCE <= raw < 0 else raw))
         return out
 
 
@@ -140,18 +140,40 @@ def transition_matrix(edge_counts: DataFrame, by: tuple[str, ...] = ()) -> DataF
 
 
 def removal_effects(edge_counts: DataFrame, by: str) -> DataFrame:
-    """by, channel, base and reduced probability, effect, share: one chain per value of ``by``.
+    """by, channel, base and reduced probability, raw and adjusted effect, share: one chain per value of ``by``.
 
-    A group is one chain's edges, at most states squared rows.
+    A group is one chain's edges, at most states squared rows.  ``is_adjusted``: the raw effect was negative within the
+    tolerance of floating point and is taken as 0; a materially negative one is an error, as it can't be shared.
     """
+    names = ("channel", "base_probability", "probability_without", "raw_removal_effect", "removal_effect")
 
     def solve(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
         rows = Chain.of(e["src"].to_list(), e["dst"].to_list(), e["n"].to_list()).effects()
-        shares = normalised({r[0]: r[3] for r in rows})
-        return pd.DataFrame([(*key, *r, shares[r[0]]) for r in rows], columns=[by, "channel", "base_probability", "probability_without", "removal_effect", "attribution_share"])
+        shares = normalised({r[0]: r[4] for r in rows})
+        return pd.DataFrame([(*key, *r, r[3] != r[4], r[4] < -TOLERANCE, shares[r[0]]) for r in rows], columns=[by, *names, "is_adjusted", "is_materially_negative", "attribution_share"])
 
     kind = edge_counts.schema[by].dataType.simpleString()
-    return edge_counts.groupBy(by).applyInPandas(solve, f"{by} {kind}, channel string, base_probability double, probability_without double, removal_effect double, attribution_share double")
+    schema = f"{by} {kind}, channel string, " + ", ".join(f"{n} double" for n in names[1:]) + ", is_adjusted boolean, is_materially_negative boolean, attribution_share double"
+    return edge_counts.groupBy(by).applyInPandas(solve, schema)
+
+
+def reachability(edge_counts: DataFrame, by: str) -> DataFrame:
+    """by, state, reaches_conversion, reaches_null, is_trapped: which outcomes each state of each chain can come to.
+
+    The edges of a chain, at most states squared, are one array; the states that reach an outcome grow backwards along
+    them, as many steps as there are states, inside one expression.
+    """
+    chains = edge_counts.where("n > 0").groupBy(by).agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+    ends = F.array(F.lit(START), F.lit(CONVERSION), F.lit(NULL))
+    chains = chains.withColumn("states", F.array_union(F.array_union(F.transform("edges", lambda x: x["src"]), F.transform("edges", lambda x: x["dst"])), ends))
+
+    def reaching(outcome: str):
+        step = lambda seen, _: F.array_union(seen, F.transform(F.filter("edges", lambda x: F.array_contains(seen, x["dst"])), lambda x: x["src"]))
+        return F.aggregate(F.col("states"), F.array(F.lit(outcome)), step)
+
+    rows = chains.select(by, "states", reaching(CONVERSION).alias("c"), reaching(NULL).alias("z")).select(by, "c", "z", F.explode("states").alias("state"))
+    found = rows.select(by, "state", F.array_contains("c", F.col("state")).alias("reaches_conversion"), F.array_contains("z", F.col("state")).alias("reaches_null"))
+    return found.withColumn("is_trapped", ~F.col("reaches_conversion") & ~F.col("reaches_null"))
 
 
 def markov_attribution(effects: DataFrame, journeys: DataFrame) -> DataFrame:

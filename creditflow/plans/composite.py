@@ -72,67 +72,122 @@ of_run(
     SELECT a.state AS src, b.state AS dst, coalesce(n, 0) AS n, a.state IN ('Conversion', 'Null') AS is_absorbing, CASE WHEN a.state IN ('Conversion', 'Null') THEN CASE WHEN a.state = b.state THEN 1.0 ELSE 0.0 END ELSE coalesce(n / CAST(sum(n) OVER (PARTITION BY a.state) AS DOUBLE), 0) END AS probability
     FROM st a CROSS JOIN st b LEFT JOIN (SELECT src, dst, n FROM x_edges WHERE scenario = 'baseline') e ON e.src = a.state AND e.dst = b.state)""",
 )
-of_run("markov_reachability", lambda r: markov.invalid_paths(r.markov_paths), "journey_id", "(SELECT journey_id FROM x_journeys WHERE is_markov_included AND (len(channel_path) = 0 OR list_contains(channel_path, 'Start') OR list_contains(channel_path, 'Null') OR list_contains(channel_path, 'Conversion')))")
+of_run(
+    "markov_reachability",
+    lambda r: markov.reachability(r.scenario_edges, "scenario"),
+    "scenario state reaches_conversion reaches_null is_trapped",
+    """(WITH RECURSIVE r AS (SELECT DISTINCT scenario, goal, goal AS state FROM x_edges, (SELECT unnest(['Conversion', 'Null']) AS goal)
+      UNION SELECT e.scenario, r.goal, e.src FROM r JOIN x_edges e ON e.scenario = r.scenario AND e.dst = r.state WHERE e.n > 0),
+    st AS (SELECT scenario, src AS state FROM x_edges UNION SELECT scenario, dst FROM x_edges UNION SELECT scenario, unnest(['Start', 'Conversion', 'Null']) FROM (SELECT DISTINCT scenario FROM x_edges))
+    SELECT scenario, state, bool_or(coalesce(goal = 'Conversion', FALSE)) AS reaches_conversion, bool_or(coalesce(goal = 'Null', FALSE)) AS reaches_null, bool_and(goal IS NULL) AS is_trapped FROM st LEFT JOIN r USING (scenario, state) GROUP BY ALL)""",
+)
+of_run(
+    "markov_invalid_paths",
+    lambda r: markov.invalid_paths(r.markov_paths),
+    "journey_id",
+    "(SELECT journey_id FROM x_journeys WHERE is_markov_included AND (len(channel_path) = 0 OR list_has_any(channel_path, ['Start', 'Null', 'Conversion'])))",
+)
 of_run("markov_absorption", lambda r: r.effects.select("base_probability").distinct(), "~base_probability", "(SELECT x AS base_probability FROM x_chance WHERE scenario = 'baseline' AND removed = '')")
 of_run("markov_remove", lambda r: r.effects, "channel ~probability_without", "(SELECT * FROM x_effects WHERE scenario = 'baseline')")
-of_run("markov_effects", lambda r: r.effects, "channel ~base_probability ~probability_without ~removal_effect", "(SELECT * FROM x_effects WHERE scenario = 'baseline')")
+of_run(
+    "markov_effects",
+    lambda r: r.effects,
+    "channel ~base_probability ~probability_without ~raw_removal_effect ~removal_effect is_materially_negative",
+    "(SELECT *, 1 - probability_without / base_probability AS raw_removal_effect, 1 - probability_without / base_probability < -1e-12 AS is_materially_negative FROM x_effects WHERE scenario = 'baseline')",
+)
 of_run("markov_normalize", lambda r: r.effects, "channel ~attribution_share", "(SELECT * FROM x_effects WHERE scenario = 'baseline')")
 of_run("markov_attribution", lambda r: r.markov_attribution, "channel ~attributed_conversions ~attributed_revenue", "x_markov")
 COMPARE = "channel model ~attributed_conversions ~attributed_revenue ~attribution_share channel_rank ~conversions_difference_vs_last_click ~conversions_relative_difference_vs_last_click ~revenue_difference_vs_last_click ~revenue_relative_difference_vs_last_click"
 of_run("rule_markov_comparison", lambda r: r.comparison, COMPARE, "x_comparison")
 
 # Sensitivity
-_days = sorted(s.scenario_days)
 of_run(
     "sens_lookback",
-    lambda r: sensitivity.lookback_results(r.revised, s),
-    "#lookback_days cohort_view model channel attributable_order_count ~attributable_revenue ~average_path_length ~median_path_length ~multi_touch_share channel_touchpoint_count ~channel_touchpoint_share ~attributed_conversions ~attributed_revenue ~conversion_share ~revenue_share",
-    f"""(WITH e AS (SELECT d AS lookback_days, r.* FROM x_revised r, (SELECT unnest({list(_days)}) AS d) WHERE seconds_before_conversion <= d * 86400),
-    k AS (SELECT order_key FROM e GROUP BY order_key HAVING count(DISTINCT lookback_days) = {len(_days)}),
-    v AS (SELECT *, CASE WHEN lookback_days = {_days[-1]} THEN 'baseline' ELSE 'population_impact' END AS cohort_view FROM e UNION ALL SELECT *, 'common_cohort' FROM e WHERE order_key IN (SELECT order_key FROM k)),
-    n AS (SELECT * EXCLUDE (touchpoint_number, path_length), row_number() OVER (PARTITION BY lookback_days, cohort_view, order_key ORDER BY touchpoint_number, session_key) AS tn, count(*) OVER (PARTITION BY lookback_days, cohort_view, order_key) AS pl FROM v),
-    p AS (SELECT *, max(CASE WHEN channel <> 'Direct' THEN tn END) OVER o AS lnd, pow(0.5, seconds_before_conversion / 604800.0::DOUBLE) AS dw FROM n WINDOW o AS (PARTITION BY lookback_days, cohort_view, order_key)),
-    q AS (SELECT *, dw / sum(dw) OVER (PARTITION BY lookback_days, cohort_view, order_key) AS td FROM p),
-    m AS (SELECT lookback_days, cohort_view, channel, order_revenue_usd, unnest([{{'m': 'First Click', 'w': CASE WHEN tn = 1 THEN 1.0::DOUBLE ELSE 0 END}}, {{'m': 'Last Click', 'w': CASE WHEN tn = pl THEN 1.0::DOUBLE ELSE 0 END}}, {{'m': 'Last Non-direct Click', 'w': CASE WHEN tn = coalesce(lnd, pl) THEN 1.0::DOUBLE ELSE 0 END}}, {{'m': 'Linear', 'w': 1.0::DOUBLE / pl}}, {{'m': 'Time Decay', 'w': td}}]) AS x FROM q),
-    a AS (SELECT lookback_days, cohort_view, x.m AS model, channel, sum(x.w) AS attributed_conversions, sum(order_revenue_usd * x.w) AS attributed_revenue FROM m WHERE x.w > 0 GROUP BY ALL),
-    op AS (SELECT lookback_days, cohort_view, order_key, any_value(order_revenue_usd) AS rev, any_value(pl) AS pl FROM n GROUP BY ALL),
-    ps AS (SELECT lookback_days, cohort_view, count(*) AS attributable_order_count, round(sum(rev), 2) AS attributable_revenue, avg(pl) AS average_path_length, median(pl) AS median_path_length, count(*) FILTER (pl > 1) / CAST(count(*) AS DOUBLE) AS multi_touch_share FROM op GROUP BY ALL),
-    ct AS (SELECT lookback_days, cohort_view, channel, count(*) AS channel_touchpoint_count FROM n GROUP BY ALL),
-    cs AS (SELECT *, channel_touchpoint_count / CAST(sum(channel_touchpoint_count) OVER (PARTITION BY lookback_days, cohort_view) AS DOUBLE) AS channel_touchpoint_share FROM ct)
-    SELECT *, attributed_conversions / attributable_order_count AS conversion_share, attributed_revenue / attributable_revenue AS revenue_share FROM a JOIN ps USING (lookback_days, cohort_view) JOIN cs USING (lookback_days, cohort_view, channel))""",
-)
-of_run("sens_null14", lambda r: r.short_null, "journey_id user_pseudo_id journey_start_ts last_activity_ts inactivity_expiry_ts next_purchase_ts @channel_path session_count journey_status overlapping_session_count is_overlap_excluded is_markov_included is_left_boundary_truncated", "x_short")
+    lambda r: r.lookback,
+    "#lookback_days cohort_view model channel attributable_order_count ~attributable_revenue ~average_path_length ~median_path_length ~multi_touch_share"
+    " channel_touchpoint_count ~channel_touchpoint_share ~attributed_conversions ~attributed_revenue ~conversion_share ~revenue_share",
+    "x_lookback",
+)
+of_run(
+    "sens_null14",
+    lambda r: r.short_null,
+    "journey_id user_pseudo_id journey_start_ts last_activity_ts inactivity_expiry_ts next_purchase_ts @channel_path session_count journey_status overlapping_session_count"
+    " is_overlap_excluded is_markov_included is_left_boundary_truncated",
+    "x_short",
+)
 of_run("sens_paths", lambda r: r.journeys.where("is_markov_included"), "journey_id user_pseudo_id outcome_state @channel_path", "(SELECT * FROM x_journeys WHERE is_markov_included)")
 for name, scenario in (("sens_compress", "compressed"), ("sens_omit_direct", "omit_direct")):
-    of_run(name, lambda r, x=scenario: r.scenario_paths.where(F.col("scenario") == x).groupBy("path").agg(F.count("*").alias("journeys")), "@path journeys", f"(SELECT path, count(*) AS journeys FROM x_scenario_paths WHERE scenario = '{scenario}' GROUP BY path)")
+    of_run(
+        name,
+        lambda r, x=scenario: r.scenario_paths.where(F.col("scenario") == x).groupBy("path").agg(F.count("*").alias("journeys")),
+        "@path journeys",
+        f"(SELECT path, count(*) AS journeys FROM x_scenario_paths WHERE scenario = '{scenario}' GROUP BY path)",
+    )
 of_run(
     "sens_path_metrics",
-    lambda r: sensitivity.path_metrics(r.scenario_paths),
-    "scenario journeys ~average_path_length ~median_path_length ~multi_touch_share",
-    "(SELECT scenario, count(*) AS journeys, avg(len(path) - 2) AS average_path_length, median(len(path) - 2) AS median_path_length, count(*) FILTER (len(path) > 3) / CAST(count(*) AS DOUBLE) AS multi_touch_share FROM x_scenario_paths GROUP BY scenario)",
+    lambda r: r.metrics.join(sensitivity.channel_touchpoints(r.scenario_edges), "scenario"),
+    "scenario #journeys #conversion_journey_count #null_journey_count ~attributable_revenue #touchpoints ~average_path_length ~median_path_length ~multi_touch_share channel #channel_touchpoint_count ~channel_touchpoint_share",
+    "(SELECT * FROM x_metrics JOIN x_touches USING (scenario))",
+)
+SENSITIVITY = (
+    "scenario cohort_view model channel #attributable_order_count ~attributable_revenue #conversion_journey_count #null_journey_count #right_censored_journey_count ~average_path_length ~median_path_length"
+    " ~multi_touch_share #channel_touchpoint_count ~channel_touchpoint_share ~removal_effect ~attributed_conversions ~attributed_revenue ~conversion_share ~revenue_share conversion_rank revenue_rank"
+    " ~baseline_conversion_probability"
+)
+of_run(
+    "sens_markov_rows",
+    lambda r: r.sensitivity.where("model = 'Markov'"),
+    f"{SENSITIVITY} is_conversion_share_tied is_revenue_share_tied sensitivity_version",
+    f"(SELECT *, '{s.sensitivity_version}' AS sensitivity_version FROM x_sens WHERE model = 'Markov')",
+)
+of_run(
+    "sens_projection",
+    lambda r: r.sensitivity.orderBy("scenario", "cohort_view", "model", "conversion_rank", "channel"),
+    f"{SENSITIVITY} sensitivity_version",
+    f"(SELECT *, '{s.sensitivity_version}' AS sensitivity_version FROM x_sens)",
 )
-of_run("sens_markov_rows", lambda r: r.scenarios, "scenario channel ~base_probability ~removal_effect ~attribution_share channel_rank", "x_ranked")
 of_run(
     "sens_rank_groups",
     lambda r: sensitivity.tied_channels(attribution.channel_totals(r.results), "attributed_conversions", "model", tolerance=1e-9),
     "model channel ~attributed_conversions is_tied",
-    "(WITH c AS (SELECT model, channel, sum(attributed_conversion) AS attributed_conversions FROM x_results GROUP BY ALL) SELECT *, EXISTS (SELECT 1 FROM c d WHERE d.model = c.model AND d.channel <> c.channel AND abs(d.attributed_conversions - c.attributed_conversions) <= 1e-9) AS is_tied FROM c)",
-)
-_STABLE = """(WITH j AS (SELECT r.scenario, r.channel, r.attribution_share, b.attribution_share AS baseline_share, r.channel_rank - b.channel_rank AS rank_shift, r.channel_rank AS cr, b.channel_rank AS br FROM x_ranked r JOIN x_ranked b ON b.scenario = 'baseline' AND b.channel = r.channel WHERE r.scenario <> 'baseline')
-    SELECT *, (attribution_share - baseline_share) * 100 AS share_change_points, (attribution_share - baseline_share) / nullif(baseline_share, 0) AS relative_change,
-    CASE WHEN count(*) OVER w < 2 THEN 1.0 ELSE 1.0 - 6.0 * sum(rank_shift * rank_shift) OVER w / CAST(count(*) OVER w * (count(*) OVER w * count(*) OVER w - 1) AS DOUBLE) END AS spearman,
-    sum(CASE WHEN cr <= 3 AND br <= 3 THEN 1 ELSE 0 END) OVER w AS top_3_overlap, max(abs(rank_shift)) OVER w AS maximum_rank_shift FROM j WINDOW w AS (PARTITION BY scenario))"""
-of_run("rank_stability", lambda r: sensitivity.rank_stability(r.scenarios), "scenario channel ~share_change_points ~relative_change #rank_shift ~spearman #top_3_overlap #maximum_rank_shift", _STABLE)
-of_run("spearman", lambda r: sensitivity.rank_stability(r.scenarios).select("scenario", "spearman").distinct(), "scenario ~spearman", f"(SELECT DISTINCT scenario, round(spearman, 9) AS spearman FROM {_STABLE})")
-of_run("bootstrap_user_cluster", lambda r: r.bootstrap_draws, "#replicate channel ~removal_effect ~attribution_share channel_rank reason", "x_boot")
-of_run("bootstrap_summary", lambda r: sensitivity.bootstrap_summary(r.bootstrap_draws), "channel ~mean_share ~median_share ~share_stddev ~share_percentile_2_5 ~share_percentile_97_5 minimum_rank maximum_rank ~probability_top_1 ~probability_top_3 ~probability_top_5 attempted_replicates successful_replicates failed_replicates", "x_boot_summary")
+    """(WITH c AS (SELECT model, channel, sum(attributed_conversion) AS attributed_conversions FROM x_results GROUP BY ALL)
+    SELECT *, EXISTS (SELECT 1 FROM c d WHERE d.model = c.model AND d.channel <> c.channel AND abs(d.attributed_conversions - c.attributed_conversions) <= 1e-9) AS is_tied FROM c)""",
+)
+of_run(
+    "rank_stability",
+    lambda r: sensitivity.rank_stability(r.sensitivity),
+    "scenario cohort_view model channel ~baseline_share ~scenario_share #baseline_rank #scenario_rank #absolute_rank_shift ~absolute_percentage_point_change ~relative_share_change"
+    " ~spearman_rank_correlation #top_3_overlap #maximum_absolute_rank_shift baseline_is_tied scenario_is_tied",
+    "x_stable",
+)
+of_run(
+    "spearman",
+    lambda r: sensitivity.rank_stability(r.sensitivity).groupBy("scenario", "cohort_view", "model").agg(F.max("spearman_rank_correlation").alias("spearman"), F.count("*").alias("channels")),
+    "scenario cohort_view model ~spearman channels",
+    "(SELECT scenario, cohort_view, model, max(spearman_rank_correlation) AS spearman, count(*) AS channels FROM x_stable GROUP BY ALL)",
+)
+of_run(
+    "bootstrap_user_cluster",
+    lambda r: r.bootstrap_draws,
+    "#replicate sampled_user_draws unique_users_selected channel ~removal_effect ~attribution_share channel_rank ~base_probability active_state_count reason",
+    "x_boot",
+)
+of_run(
+    "bootstrap_summary",
+    lambda r: sensitivity.bootstrap_summary(r.bootstrap_draws, r.effects),
+    "channel ~mean_share ~median_share ~share_stddev ~share_percentile_2_5 ~share_percentile_97_5 ~mean_removal_effect ~median_removal_effect ~removal_effect_stddev ~removal_effect_percentile_2_5"
+    " ~removal_effect_percentile_97_5 ~baseline_share ~baseline_removal_effect #baseline_rank ~mean_rank ~median_rank minimum_rank maximum_rank ~probability_top_1 ~probability_top_3 ~probability_top_5"
+    " attempted_replicates successful_replicates failed_replicates",
+    "x_boot_summary",
+)
 of_run(
     "scenario_manifest",
-    lambda r: r.spark.createDataFrame(sensitivity.scenario_manifest(s), "scenario string, assumption string, value string").join(r.scenario_paths.groupBy("scenario").agg(F.count("*").alias("journeys")), "scenario"),
-    "scenario assumption value journeys",
-    "(SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in sensitivity.scenario_manifest(s)) + ") AS v(scenario, assumption, value) JOIN (SELECT scenario, count(*) AS journeys FROM x_scenario_paths GROUP BY scenario) USING (scenario))",
+    lambda r: sensitivity.scenario_manifest(r.scenarios, r.scenario_edges, r.metrics, sensitivity.censored_journeys(r.journeys, r.short_null), s),
+    "scenario label changed_assumption #changed_assumption_count is_baseline lookback_days inactivity_seconds repeated_channel_treatment direct_treatment bootstrap_replicates bootstrap_seed"
+    " #conversion_journey_count #null_journey_count #right_censored_journey_count #right_censored_in_model_count #internal_admin_state_count #invalid_transition_row_count #invalid_absorbing_state_count"
+    " #materially_negative_effect_count rank_tie_break_rule baseline_fingerprint",
+    "x_manifest",
 )
-of_run("sens_projection", lambda r: r.scenarios.orderBy("scenario", "channel_rank"), "scenario channel_rank channel ~attribution_share", "x_ranked")
 
 # Marts
 _f = reporting.FUNNEL_EVENTS
@@ -155,7 +210,7 @@ of_run("rpt_top_paths", lambda r: reporting.top_paths(reporting.journey_summary(
 of_run("rpt_path_length_bins", lambda r: reporting.path_length_bins(reporting.journey_summary(r.revised, s), cap=5), "bin #bin_order #conversions ~share", "(SELECT CASE WHEN path_length >= 5 THEN '5+' ELSE CAST(path_length AS VARCHAR) END AS bin, least(path_length, 5) AS bin_order, count(*) AS conversions, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM x_order_paths GROUP BY 1, 2)")
 of_run(
     "attribution_business_summary",
-    lambda r: reporting.business_summary(r.comparison, r.scenarios, sensitivity.bootstrap_summary(r.bootstrap_draws), s),
+    lambda r: reporting.business_summary(r.comparison, r.scenarios, sensitivity.bootstrap_summary(r.bootstrap_draws, r.effects), s),
     "channel model ~attributed_conversions ~attributed_revenue ~attribution_share ~revenue_share channel_rank revenue_rank ~markov_minus_last_click_conversions ~markov_minus_last_click_revenue scenarios minimum_scenario_rank maximum_scenario_rank ~scenario_rank_1_frequency ~scenario_top_3_frequency ~minimum_scenario_share ~maximum_scenario_share ~bootstrap_mean_share is_presentation_channel",
     """(WITH m AS (SELECT *, attributed_revenue / sum(attributed_revenue) OVER w AS revenue_share, row_number() OVER (PARTITION BY model ORDER BY round(attributed_revenue, 6) DESC, channel) AS revenue_rank,
     max(CASE WHEN model = 'Markov' THEN conversions_difference_vs_last_click END) OVER c AS markov_minus_last_click_conversions, max(CASE WHEN model = 'Markov' THEN revenue_difference_vs_last_click END) OVER c AS markov_minus_last_click_revenue

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from creditflow.operators import sessions as S
-from creditflow.operators.sensitivity import BOOTSTRAP_SEED, poisson_steps
+from creditflow.operators.sensitivity import BLOCK_USERS, BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED, HASH_DIGITS, scenario_assumptions
 from creditflow.settings import DEFAULT
 from creditflow.sources.web_events import EVIDENCE, SESSION_GAP_SECONDS
 
@@ -143,6 +143,11 @@ SELECT 'SESSION_JOURNEY:' || sha256(CAST(to_json(struct_pack(user_pseudo_id := u
 FROM {source} WHERE {ended} OR (inactivity_expiry_ts >= {END} AND (next_purchase_ts IS NULL OR next_purchase_ts >= {END}))"""
 
 
+def _draw(*parts: str) -> str:
+    text = " || '|' || ".join(parts)
+    return f"CAST('0x' || substr(md5('{BOOTSTRAP_SEED}|' || {text}), 1, {HASH_DIGITS}) AS BIGINT)"
+
+
 def _probabilities(edges: str) -> str:
     return f"SELECT *, n / CAST(sum(n) OVER (PARTITION BY scenario, src) AS DOUBLE) AS p FROM {edges} WHERE n > 0"
 
@@ -160,6 +165,30 @@ WITH RECURSIVE t AS (SELECT 0 AS i, c.scenario, c.removed, v.state, 0.0::DOUBLE
 SELECT scenario, removed, x FROM t WHERE i = 120 AND state = 'Start'"""
 
 
+def _struct(row: tuple) -> str:
+    names = "scenario label changed_assumption lookback_days inactivity_seconds repeated_channel_treatment direct_treatment bootstrap_replicates bootstrap_seed"
+    return "{" + ", ".join(f"'{n}': '{v}'" if isinstance(v, str) else f"'{n}': CAST({v} AS BIGINT)" for n, v in zip(names.split(), row, strict=True)) + "}"
+
+
+_days = sorted(s.scenario_days)
+_LOOKBACK = f"""
+WITH e AS (SELECT d AS lookback_days, r.* FROM x_revised r, (SELECT unnest({list(_days)}) AS d) WHERE seconds_before_conversion <= d * 86400),
+k AS (SELECT order_key FROM e GROUP BY order_key HAVING count(DISTINCT lookback_days) = {len(_days)}),
+v AS (SELECT *, CASE WHEN lookback_days = {_days[-1]} THEN 'baseline' ELSE 'population_impact' END AS cohort_view FROM e UNION ALL SELECT *, 'common_cohort' FROM e WHERE order_key IN (SELECT order_key FROM k)),
+n AS (SELECT * EXCLUDE (touchpoint_number, path_length), row_number() OVER (PARTITION BY lookback_days, cohort_view, order_key ORDER BY touchpoint_number, session_key) AS tn,
+  count(*) OVER (PARTITION BY lookback_days, cohort_view, order_key) AS pl FROM v),
+p AS (SELECT *, max(CASE WHEN channel <> 'Direct' THEN tn END) OVER o AS lnd, pow(0.5, seconds_before_conversion / 604800.0::DOUBLE) AS dw FROM n WINDOW o AS (PARTITION BY lookback_days, cohort_view, order_key)),
+q AS (SELECT *, dw / sum(dw) OVER (PARTITION BY lookback_days, cohort_view, order_key) AS td FROM p),
+m AS (SELECT lookback_days, cohort_view, channel, order_revenue_usd, unnest([{{'m': 'First Click', 'w': CASE WHEN tn = 1 THEN 1.0::DOUBLE ELSE 0 END}}, {{'m': 'Last Click', 'w': CASE WHEN tn = pl THEN 1.0::DOUBLE ELSE 0 END}},
+  {{'m': 'Last Non-direct Click', 'w': CASE WHEN tn = coalesce(lnd, pl) THEN 1.0::DOUBLE ELSE 0 END}}, {{'m': 'Linear', 'w': 1.0::DOUBLE / pl}}, {{'m': 'Time Decay', 'w': td}}]) AS x FROM q),
+a AS (SELECT lookback_days, cohort_view, x.m AS model, channel, sum(x.w) AS attributed_conversions, sum(order_revenue_usd * x.w) AS attributed_revenue FROM m WHERE x.w > 0 GROUP BY ALL),
+op AS (SELECT lookback_days, cohort_view, order_key, any_value(order_revenue_usd) AS rev, any_value(pl) AS pl FROM n GROUP BY ALL),
+ps AS (SELECT lookback_days, cohort_view, count(*) AS attributable_order_count, round(sum(rev), 2) AS attributable_revenue, avg(pl) AS average_path_length, median(pl) AS median_path_length,
+  count(*) FILTER (pl > 1) / CAST(count(*) AS DOUBLE) AS multi_touch_share FROM op GROUP BY ALL),
+ct AS (SELECT lookback_days, cohort_view, channel, count(*) AS channel_touchpoint_count FROM n GROUP BY ALL),
+cs AS (SELECT *, channel_touchpoint_count / CAST(sum(channel_touchpoint_count) OVER (PARTITION BY lookback_days, cohort_view) AS DOUBLE) AS channel_touchpoint_share FROM ct)
+SELECT *, attributed_conversions / attributable_order_count AS conversion_share, attributed_revenue / attributable_revenue AS revenue_share FROM a JOIN ps USING (lookback_days, cohort_view) JOIN cs USING (lookback_days, cohort_view, channel)"""
+
 CTES: dict[str, str] = {
     "x_raw0": f"""
 SELECT event_id, user_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
@@ -259,16 +288,18 @@ WITH o AS ({_open("x_short_segments", s.short_inactivity_seconds)}),
 u AS (SELECT journey_id, count(DISTINCT k) AS n FROM (SELECT journey_id, unnest(session_key_path) AS k FROM o WHERE journey_status = 'Null') WHERE k IN (SELECT session_key FROM x_revised) GROUP BY journey_id)
 SELECT o.* EXCLUDE (is_markov_included), coalesce(n, 0) AS overlapping_session_count, journey_status = 'Null' AND coalesce(n, 0) > 0 AS is_overlap_excluded, journey_status = 'Null' AND coalesce(n, 0) = 0 AS is_markov_included FROM o LEFT JOIN u USING (journey_id)""",
     "x_paths": """
-SELECT 'baseline' AS scenario, user_pseudo_id, ['Start'] || channel_path || [outcome_state] AS path, channel_path, outcome_state FROM x_journeys WHERE is_markov_included""",
+SELECT 'baseline' AS scenario, user_pseudo_id, ['Start'] || channel_path || [outcome_state] AS path, channel_path, outcome_state, attributable_revenue_usd AS revenue FROM x_journeys WHERE is_markov_included""",
     "x_scenario_paths": "\n".join(
         [
-            "SELECT scenario, user_pseudo_id, path FROM x_paths UNION ALL",
-            "SELECT 'compressed', user_pseudo_id, ['Start'] || list_transform(list_filter(list_zip(channel_path, [NULL] || channel_path[:-2]), lambda x: x[1] IS DISTINCT FROM x[2]), lambda x: x[1]) || [outcome_state] FROM x_paths UNION ALL",
-            "SELECT 'omit_direct', user_pseudo_id, ['Start'] || CASE WHEN len(list_filter(channel_path, lambda x: x <> 'Direct')) > 0 THEN list_filter(channel_path, lambda x: x <> 'Direct') ELSE channel_path END || [outcome_state] FROM x_paths UNION ALL",
-            "SELECT 'short_inactivity', user_pseudo_id, path FROM x_paths WHERE outcome_state = 'Conversion' UNION ALL",
-            "SELECT 'short_inactivity', user_pseudo_id, ['Start'] || channel_path || ['Null'] FROM x_short WHERE is_markov_included",
+            "SELECT scenario, user_pseudo_id, path, revenue FROM x_paths UNION ALL",
+            "SELECT 'compressed', user_pseudo_id, ['Start'] || list_transform(list_filter(list_zip(channel_path, [NULL] || channel_path[:-2]), lambda x: x[1] IS DISTINCT FROM x[2]), lambda x: x[1]) || [outcome_state], revenue FROM x_paths UNION ALL",
+            "SELECT 'omit_direct', user_pseudo_id, ['Start'] || CASE WHEN len(list_filter(channel_path, lambda x: x <> 'Direct')) > 0 THEN list_filter(channel_path, lambda x: x <> 'Direct') ELSE channel_path END || [outcome_state], revenue FROM x_paths UNION ALL",
+            "SELECT 'short_inactivity', user_pseudo_id, path, revenue FROM x_paths WHERE outcome_state = 'Conversion' UNION ALL",
+            "SELECT 'short_inactivity', user_pseudo_id, ['Start'] || channel_path || ['Null'], NULL FROM x_short WHERE is_markov_included",
             *[
-                f"UNION ALL SELECT 'lookback_{d}d', any_value(user_pseudo_id), ['Start'] || list(channel ORDER BY touchpoint_number) || ['Conversion'] FROM x_revised WHERE seconds_before_conversion <= {d * 86400} GROUP BY order_key UNION ALL SELECT 'lookback_{d}d', user_pseudo_id, path FROM x_paths WHERE outcome_state = 'Null'"
+                f"""UNION ALL SELECT 'lookback_{d}d', any_value(user_pseudo_id), ['Start'] || list(channel ORDER BY touchpoint_number) || ['Conversion'], any_value(order_revenue_usd)
+                FROM x_revised WHERE seconds_before_conversion <= {d * 86400} GROUP BY order_key
+                UNION ALL SELECT 'lookback_{d}d', user_pseudo_id, path, NULL FROM x_paths WHERE outcome_state = 'Null'"""
                 for d in sorted(s.scenario_days)[:-1]
             ],
         ]
@@ -288,26 +319,91 @@ m AS (SELECT *, attributed_conversions / sum(attributed_conversions) OVER (PARTI
 SELECT m.*, m.attributed_conversions - b.attributed_conversions AS conversions_difference_vs_last_click, (m.attributed_conversions - b.attributed_conversions) / nullif(b.attributed_conversions, 0) AS conversions_relative_difference_vs_last_click,
   m.attributed_revenue - b.attributed_revenue AS revenue_difference_vs_last_click, (m.attributed_revenue - b.attributed_revenue) / nullif(b.attributed_revenue, 0) AS revenue_relative_difference_vs_last_click
 FROM m JOIN m b ON m.channel = b.channel AND b.model = 'Last Click'""",
-    # The bootstrap: a user's weight in a replicate is Poisson(1) by inversion of 32 bits of an MD5.
+    # The bootstrap: as many draws as users, first to a block of users, then to a user of the block.
     "x_user_edges": "SELECT user_pseudo_id, path[i] AS src, path[i + 1] AS dst, count(*) AS n FROM (SELECT user_pseudo_id, path, unnest(range(1, len(path))) AS i FROM x_paths) GROUP BY ALL",
-    "x_boot_edges": f"""
-WITH u AS (SELECT user_pseudo_id, scenario, CAST('0x' || substr(md5('{BOOTSTRAP_SEED}|' || scenario || '|' || user_pseudo_id), 1, 8) AS BIGINT) AS h FROM (SELECT DISTINCT user_pseudo_id FROM x_user_edges) CROSS JOIN (SELECT unnest(range(500)) AS scenario)),
-w AS (SELECT user_pseudo_id, scenario, {" + ".join(f"CAST(h >= {x} AS BIGINT)" for x in poisson_steps())} AS weight FROM u)
-SELECT scenario, src, dst, CAST(sum(n * weight) AS BIGINT) AS n FROM w JOIN x_user_edges USING (user_pseudo_id) GROUP BY ALL""",
+    "x_boot_users": "SELECT user_pseudo_id, row_number() OVER (ORDER BY md5(user_pseudo_id), user_pseudo_id) - 1 AS place FROM (SELECT DISTINCT user_pseudo_id FROM x_user_edges)",
+    "x_boot_times": f"""
+WITH n AS (SELECT count(*) AS n FROM x_boot_users),
+d AS (SELECT scenario, {_draw("scenario", "draw")} % n // {BLOCK_USERS} AS block FROM (SELECT unnest(range(n)) AS draw, n FROM n) CROSS JOIN (SELECT unnest(range({BOOTSTRAP_REPLICATES})) AS scenario)),
+c AS (SELECT scenario, block, unnest(range(draws)) AS draw FROM (SELECT scenario, block, count(*) AS draws FROM d GROUP BY ALL)),
+z AS (SELECT place // {BLOCK_USERS} AS block, count(*) AS size FROM x_boot_users GROUP BY 1)
+SELECT scenario, block * {BLOCK_USERS} + {_draw("scenario", "block", "draw")} % size AS place, count(*) AS weight FROM c JOIN z USING (block) GROUP BY ALL""",
+    "x_boot_size": "SELECT scenario, CAST(sum(weight) AS BIGINT) AS sampled_user_draws, count(*) AS unique_users_selected FROM x_boot_times GROUP BY scenario",
+    "x_boot_edges": "SELECT scenario, src, dst, CAST(sum(n * weight) AS BIGINT) AS n FROM x_boot_times JOIN x_boot_users USING (place) JOIN x_user_edges USING (user_pseudo_id) GROUP BY ALL",
     "x_boot_prob": _probabilities("x_boot_edges"),
     "x_boot_chance": _chance("x_boot_prob"),
     "x_boot": """
-WITH c AS (SELECT scenario, channel FROM (SELECT scenario, src AS channel FROM x_boot_edges UNION SELECT scenario, dst FROM x_boot_edges) WHERE channel NOT IN ('Start', 'Conversion', 'Null')),
+WITH c AS (SELECT scenario, channel FROM x_boot_size CROSS JOIN (SELECT DISTINCT channel FROM x_effects WHERE scenario = 'baseline')),
 live AS (SELECT DISTINCT scenario, src AS channel, TRUE AS is_live FROM x_boot_prob),
-b AS (SELECT DISTINCT e.scenario, coalesce(x, 0) AS x, p.scenario IS NOT NULL AS is_drawn FROM (SELECT DISTINCT scenario FROM x_boot_edges) e LEFT JOIN (SELECT DISTINCT scenario FROM x_boot_prob) p USING (scenario) LEFT JOIN (SELECT scenario, x FROM x_boot_chance WHERE removed = '') USING (scenario)),
-f AS (SELECT c.scenario, c.channel, b.is_drawn, b.x AS base, CASE WHEN is_live AND b.x > 1e-12 THEN greatest(1 - coalesce(r.x, 0) / b.x, 0) ELSE 0 END AS effect FROM c JOIN b USING (scenario) LEFT JOIN live USING (scenario, channel) LEFT JOIN x_boot_chance r ON r.scenario = c.scenario AND r.removed = c.channel),
-g AS (SELECT *, CASE WHEN NOT is_drawn THEN 'no path leaves Start' WHEN base <= 1e-12 THEN 'the chain never converts' WHEN sum(effect) OVER s <= 1e-12 THEN 'no effect to share' END AS reason, effect / nullif(sum(effect) OVER s, 0) AS share FROM f WINDOW s AS (PARTITION BY scenario))
-SELECT scenario AS replicate, channel, effect AS removal_effect, share AS attribution_share, row_number() OVER (PARTITION BY scenario ORDER BY round(share, 9) DESC, channel) AS channel_rank, reason FROM g WHERE reason IS NULL
-UNION ALL SELECT DISTINCT scenario, NULL, NULL, NULL, NULL, reason FROM g WHERE reason IS NOT NULL""",
+b AS (SELECT z.*, coalesce(x, 0) AS x, (SELECT count(*) FROM live l WHERE l.scenario = z.scenario) + 2 AS states FROM x_boot_size z LEFT JOIN (SELECT scenario, x FROM x_boot_chance WHERE removed = '') USING (scenario)),
+f AS (SELECT c.scenario, c.channel, b.x AS base, b.sampled_user_draws, b.unique_users_selected, b.states, CASE WHEN is_live AND b.x > 1e-12 THEN greatest(1 - coalesce(r.x, 0) / b.x, 0) ELSE 0 END AS effect
+  FROM c JOIN b USING (scenario) LEFT JOIN live USING (scenario, channel) LEFT JOIN x_boot_chance r ON r.scenario = c.scenario AND r.removed = c.channel),
+g AS (SELECT *, CASE WHEN base <= 1e-12 THEN 'the chain never converts' WHEN sum(effect) OVER s <= 1e-12 THEN 'no effect to share' END AS reason, effect / nullif(sum(effect) OVER s, 0) AS share FROM f WINDOW s AS (PARTITION BY scenario))
+SELECT scenario AS replicate, sampled_user_draws, unique_users_selected, channel, effect AS removal_effect, share AS attribution_share,
+  row_number() OVER (PARTITION BY scenario ORDER BY round(share, 9) DESC, channel) AS channel_rank, base AS base_probability, states AS active_state_count, reason FROM g WHERE reason IS NULL
+UNION ALL SELECT DISTINCT scenario, sampled_user_draws, unique_users_selected, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM g WHERE reason IS NOT NULL""",
     "x_boot_summary": """
-SELECT * FROM (SELECT channel, avg(attribution_share) AS mean_share, quantile_cont(attribution_share, 0.5) AS median_share, stddev_samp(attribution_share) AS share_stddev, quantile_cont(attribution_share, 0.025) AS share_percentile_2_5, quantile_cont(attribution_share, 0.975) AS share_percentile_97_5,
-  min(channel_rank) AS minimum_rank, max(channel_rank) AS maximum_rank, avg(CAST(channel_rank <= 1 AS INT)) AS probability_top_1, avg(CAST(channel_rank <= 3 AS INT)) AS probability_top_3, avg(CAST(channel_rank <= 5 AS INT)) AS probability_top_5 FROM x_boot WHERE reason IS NULL GROUP BY channel),
+SELECT * FROM (SELECT channel, """
+    + ", ".join(
+        f"avg({v}) AS mean_{n}, quantile_cont({v}, 0.5) AS median_{n}, stddev_samp({v}) AS {n}_stddev, quantile_cont({v}, 0.025) AS {n}_percentile_2_5, quantile_cont({v}, 0.975) AS {n}_percentile_97_5"
+        for v, n in (("attribution_share", "share"), ("removal_effect", "removal_effect"))
+    )
+    + """, avg(channel_rank) AS mean_rank, quantile_cont(channel_rank, 0.5) AS median_rank, min(channel_rank) AS minimum_rank, max(channel_rank) AS maximum_rank, avg(CAST(channel_rank <= 1 AS INT)) AS probability_top_1,
+  avg(CAST(channel_rank <= 3 AS INT)) AS probability_top_3, avg(CAST(channel_rank <= 5 AS INT)) AS probability_top_5 FROM x_boot WHERE reason IS NULL GROUP BY channel)
+JOIN (SELECT channel, attribution_share AS baseline_share, removal_effect AS baseline_removal_effect, channel_rank AS baseline_rank FROM x_ranked WHERE scenario = 'baseline') USING (channel),
   (SELECT count(DISTINCT replicate) AS attempted_replicates, count(DISTINCT replicate) - count(*) FILTER (reason IS NOT NULL) AS successful_replicates, count(*) FILTER (reason IS NOT NULL) AS failed_replicates FROM x_boot)""",
+    # Sensitivity results, ranks against the baseline, and the manifest.
+    "x_lookback": _LOOKBACK,
+    "x_metrics": """
+SELECT scenario, count(*) AS journeys, count(*) FILTER (path[-1] = 'Conversion') AS conversion_journey_count, count(*) FILTER (path[-1] = 'Null') AS null_journey_count, sum(revenue) AS attributable_revenue,
+  CAST(sum(len(path) - 2) AS BIGINT) AS touchpoints, avg(len(path) - 2) AS average_path_length, median(len(path) - 2) AS median_path_length, count(*) FILTER (len(path) > 3) / CAST(count(*) AS DOUBLE) AS multi_touch_share
+FROM x_scenario_paths GROUP BY scenario""",
+    "x_touches": """
+SELECT *, channel_touchpoint_count / CAST(sum(channel_touchpoint_count) OVER (PARTITION BY scenario) AS DOUBLE) AS channel_touchpoint_share
+FROM (SELECT scenario, channel, count(*) AS channel_touchpoint_count FROM (SELECT scenario, unnest(path[2:-2]) AS channel FROM x_scenario_paths) GROUP BY ALL)""",
+    "x_censored": "SELECT (SELECT count(*) FROM x_journeys WHERE journey_status = 'Right Censored') AS censored, (SELECT count(*) FROM x_short WHERE journey_status = 'Right Censored') AS censored_short",
+    "x_sens_rows": f"""
+SELECT CASE WHEN lookback_days = {max(s.scenario_days)} THEN 'baseline' ELSE 'lookback_' || lookback_days || 'd' END AS scenario, cohort_view, model, channel, attributable_order_count, attributable_revenue,
+  attributable_order_count AS conversion_journey_count, 0 AS null_journey_count, 0 AS right_censored_journey_count, average_path_length, median_path_length, multi_touch_share, channel_touchpoint_count, channel_touchpoint_share,
+  CAST(NULL AS DOUBLE) AS removal_effect, attributed_conversions, attributed_revenue, conversion_share, revenue_share, CAST(NULL AS DOUBLE) AS baseline_conversion_probability FROM x_lookback
+UNION ALL
+SELECT scenario, 'completed_outcomes', 'Markov', channel, conversion_journey_count, attributable_revenue, conversion_journey_count, null_journey_count, CASE WHEN scenario = 'short_inactivity' THEN censored_short ELSE censored END,
+  average_path_length, median_path_length, multi_touch_share, channel_touchpoint_count, channel_touchpoint_share, removal_effect, conversion_journey_count * attribution_share, attributable_revenue * attribution_share,
+  attribution_share, attribution_share, base_probability FROM x_effects JOIN x_metrics USING (scenario) JOIN x_touches USING (scenario, channel), x_censored""",
+    "x_sens": """
+SELECT *, """
+    + ", ".join(
+        f"""row_number() OVER (PARTITION BY scenario, cohort_view, model ORDER BY round({n}_share, 9) DESC, channel) AS {n}_rank,
+  EXISTS (SELECT 1 FROM x_sens_rows o WHERE o.scenario = r.scenario AND o.cohort_view = r.cohort_view AND o.model = r.model AND o.channel <> r.channel AND abs(o.{n}_share - r.{n}_share) <= 1e-9) AS is_{n}_share_tied"""
+        for n in ("conversion", "revenue")
+    )
+    + " FROM x_sens_rows r",
+    "x_stable": """
+WITH b AS (SELECT cohort_view AS view, model, channel, conversion_share AS share FROM x_sens_rows WHERE scenario = 'baseline'),
+o AS (SELECT scenario, cohort_view, CASE WHEN cohort_view = 'population_impact' THEN 'baseline' ELSE cohort_view END AS view, model, channel, conversion_share AS share FROM x_sens_rows WHERE scenario <> 'baseline'),
+p AS (SELECT DISTINCT scenario, cohort_view, view, model FROM o),
+g AS (SELECT p.*, c.channel FROM p JOIN (SELECT view, model, channel FROM b UNION SELECT view, model, channel FROM o) c USING (view, model)
+      WHERE EXISTS (SELECT 1 FROM b WHERE b.view = p.view AND b.model = p.model AND b.channel = c.channel) OR EXISTS (SELECT 1 FROM o WHERE o.scenario = p.scenario AND o.cohort_view = p.cohort_view AND o.model = p.model AND o.channel = c.channel)),
+v AS (SELECT g.*, b.share AS b, o.share AS s FROM g LEFT JOIN b ON b.view = g.view AND b.model = g.model AND b.channel = g.channel LEFT JOIN o ON o.scenario = g.scenario AND o.cohort_view = g.cohort_view AND o.model = g.model AND o.channel = g.channel),
+r AS (SELECT scenario, cohort_view, model, channel, coalesce(b, 0) AS baseline_share, coalesce(s, 0) AS scenario_share, row_number() OVER (PARTITION BY scenario, cohort_view, model ORDER BY b IS NULL, round(b, 9) DESC, channel) AS baseline_rank,
+      row_number() OVER (PARTITION BY scenario, cohort_view, model ORDER BY s IS NULL, round(s, 9) DESC, channel) AS scenario_rank FROM v)
+SELECT *, abs(scenario_rank - baseline_rank) AS absolute_rank_shift, abs(scenario_share - baseline_share) * 100 AS absolute_percentage_point_change, (scenario_share - baseline_share) / nullif(baseline_share, 0) AS relative_share_change,
+  CASE WHEN count(*) OVER w < 2 THEN 1.0 ELSE 1.0 - 6.0 * sum((scenario_rank - baseline_rank) * (scenario_rank - baseline_rank)) OVER w / CAST(count(*) OVER w * (count(*) OVER w * count(*) OVER w - 1) AS DOUBLE) END AS spearman_rank_correlation,
+  sum(CASE WHEN scenario_rank <= 3 AND baseline_rank <= 3 THEN 1 ELSE 0 END) OVER w AS top_3_overlap, max(abs(scenario_rank - baseline_rank)) OVER w AS maximum_absolute_rank_shift,
+  EXISTS (SELECT 1 FROM r q WHERE q.scenario = r.scenario AND q.cohort_view = r.cohort_view AND q.model = r.model AND q.channel <> r.channel AND abs(q.baseline_share - r.baseline_share) <= 1e-9) AS baseline_is_tied,
+  EXISTS (SELECT 1 FROM r q WHERE q.scenario = r.scenario AND q.cohort_view = r.cohort_view AND q.model = r.model AND q.channel <> r.channel AND abs(q.scenario_share - r.scenario_share) <= 1e-9) AS scenario_is_tied
+FROM r WINDOW w AS (PARTITION BY scenario, cohort_view, model)""",
+    "x_manifest": f"""
+SELECT a.*, m.conversion_journey_count, m.null_journey_count, CASE WHEN a.scenario = 'short_inactivity' THEN censored_short ELSE censored END AS right_censored_journey_count, 0 AS right_censored_in_model_count,
+  a.scenario = 'baseline' AS is_baseline, CASE WHEN a.scenario = 'baseline' THEN 0 ELSE 1 END AS changed_assumption_count,
+  (SELECT count(*) FROM x_edges e WHERE e.scenario = m.scenario AND 'Internal/Admin' IN (src, dst)) AS internal_admin_state_count,
+  (SELECT count(*) FROM (SELECT src FROM x_prob e WHERE e.scenario = m.scenario GROUP BY src HAVING abs(sum(p) - 1) > 1e-12)) AS invalid_transition_row_count,
+  (SELECT count(*) FROM x_edges e WHERE e.scenario = m.scenario AND src IN ('Conversion', 'Null')) AS invalid_absorbing_state_count,
+  (SELECT count(*) FROM x_effects e WHERE e.scenario = m.scenario AND removal_effect < -1e-12) AS materially_negative_effect_count,
+  'share_desc_channel_name_asc' AS rank_tie_break_rule,
+  (SELECT sha256(string_agg(channel || ':' || CAST(round(attribution_share * 1000000) AS BIGINT), '|' ORDER BY channel || ':' || CAST(round(attribution_share * 1000000) AS BIGINT))) FROM x_effects WHERE scenario = 'baseline') AS baseline_fingerprint
+FROM (SELECT unnest([{", ".join(_struct(r) for r in scenario_assumptions(s))}], recursive := true)) a
+JOIN x_metrics m ON m.scenario = CASE WHEN a.scenario = 'bootstrap' THEN 'baseline' ELSE a.scenario END, x_censored""",
     "x_order_paths": "SELECT order_key, any_value(order_revenue_usd) AS revenue, any_value(path_length) AS path_length, arg_min(channel, touchpoint_number) AS first_touch, arg_max(channel, touchpoint_number) AS last_touch, string_agg(channel, ' > ' ORDER BY touchpoint_number) AS converting_path FROM x_revised GROUP BY order_key",
     "x_summary": """
 WITH t AS (SELECT *, unnest([{'t': 'OVERALL', 'k': 'all_attributable_conversions'}, {'t': 'PATH_LENGTH', 'k': CAST(path_length AS VARCHAR)}, {'t': 'CONVERTING_PATH', 'k': converting_path}, {'t': 'FIRST_TOUCH_CHANNEL', 'k': first_touch}, {'t': 'LAST_TOUCH_CHANNEL', 'k': last_touch}]) AS m FROM x_order_paths),

@@ -15,32 +15,48 @@ from creditflow.operators import attribution, markov, paths, sensitivity, sessio
 from creditflow.settings import DEFAULT, Settings
 from creditflow.sources.readers import table
 from creditflow.sources.web_events import web_events
+from creditflow.sources.writers import scratch
 from creditflow.workers import reachable
 
 
 class Run:
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT, raw: DataFrame | None = None):
         self.spark, self.sf_dir, self.s, self._raw = reachable(spark), sf_dir, settings, raw
+        self._stored: dict[str, DataFrame] = {}
 
     _shared: dict[tuple[int, str], Run] = {}
-    #: Tables that several others read; kept (on disk where memory ends) so that each is built once.
-    KEPT = ("event_base", "sources", "sessions", "cycles", "strict", "revised", "coverage", "results", "journeys", "effects", "scenario_paths", "scenarios", "bootstrap_draws")
+    #: Tables that several others read; a shared run stores each once, so that plans stay short and nothing is built twice.
+    KEPT = (
+        "event_base", "orders", "sources", "sessions", "cycles", "strict", "revised", "coverage", "results", "journeys", "short_null", "effects",
+        "scenario_paths", "scenario_edges", "scenarios", "metrics", "lookback", "sensitivity", "bootstrap_draws",
+    )
 
     @classmethod
     def shared(cls, spark: SparkSession, sf_dir: str) -> Run:
-        """One run per session and folder, whose shared tables are persisted."""
+        """One run per session and folder, whose shared tables are stored in the folder that the machines share.
+
+        They are files, not cached blocks: a cleared cache or a lost executor costs none of them.
+        """
         key = (id(spark), sf_dir)
         if key not in cls._shared:
             cls._shared[key] = cls(spark, sf_dir)
         return cls._shared[key]
 
     def __getattribute__(self, name: str):
-        kept = name in Run.KEPT and name not in self.__dict__ and Run._shared.get((id(self.spark), self.sf_dir)) is self
         value = object.__getattribute__(self, name)
-        if kept:
-            value = self.__dict__[name] = value.persist()
+        if name in Run.KEPT and Run._shared.get((id(self.spark), self.sf_dir)) is self:
+            if name not in self._stored:
+                path = scratch(self.spark, name)
+                value.write.option("compression", "zstd").parquet(path)
+                self._stored[name] = self.spark.read.schema(value.schema).parquet(path)
+            return self._stored[name]
         return value
 
+    def release(self) -> None:
+        """Forget the stored tables; the next shared run builds its own."""
+        self._stored.clear()
+        Run._shared.pop((id(self.spark), self.sf_dir), None)
+
     @cached_property
     def raw(self) -> DataFrame:
         return web_events(table(self.spark, self.sf_dir, "events")) if self._raw is None else self._raw
@@ -119,7 +135,24 @@ class Run:
 
     @cached_property
     def scenarios(self) -> DataFrame:
-        return sensitivity.scenario_effects(self.scenario_paths)
+        return sensitivity.scenario_effects(self.scenario_edges)
+
+    @cached_property
+    def scenario_edges(self) -> DataFrame:
+        return markov.edges(self.scenario_paths, ("scenario",))
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return sensitivity.path_metrics(self.scenario_paths)
+
+    @cached_property
+    def lookback(self) -> DataFrame:
+        return sensitivity.lookback_results(self.revised, self.s)
+
+    @cached_property
+    def sensitivity(self) -> DataFrame:
+        touchpoints, censored = sensitivity.channel_touchpoints(self.scenario_edges), sensitivity.censored_journeys(self.journeys, self.short_null)
+        return sensitivity.sensitivity_results(self.lookback, self.scenarios, self.metrics, touchpoints, censored, self.s)
 
     @cached_property
     def bootstrap_draws(self) -> DataFrame:

@@ -11,7 +11,7 @@ from creditflow.plans import registry
 #: Built from the same tables as others; one of each family keeps the run short.
 CORE = (
     "event_base", "orders_dedup", "source_v1", "source_v2", "session_touchpoints", "paths_strict", "paths_revised", "aud_order_coverage", "orders_unmatched", "attr_results",
-    "model_comparison", "markov_journeys", "markov_matrix", "markov_effects", "rule_markov_comparison", "sens_lookback", "sens_null14", "rank_stability", "channel_funnel", "journey_summary",
+    "model_comparison", "markov_journeys", "markov_matrix", "markov_effects", "rule_markov_comparison", "sens_lookback", "sens_null14", "rank_stability", "spearman", "sens_markov_rows", "sens_projection", "sens_path_metrics", "scenario_manifest", "markov_reachability", "channel_funnel", "journey_summary",
     "aud_closeout", "aud_session_reuse", "aud_admin_impact", "aud_purchase_quality", "aud_traffic_values", "aud_reprocess_summary", "bootstrap_user_cluster", "bootstrap_summary", "attribution_business_summary", "ctl_validate",
 )
 PRIMITIVE = [n for n in registry.SQL if n.split("_")[0] in ("src", "snk", "prj", "flt", "prd", "join", "agg", "win", "srt", "lmt", "topk", "set", "arr", "struct", "str", "url", "hash", "json", "dt", "math", "cond", "cast", "sub")]

@@ -1,5 +1,7 @@
 """Chains, path functions, bootstrap, checks and writers on hand-made cases."""
 
+import hashlib
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -40,7 +42,7 @@ def test_removal():
     assert two.probabilities[two.states.index(O), -1] == 1 and two.conversion_probability() == 0
     three = chain([S, E, K], [S, E, K], [S, D, N])
     assert three.conversion_probability() == pytest.approx(2 / 3)
-    assert {r[0]: r[3] for r in three.effects()} == pytest.approx({E: 1, D: 0})
+    assert {r[0]: r[4] for r in three.effects()} == pytest.approx({E: 1, D: 0})
     half = chain([S, E, K], [S, D, K]).without(E)
     assert half.probabilities[0, -1] == pytest.approx(0.5) and half.probabilities[0, half.states.index(D)] == pytest.approx(0.5)
     many = chain([S, E, E, K], [S, D, N], [S, "Unknown", E, N])
@@ -73,20 +75,71 @@ def test_ranks_and_ties(spark):
     assert got == {D: (1, False), E: (2, True), "Unknown": (3, True)}
 
 
+def replayed_draws(users, replicates, seed, block_users):
+    """Times per replicate and user, drawn as the operator defines it, from the full list of users."""
+    digest = lambda *parts: int(hashlib.md5("|".join(map(str, (seed, *parts))).encode()).hexdigest()[: sensitivity.HASH_DIGITS], 16)
+    users = sorted(users, key=lambda u: (hashlib.md5(u.encode()).hexdigest(), u))
+    out = []
+    for r in range(replicates):
+        times = Counter()
+        for block, draws in Counter(digest(r, i) % len(users) // block_users for i in range(len(users))).items():
+            own = users[block * block_users : (block + 1) * block_users]
+            times.update(own[digest(r, block, k) % len(own)] for k in range(draws))
+        out.append(times)
+    return out
+
+
 def test_bootstrap(spark):
+    """Every replicate draws as many users as there are, with replacement; the effects are those of the drawn users' paths."""
     users = [("u1", [S, E, K]), ("u1", [S, D, N]), ("u2", [S, E, N]), ("u3", [S, D, K])] + [(f"v{i}", [S, E, K] if i % 2 else [S, D, N]) for i in range(60)]
     df = spark.createDataFrame(users, "user_pseudo_id string, path array<string>")
-    draws = sensitivity.bootstrap(df, 60, seed=7)
-    rows = sorted(tuple(r) for r in draws.collect())
-    assert rows == sorted(tuple(r) for r in sensitivity.bootstrap(df, 60, seed=7).collect())
-    assert len({r[0] for r in rows}) == 60
-    got = {r["channel"]: r for r in sensitivity.bootstrap_summary(draws).collect()}
-    exact = [x for x in sensitivity.bootstrap_exact(users, 200, 7) if isinstance(x, dict)]
-    assert got[E]["mean_share"] == pytest.approx(np.mean([x[E] for x in exact]), abs=0.03)
-    assert got[E]["share_stddev"] == pytest.approx(np.std([x[E] for x in exact], ddof=1), rel=0.5)
+    rows = sorted(tuple(r) for r in sensitivity.bootstrap(df, 40, seed=7, block_users=16).collect())
+    assert rows == sorted(tuple(r) for r in sensitivity.bootstrap(df.repartition(7), 40, seed=7, block_users=16).collect())
+    names = {u for u, _ in users}
+    for r, times in enumerate(replayed_draws(names, 40, 7, 16)):
+        own = [x for x in rows if x[0] == r]
+        assert sum(times.values()) == len(names) and {x[1:3] for x in own} == {(len(names), len(times))}
+        pairs = Counter()
+        for u, p in users:
+            for e in zip(p, p[1:], strict=False):
+                pairs[e] += times[u]
+        src, dst, n = zip(*((*e, k) for e, k in pairs.items() if k), strict=True)
+        want = {x[0]: x[4] for x in markov.Chain.of(list(src), list(dst), list(n)).effects()}
+        assert {x[3]: x[4] for x in own} == pytest.approx(want)
+    draws = sensitivity.bootstrap(df, 40, seed=7, block_users=16)
+    effects = markov.removal_effects(markov.edges(df.withColumn("scenario", F.lit("b")), ("scenario",)), "scenario")
+    got = {r["channel"]: r for r in sensitivity.bootstrap_summary(draws, effects).collect()}
+    assert got[E]["mean_share"] == pytest.approx(np.mean([x[5] for x in rows if x[3] == E]))
+    assert abs(got[E]["mean_share"] - got[E]["baseline_share"]) < 3 * got[E]["share_stddev"]
     assert got[E]["attempted_replicates"] == got[E]["successful_replicates"] + got[E]["failed_replicates"]
 
 
+def test_reachability_finds_a_trapped_state(spark):
+    edges = [("a", S, E, 5), ("a", E, K, 1), ("a", E, D, 1), ("a", D, D, 3), ("b", S, E, 1), ("b", E, N, 1), ("b", D, K, 0)]
+    rows = {tuple(r) for r in markov.reachability(spark.createDataFrame(edges, "scenario string, src string, dst string, n long"), "scenario").collect()}
+    assert rows == {("a", S, True, False, False), ("a", E, True, False, False), ("a", D, False, False, True), ("a", K, True, False, False), ("a", N, False, True, False),
+                    ("b", S, False, True, False), ("b", E, False, True, False), ("b", K, True, False, False), ("b", N, False, True, False)}
+    with pytest.raises(ValueError):
+        markov.Chain.of([S, E, E, D], [E, K, D, D], [5, 1, 1, 3])
+
+
+def test_rank_stability_keeps_channels_that_one_side_lacks(spark):
+    row = lambda scenario, view, model, channel, share: (scenario, view, model, channel, share)
+    results = [row("baseline", "baseline", "Linear", E, 0.6), row("baseline", "baseline", "Linear", D, 0.4), row("lookback_1d", "population_impact", "Linear", D, 1.0), row("baseline", "common_cohort", "Linear", E, 1.0), row("lookback_1d", "common_cohort", "Linear", E, 0.5), row("lookback_1d", "common_cohort", "Linear", "Other", 0.5)]
+    df = spark.createDataFrame(results, "scenario string, cohort_view string, model string, channel string, conversion_share double")
+    got = {(r["cohort_view"], r["channel"]): r for r in sensitivity.rank_stability(df).collect()}
+    pick = lambda *k: tuple(got[k][c] for c in ("baseline_share", "scenario_share", "baseline_rank", "scenario_rank", "spearman_rank_correlation", "scenario_is_tied"))
+    assert pick("population_impact", E) == (0.6, 0.0, 1, 2, -1.0, False)
+    assert pick("population_impact", D) == (0.4, 1.0, 2, 1, -1.0, False)
+    assert pick("common_cohort", "Other") == (0.0, 0.5, 2, 2, 1.0, True)
+    assert len(got) == 4
+
+
+def test_median_of_counts(spark):
+    df = spark.createDataFrame([("a", 1, 3), ("a", 5, 3), ("b", 2, 1), ("c", 1, 1), ("c", 4, 9)], "g string, v long, n long")
+    assert {tuple(r) for r in sensitivity.median_of_counts(df, "v", "n", "g").collect()} == {("a", 3.0), ("b", 2.0), ("c", 4.0)}
+
+
 def test_registered_bootstrap_draws_500_replicates(spark, sf):
     from creditflow.plans import composite  # noqa: F401  registers the queries
     from creditflow.plans.registry import QUERIES
@@ -254,3 +307,13 @@ def test_schema_audit(spark):
     got = {(r.field_path, r.data_type): (r.top_level_column, r.shards_containing_field, r.first_table, r.last_table, r.selected_shard_count, r.present_in_all_shards) for r in rows}
     assert got[("a", "int")] == ("a", 2, "e1", "e3", 3, False) and got[("a", "bigint")] == ("a", 1, "e2", "e2", 3, False)
     assert got[("p.x", "string")][0] == "p" and len(got) == 5
+
+
+def test_shared_tables_outlive_a_cleared_cache(spark, sf):
+    run = Run.shared(spark, sf)
+    before = run.sessions.inputFiles()
+    spark.catalog.clearCache()
+    plan = run.results._jdf.queryExecution().executedPlan().toString()
+    assert run.sessions.inputFiles() == before and "Exchange" not in plan and "FileScan parquet" in plan
+    run.release()
+    assert Run.shared(spark, sf) is not run and Run.shared(spark, sf).sessions.inputFiles() != before
