@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 # Texts that stand for a missing source, medium or campaign.
 PLACEHOLDERS = ("", "(not set)", "(not provided)", "(data deleted)", "<other>", "unknown")
+# The characters with Unicode's White_Space property.
+WHITE_SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def trim(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def text(c: Column) -> Column:
     """Trimmed; blank is null."""
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(trim(c), F.lit(""))
 
 
 def placeholder_null(c: Column) -> Column:
-    return F.when(~F.lower(F.trim(c)).isin(*PLACEHOLDERS), F.trim(c))
+    return F.when(~F.lower(trim(c)).isin(*PLACEHOLDERS), trim(c))
 
 
 # A host with or without a scheme, a user and a port; what follows it starts with one of ``/:?#``.

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from creditflow.functions.columns import PLACEHOLDERS, divide, finite, hash_key, whole_seconds
+from creditflow.functions.columns import PLACEHOLDERS, count_params, divide, finite, get_param, hash_key, text, trim, whole_seconds
+from creditflow.operators import distinct
+from creditflow.operators import sessions as S
 from creditflow.operators.sessions import CHANNEL_RULES, TIERS, channel
 from creditflow.settings import Settings
 from creditflow.sources.readers import date_spine
@@ -37,7 +39,7 @@ def date_coverage(raw: DataFrame, start: str, end: str) -> DataFrame:
 
 def event_distribution(raw: DataFrame) -> DataFrame:
     """Events and users by event name with the share of all events."""
-    name = F.coalesce(F.nullif(F.trim("event_name"), F.lit("")), F.lit("[NULL_OR_BLANK]"))
+    name = F.coalesce(text(F.col("event_name")), F.lit("[NULL_OR_BLANK]"))
     rows = raw.groupBy(name.alias("event_name")).agg(
         F.count(F.lit(1)).alias("event_count"), F.count_distinct("user_pseudo_id").alias("distinct_users"), F.min(F.to_date("event_ts")).alias("first_event_date"), F.max(F.to_date("event_ts")).alias("last_event_date")
     )
@@ -48,7 +50,7 @@ def event_distribution(raw: DataFrame) -> DataFrame:
 
 
 def _placeholder(c: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(c)).isin(*PLACEHOLDERS[1:]), F.lit(False))
+    return F.coalesce(F.lower(trim(c)).isin(*PLACEHOLDERS[1:]), F.lit(False))
 
 
 def purchase_quality(base: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def purchase_quality(base: DataFrame) -> DataFrame:
         F.count_if(finite(F.col("purchase_revenue_in_usd")).isNull()).alias("events_without_finite_revenue"),
         F.count_if(finite(F.col("purchase_revenue_in_usd")) <= 0).alias("nonpositive_revenue_events"),
         F.sum(finite(F.col("purchase_revenue_in_usd"))).alias("finite_revenue"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("bad"), F.lower(F.trim("transaction_id"))))), " | ").alias("observed_placeholders"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("bad"), F.lower(trim(F.col("transaction_id")))))), " | ").alias("observed_placeholders"),
     )
     orders = p.where("usable").groupBy("user_pseudo_id", "transaction_id").agg(F.count(F.lit(1)).alias("n"))
     o = orders.agg(F.count(F.lit(1)).alias("candidate_orders"), F.count_if(F.col("n") > 1).alias("repeated_orders"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("excess_events"))
@@ -105,20 +107,41 @@ def _scoped(base: DataFrame) -> DataFrame:
     return base.withColumn("scope", F.explode(F.filter(scopes, lambda s: s.isNotNull())))
 
 
-def identifier_quality(base: DataFrame) -> DataFrame:
-    """Per scope: missing users and sessions, sessions met, and session ids that several users have."""
-    rows = _scoped(base)
-    counts = rows.groupBy("scope").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count_if(F.col("user_pseudo_id").isNull()).alias("missing_user_ids"),
-        F.count_if(F.col("ga_session_id").isNull()).alias("missing_session_ids"),
-        F.count_if(F.col("ga_session_id") <= 0).alias("nonpositive_session_ids"),
-        F.count_distinct("user_pseudo_id").alias("distinct_users"),
-        F.count_distinct("session_key").alias("distinct_sessions"),
+def identifier_quality(raw: DataFrame) -> DataFrame:
+    """Per scope of raw events: missing users, missing, repeated and non-integer session parameters, sessions met.
+
+    Session ids that several users have are counted over all events.
+    """
+    p, blank = F.col("event_params"), F.coalesce(trim(F.col("user_pseudo_id")) == "", F.lit(True))
+    events = raw.select("event_name", "user_pseudo_id", count_params(p, "ga_session_id").alias("parameters"), get_param(p, "ga_session_id", "int_value").alias("session"), blank.alias("no_user"))
+    session, n = F.col("session"), F.count(F.lit(1))
+    both = F.when(F.col("user_pseudo_id").isNotNull() & session.isNotNull(), F.struct("user_pseudo_id", "session"))
+    counts = (
+        _scoped(events)
+        .groupBy("scope")
+        .agg(
+            n.alias("events"),
+            F.count_if("no_user").alias("missing_user_ids"),
+            divide(F.count_if("no_user"), n).alias("missing_user_rate"),
+            F.count_if(F.col("parameters") == 0).alias("missing_session_parameters"),
+            F.count_if(F.col("parameters") > 1).alias("repeated_session_parameters"),
+            F.count_if((F.col("parameters") > 0) & session.isNull()).alias("noninteger_session_ids"),
+            F.count_if(session.isNull()).alias("missing_session_ids"),
+            divide(F.count_if(session.isNull()), n).alias("missing_session_rate"),
+            F.count_if(session <= 0).alias("nonpositive_session_ids"),
+            F.count_distinct("user_pseudo_id").alias("distinct_users"),
+            F.count_distinct("session").alias("distinct_session_ids"),
+            F.count_distinct(both).alias("distinct_sessions"),
+        )
     )
-    shared = rows.where("ga_session_id IS NOT NULL").select("scope", "ga_session_id", "user_pseudo_id").distinct().groupBy("scope", "ga_session_id").agg(F.count(F.lit(1)).alias("users"))
-    shared = shared.groupBy("scope").agg(F.count_if(F.col("users") > 1).alias("session_ids_of_several_users"))
-    return counts.join(shared, "scope", "left").fillna(0, ["session_ids_of_several_users"])
+    pairs = events.where(session.isNotNull() & F.col("user_pseudo_id").isNotNull()).select("session", "user_pseudo_id").distinct()
+    shared = pairs.groupBy("session").agg(n.alias("users")).agg(F.count_if(F.col("users") > 1).alias("session_ids_of_several_users"))
+    status = (
+        F.when(F.col("repeated_session_parameters") > 0, "REVIEW_REPEATED_PARAMETER")
+        .when((F.col("missing_user_ids") > 0) | (F.col("missing_session_ids") > 0) | (F.col("nonpositive_session_ids") > 0), "REVIEW_IDENTIFIER_QUALITY")
+        .otherwise("PASS")
+    )
+    return counts.crossJoin(F.broadcast(shared)).withColumn("validation_status", status)  # one row
 
 
 TRAFFIC_FIELDS = ("event_source", "event_medium", "event_campaign", "page_referrer", "first_user_source", "first_user_medium", "first_user_campaign")
@@ -133,19 +156,36 @@ def traffic_availability(base: DataFrame) -> DataFrame:
     return rows.withColumns({"present": present, "present_rate": divide(present, F.col("events")), "missing_rate": divide(F.col("missing"), F.col("events"))})
 
 
-def traffic_values(base: DataFrame, k: int = 25) -> DataFrame:
-    """The k most frequent values of each field, URLs without query and fragment."""
+def field_values(base: DataFrame, *keep: str) -> DataFrame:
+    """(field, value, keep...) per event and traffic field, URLs without query and fragment."""
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in TRAFFIC_FIELDS]))
-    rows = base.select(fields.alias("f")).select("f.field", F.substring(F.regexp_replace("f.value", r"[?#].*$", ""), 1, 500).alias("value")).where("value IS NOT NULL")
-    return combine_values(rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("events")), k)
+    return base.select(*keep, fields.alias("f")).select("f.field", F.substring(F.regexp_replace("f.value", r"[?#].*$", ""), 1, 500).alias("value"), *keep).where("value IS NOT NULL")
+
+
+def traffic_values(base: DataFrame, k: int = 25) -> DataFrame:
+    """The k most frequent values of each field, with their users."""
+    return top_values(field_values(base, "user_pseudo_id").groupBy("field", "value").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_pseudo_id").alias("distinct_users")), k)
+
 
+def traffic_chunk(base: DataFrame, users: DataFrame) -> DataFrame:
+    """What a chunk of events hands on: per value its events, and its users as bitmaps over their dense ids."""
+    return distinct.bitmaps(field_values(base.join(users, "user_pseudo_id", "left"), "dense_id"), ["field", "value"], "dense_id")
 
-def combine_values(chunks: DataFrame, k: int = 25) -> DataFrame:
-    """Sums (field, value, events) of any number of chunks and ranks the first k of each field."""
-    rows = chunks.groupBy("field", "value").agg(F.sum("events").alias("events"))
+
+def combine_values(chunks: list[DataFrame], k: int = 25) -> DataFrame:
+    """The chunks' most frequent values: events add up, and users of several chunks are counted once."""
+    keys = ["field", "value"]
+    return top_values(distinct.counted(distinct.merged(chunks, keys), keys, "distinct_users", "events"), k)
+
+
+def top_values(rows: DataFrame, k: int) -> DataFrame:
+    """The k first of each field; every task ranks its own before they meet, so that few rows of a field do."""
+    order = [F.desc("events"), F.asc("value")]
     totals = rows.groupBy("field").agg(F.sum("events").alias("total"))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("events"), "value")).cast("long")).where(F.col("rank") <= k)
-    return rows.join(F.broadcast(totals), "field").withColumn("share", divide(F.col("events"), F.col("total"))).drop("total")
+    part = Window.partitionBy("_task", "field").orderBy(*order)
+    few = rows.withColumn("_task", F.pmod(F.xxhash64("value"), F.lit(64))).withColumn("_own", F.row_number().over(part)).where(F.col("_own") <= k).drop("_task", "_own")
+    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(*order)).cast("long")).where(F.col("rank") <= k)
+    return few.join(F.broadcast(totals), "field").withColumn("share", divide(F.col("events"), F.col("total"))).drop("total")
 
 
 def internal_referrers(base: DataFrame, s: Settings) -> DataFrame:
@@ -177,9 +217,51 @@ def mapping_rules(spark: SparkSession, s: Settings) -> DataFrame:
     return spark.createDataFrame([(*r, s.mapping_version) for r in CHANNEL_RULES], "priority long, channel string, rule_name string, mapping_version string")
 
 
-def domain_rules(spark: SparkSession, s: Settings) -> DataFrame:
+#: Hosts of social networks as the proposal looks for them, at the end of a source.
+PROPOSED_SOCIAL = "(^|[.])(" + "|".join([*(d.replace(".", "[.]") for d in S.SOCIAL_DOMAINS), "pinterest[.][a-z.]+"]) + ")$"
+
+
+def proposed_rules() -> list[tuple[int, str, str, Column]]:
+    """(priority, channel, predicate in words, condition): the first proposal, before hosts were told apart.
+
+    It has no rule for administration traffic, and looks for social networks in the source itself.
+    """
+    tier, source, medium = F.col("source_resolution_tier"), F.lower("resolved_source"), F.lower("resolved_medium")
+    is_ = lambda pattern: medium.rlike(pattern)
+    social = source.rlike(PROPOSED_SOCIAL)
+    return [
+        (1, "Direct", "tier or source or medium is direct", (tier == "Direct") | (source == "(direct)") | (medium == "(none)")),
+        (2, "Paid Social", f"medium matches {S.PAID_SOCIAL_MEDIUM}, or {S.PAID_MEDIUM} from a social network", is_(S.PAID_SOCIAL_MEDIUM) | (is_(S.PAID_MEDIUM) & social)),
+        (3, "Paid Search", f"medium matches {S.PAID_MEDIUM}", is_(S.PAID_MEDIUM)),
+        (4, "Display", f"medium matches {S.DISPLAY_MEDIUM}", is_(S.DISPLAY_MEDIUM)),
+        (5, "Email", f"medium matches {S.EMAIL_MEDIUM}", is_(S.EMAIL_MEDIUM)),
+        (6, "Affiliates", f"medium matches {S.AFFILIATE_MEDIUM}", is_(S.AFFILIATE_MEDIUM)),
+        (7, "Organic Search", f"medium matches {S.ORGANIC_MEDIUM}", is_(S.ORGANIC_MEDIUM)),
+        (8, "Organic Social", f"medium matches {S.SOCIAL_MEDIUM}, or source is a social network", is_(S.SOCIAL_MEDIUM) | social),
+        (9, "Referral", "tier is an external referrer or medium is referral", (tier == "external_referrer") | (medium == "referral")),
+        (10, "Unknown", "tier is unknown, or neither source nor medium", (tier == "Unknown") | (source.isNull() & medium.isNull())),
+        (11, "Other", "all others", F.lit(True)),
+    ]
+
+
+def mapping_proposal(sessions: DataFrame) -> DataFrame:
+    """The proposed rules with the sessions that each would take, and how many of these the rules in force map alike."""
+    first, names = F.lit(None).cast("long"), F.lit(None).cast("string")
+    for priority, name, _, condition in reversed(proposed_rules()):
+        hit = F.coalesce(condition, F.lit(False))
+        first, names = F.when(hit, F.lit(priority).cast("long")).otherwise(first), F.when(hit, name).otherwise(names)
+    taken = sessions.select(first.alias("priority"), (names == F.col("channel")).alias("alike")).groupBy("priority").agg(F.count(F.lit(1)).alias("sessions"), F.count_if("alike").alias("mapped_alike"))
+    rules = sessions.sparkSession.createDataFrame([(*r[:3], "PROPOSED_NOT_APPROVED") for r in proposed_rules()], "priority long, proposed_channel string, predicate string, approval_status string")
+    return rules.join(F.broadcast(taken), "priority", "left").fillna(0, ["sessions", "mapped_alike"])  # eleven rows
+
+
+def domain_rules(sessions: DataFrame, s: Settings) -> DataFrame:
+    """Hosts and domains of the shop's own, each with the sessions whose resolved source it is."""
     rows = [(s.storefront, "registered_domain", "INTERNAL_STOREFRONT"), *[(h, "exact_host", "INTERNAL_ADMIN") for h in s.admin_hosts]]
-    return spark.createDataFrame(rows, "name string, match_type string, decision string")
+    rules = sessions.sparkSession.createDataFrame(rows, "name string, match_type string, decision string")
+    names = F.explode(F.array(F.struct(F.lit("registered_domain").alias("match_type"), F.col("resolved_source_domain").alias("name")), F.struct(F.lit("exact_host").alias("match_type"), F.lower("resolved_source_host").alias("name"))))
+    met = sessions.select(names.alias("x")).groupBy("x.match_type", "x.name").agg(F.count(F.lit(1)).alias("sessions"))
+    return F.broadcast(rules).join(met, ["match_type", "name"], "left").fillna(0, ["sessions"])
 
 
 def reprocessing(before: DataFrame, after: DataFrame, s: Settings) -> DataFrame:

@@ -26,11 +26,14 @@ def candidates(cycles: DataFrame, sessions: DataFrame, s: Settings) -> DataFrame
     return o.join(t, near).select("o.*", *[F.col(f"t.{c}") for c in sessions.columns if c != "user_pseudo_id" and c not in cycles.columns], standard.alias("is_standard"), own.alias("is_conversion_session"))
 
 
-def conversion_paths(cycles: DataFrame, sessions: DataFrame, s: Settings, strict: bool = False) -> DataFrame:
-    """Touchpoints of every order, numbered; unless ``strict`` the order's own session always counts."""
+def conversion_paths(cycles: DataFrame, sessions: DataFrame, s: Settings, strict: bool = False, by: tuple[str, ...] = ("order_key",)) -> DataFrame:
+    """Touchpoints of every order, numbered; unless ``strict`` the order's own session always counts.
+
+    ``by`` may name the user before the order, an order being of one user: then tables bucketed by user are not shuffled.
+    """
     rows = candidates(cycles, eligible(sessions), s)
     rows = rows.where("is_standard" if strict else "is_standard OR is_conversion_session")
-    order = Window.partitionBy("order_key")
+    order = Window.partitionBy(*by)
     return rows.withColumns(
         {
             "touchpoint_ts": F.col("session_start_ts"),

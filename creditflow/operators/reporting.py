@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditflow.functions.columns import divide
+from creditflow.operators.scan import global_rank
 from creditflow.operators.sessions import eligible
 from creditflow.settings import Settings
 
@@ -29,12 +30,8 @@ def order_paths(paths: DataFrame) -> DataFrame:
     return rows.select("order_key", "revenue", "path_length", F.col("p")[0].alias("first_touch"), F.element_at("p", -1).alias("last_touch"), F.array_join("p", " > ").alias("converting_path"))
 
 
-def journey_summary(paths: DataFrame, s: Settings) -> DataFrame:
-    """Tagged rows: overall, by path length, by path, by first and by last channel.
-
-    Each order is tagged once for every summary and everything is summed together.
-    """
-    rows = order_paths(paths)
+def _tagged(rows: DataFrame) -> DataFrame:
+    """Sums of order paths by (summary_type, dimension_key): each order is tagged once for every summary."""
     tag = lambda t, key: F.struct(F.lit(t).alias("summary_type"), key.alias("dimension_key"))
     tags = F.array(
         tag("OVERALL", F.lit("all_attributable_conversions")),
@@ -45,11 +42,25 @@ def journey_summary(paths: DataFrame, s: Settings) -> DataFrame:
     )
     members = rows.select("revenue", "path_length", F.explode(tags).alias("t")).groupBy("t.summary_type", "t.dimension_key")
     members = members.agg(F.count(F.lit(1)).alias("conversions"), F.sum("revenue").alias("revenue"), F.avg("path_length").alias("mean"), F.count_if(F.col("path_length") == 1).alias("single"), F.max("path_length").alias("length"))
+    return members
+
+
+def _order(name: str = "dimension_key") -> list:
+    return [F.desc("conversions"), F.desc("revenue"), F.asc(name)]
+
+
+def journey_summary(paths: DataFrame, s: Settings) -> DataFrame:
+    """Tagged rows: overall, by path length, by path, by first and by last channel.
+
+    Each order is tagged once for every summary and everything is summed together.  Ranks inside a summary are given over
+    ranges of its order, so that very many different paths are no single task's.
+    """
+    rows = order_paths(paths)
+    members = global_rank(_tagged(rows), _order(), "rank", ("summary_type",))
     totals = rows.agg(F.count(F.lit(1)).alias("all_conversions"), F.sum("revenue").alias("all_revenue"), F.percentile("path_length", F.lit(0.5)).alias("median"))
-    rank = F.row_number().over(Window.partitionBy("summary_type").orderBy(F.desc("conversions"), F.desc("revenue"), "dimension_key")).cast("long")
     kind = F.col("summary_type")
     overall, length = kind == "OVERALL", kind == "PATH_LENGTH"
-    out = members.withColumn("rank", rank).crossJoin(F.broadcast(totals))  # one row
+    out = members.crossJoin(F.broadcast(totals))  # one row
     return out.select(
         "summary_type",
         "dimension_key",
@@ -108,8 +119,12 @@ def funnel_problems(funnel: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("violations")) for c in one.columns])).alias("x")).select("x.*")
 
 
-def top_paths(summary: DataFrame, n: int = 10) -> DataFrame:
-    return summary.where("summary_type = 'CONVERTING_PATH'").orderBy("sort_order").limit(n)
+def top_paths(paths: DataFrame, n: int = 10) -> DataFrame:
+    """The n most frequent converting paths: each task's first n are merged, nothing else is ordered."""
+    rows = order_paths(paths).groupBy(F.col("converting_path").alias("dimension_key")).agg(F.count(F.lit(1)).alias("conversions"), F.sum("revenue").alias("revenue"))
+    first = rows.orderBy(*_order()).limit(n)
+    rank = F.row_number().over(Window.orderBy(*_order())).cast("long")  # of n rows
+    return first.select("dimension_key", rank.alias("sort_order"), F.col("conversions").alias("attributable_conversions"), F.col("revenue").alias("attributable_revenue"))
 
 
 def path_length_bins(summary: DataFrame, cap: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditflow.functions.columns import get_param, hash_key, reg_domain, text, url_host
+from creditflow.functions.columns import get_param, hash_key, reg_domain, text, trim, url_host
 from creditflow.operators.scan import Segments, lag
 from creditflow.settings import Settings
 
@@ -19,9 +19,12 @@ def event_base(raw: DataFrame, s: Settings) -> DataFrame:
         "event_id",
         F.to_date("event_ts").alias("event_date"),
         "event_ts",
+        F.unix_micros(F.col("event_ts").cast("timestamp")).alias("event_timestamp"),
         "event_name",
         "user_pseudo_id",
+        "user_id",
         session.alias("ga_session_id"),
+        get_param(p, "ga_session_number", "int_value").alias("ga_session_number"),
         text(get_param(p, "source", "string_value")).alias("event_source"),
         text(get_param(p, "medium", "string_value")).alias("event_medium"),
         text(get_param(p, "campaign", "string_value")).alias("event_campaign"),
@@ -52,7 +55,7 @@ def event_base(raw: DataFrame, s: Settings) -> DataFrame:
 
 def orders(base: DataFrame) -> DataFrame:
     """One row per user and trimmed transaction id."""
-    tid = F.trim("transaction_id")
+    tid = trim(F.col("transaction_id"))
     valid = base.where((F.col("event_name") == "purchase") & F.col("user_pseudo_id").isNotNull() & (tid != "") & (F.lower(tid) != "(not set)"))
     revenue = F.col("purchase_revenue_in_usd")
     first = F.min(F.when(F.col("session_key").isNotNull(), F.struct("event_ts", "session_key")))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditflow.operators.attribution import model_weights
-from creditflow.settings import Settings
+from creditflow.settings import CONVERSION, NULL, START, Settings
 
 
 @dataclass(frozen=True)
@@ -37,20 +38,101 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def reconcile(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-9) -> DataFrame:
-    """Keys that one side lacks or whose values differ by more than the tolerance."""
+def reconcile(a: DataFrame, b: DataFrame, keys: list[str], tolerances: dict[str, float]) -> DataFrame:
+    """Keys that one side lacks or whose values differ by more than each value's tolerance; two nulls agree."""
+    values = list(tolerances)
     x = a.select(*keys, *[F.col(v).alias(f"a_{v}") for v in values], F.lit(True).alias("in_a"))
     y = b.select(*keys, *[F.col(v).alias(f"b_{v}") for v in values], F.lit(True).alias("in_b"))
     rows = x.join(y, keys, "full")
     differs = F.col("in_a").isNull() | F.col("in_b").isNull()
-    for v in values:
-        differs = differs | ~F.coalesce(F.abs(F.col(f"a_{v}") - F.col(f"b_{v}")) <= tolerance, F.col(f"a_{v}").isNull() & F.col(f"b_{v}").isNull())
+    for v, tolerance in tolerances.items():
+        left, right = F.col(f"a_{v}"), F.col(f"b_{v}")
+        differs = differs | ~F.coalesce(F.abs(left - right) <= tolerance, left.isNull() & right.isNull())
     return rows.where(differs)
 
 
-def replay_weights(paths: DataFrame, s: Settings) -> DataFrame:
-    """Weights summed per order and model, for comparison with 1."""
-    return model_weights(paths, s).groupBy("order_key", "model").agg(F.sum("attribution_weight").alias("weight"))
+def replayed_credit(paths: DataFrame, s: Settings) -> DataFrame:
+    """order_key, model, channel, attributed_conversion, attributed_revenue of the rule models, derived another way.
+
+    Each order's touchpoints are one sorted array; every model is an expression over it.  No window, no shared code with
+    ``attribution.model_weights``.
+    """
+    touch = F.struct("touchpoint_number", "channel", "seconds_before_conversion")
+    orders = paths.groupBy("order_key").agg(F.array_sort(F.collect_list(touch)).alias("p"), F.max("order_revenue_usd").alias("revenue"))
+    others = F.filter("p", lambda x: x["channel"] != "Direct")
+    raw = F.transform("p", lambda x: F.exp(-F.log(F.lit(2.0)) * x["seconds_before_conversion"] / F.lit(float(s.half_life_seconds))))
+    orders = orders.withColumns({"n": F.size("p"), "last_other": F.try_element_at(others, F.lit(-1)), "raw": raw})
+    one = lambda x: F.array(F.struct(x["channel"].alias("channel"), F.lit(1.0).alias("w")))
+    total = F.aggregate("raw", F.lit(0.0), lambda acc, x: acc + x)
+    credit = {
+        "First Click": one(F.element_at("p", 1)),
+        "Last Click": one(F.element_at("p", -1)),
+        "Last Non-direct Click": one(F.coalesce("last_other", F.element_at("p", -1))),
+        "Linear": F.transform("p", lambda x: F.struct(x["channel"].alias("channel"), (F.lit(1.0) / F.col("n")).alias("w"))),
+        "Time Decay": F.zip_with("p", "raw", lambda x, w: F.struct(x["channel"].alias("channel"), (w / total).alias("w"))),
+    }
+    models = F.array(*[F.struct(F.lit(m).alias("model"), c.alias("credit")) for m, c in credit.items()])
+    rows = orders.select("order_key", "revenue", F.explode(models).alias("m")).select("order_key", "revenue", "m.model", F.explode("m.credit").alias("c"))
+    w = F.col("c.w")
+    return rows.where(w > 0).groupBy("order_key", "model", F.col("c.channel").alias("channel")).agg(F.sum(w).alias("attributed_conversion"), F.sum(w * F.col("revenue")).alias("attributed_revenue"))
+
+
+def replayed_effects(edge_counts: DataFrame, rounds: int = 4096) -> DataFrame:
+    """channel, base_probability, probability_without, removal_effect, attribution_share of one chain, derived another way.
+
+    Chances to convert are found by walking: the share of walkers that have converted after 1, 2, 4, ... ``rounds`` steps, by
+    squaring the transition matrix with the removed channel's walkers sent to Null.  No linear system is solved.
+    """
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        states = sorted({*rows["src"], *rows["dst"], START, CONVERSION, NULL})
+        at = {x: i for i, x in enumerate(states)}
+        steps = np.zeros((len(states), len(states)))
+        for src, dst, n in zip(rows["src"], rows["dst"], rows["n"], strict=True):
+            steps[at[src], at[dst]] += n
+
+        def converting(removed: str | None) -> float:
+            m = steps.copy()
+            if removed is not None:
+                m[:, at[NULL]] += m[:, at[removed]]
+                m[:, at[removed]] = 0
+                m[at[removed]] = 0
+            for x in (CONVERSION, NULL, *([removed] if removed else [])):
+                m[at[x]] = 0
+                m[at[x], at[x]] = 1
+            m /= np.maximum(m.sum(axis=1, keepdims=True), 1e-300)
+            for _ in range(int(np.log2(rounds))):
+                m = m @ m
+            return float(m[at[START], at[CONVERSION]])
+
+        base = converting(None)
+        found = [(x, base, converting(x)) for x in states if x not in (START, CONVERSION, NULL)]
+        effects = [max(0.0, 1 - rest / base) for _, _, rest in found]
+        return pd.DataFrame([(*f, e, e / sum(effects)) for f, e in zip(found, effects, strict=True)], columns=["channel", "base_probability", "probability_without", "removal_effect", "attribution_share"])
+
+    schema = "channel string, base_probability double, probability_without double, removal_effect double, attribution_share double"
+    one = edge_counts.select(F.lit("chain").alias("chain"), "src", "dst", "n")  # one chain's edges: states squared at most
+    return one.groupBy("chain").applyInPandas(walk, schema)
+
+
+def formula_replay(paths: DataFrame, results: DataFrame, edge_counts: DataFrame, effects: DataFrame, attribution: DataFrame, s: Settings) -> DataFrame:
+    """model, compared, differences, replayed conversions and revenue: all six models against a second derivation.
+
+    Rows that one side lacks, credit that differs by more than 1e-9 and revenue by more than 1e-6 are differences.
+    """
+    tolerances = {"attributed_conversion": 1e-9, "attributed_revenue": 1e-6}
+    replay = replayed_credit(paths, s)
+    wrong = reconcile(results, replay, ["order_key", "model", "channel"], tolerances).groupBy("model").agg(F.count(F.lit(1)).alias("differences"))
+    sums = replay.groupBy("model").agg(F.count(F.lit(1)).alias("compared"), F.sum("attributed_conversion").alias("replayed_conversions"), F.sum("attributed_revenue").alias("replayed_revenue"))
+    rules = results.select("model").distinct().join(sums, "model", "full").join(wrong, "model", "left")
+    totals = paths.groupBy("order_key").agg(F.max("order_revenue_usd").alias("r")).agg(F.count(F.lit(1)).alias("orders"), F.sum("r").alias("revenue"))
+    chain = replayed_effects(edge_counts).crossJoin(F.broadcast(totals))  # one row
+    chain = chain.withColumns({"attributed_conversions": F.col("attribution_share") * F.col("orders"), "attributed_revenue": F.col("attribution_share") * F.col("revenue")})
+    fits = {"base_probability": 1e-9, "probability_without": 1e-9, "removal_effect": 1e-9, "attribution_share": 1e-9}
+    wrong = reconcile(effects, chain, ["channel"], fits).select("channel").union(reconcile(attribution, chain, ["channel"], {"attributed_conversions": 1e-6, "attributed_revenue": 1e-6}).select("channel"))
+    markov = chain.agg(F.lit("Markov").alias("model"), F.count(F.lit(1)).alias("compared"), F.sum("attributed_conversions").alias("replayed_conversions"), F.sum("attributed_revenue").alias("replayed_revenue"))
+    markov = markov.crossJoin(wrong.agg(F.count_distinct("channel").alias("differences")))  # one row each
+    return rules.fillna(0, ["compared", "differences"]).unionByName(markov)
 
 
 def core_checks(base: DataFrame, orders: DataFrame, sessions: DataFrame, strict: DataFrame, revised: DataFrame, coverage: DataFrame, results: DataFrame, journeys: DataFrame, s: Settings) -> list[Check]:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from creditflow.operators import attribution, audits, markov, paths, reporting, sensitivity, validation
+from creditflow.operators import attribution, audits, distinct, markov, paths, reporting, sensitivity, validation
+from creditflow.operators import sessions as S
 from creditflow.plans.oracle import _channel, _quoted, _resolved
 from creditflow.plans.primitive import CATALOG_SQL, NAMES
 from creditflow.plans.registry import of_run
@@ -14,7 +15,7 @@ from creditflow.settings import DEFAULT as s
 from creditflow.sources import readers
 
 # Staging and sources
-of_run("event_base", lambda r: r.event_base, "event_id event_date event_ts event_name user_pseudo_id ga_session_id session_key event_source event_medium page_location_host page_location_domain page_referrer_host page_referrer_domain first_user_source first_user_medium device_category operating_system browser country region city transaction_id ~purchase_revenue_in_usd", "x_base")
+of_run("event_base", lambda r: r.event_base, "event_id event_date event_ts event_timestamp event_name user_pseudo_id user_id ga_session_id ga_session_number session_key event_source event_medium page_location_host page_location_domain page_referrer_host page_referrer_domain first_user_source first_user_medium device_category operating_system browser country region city transaction_id ~purchase_revenue_in_usd", "x_base")
 of_run("orders_dedup", lambda r: r.orders, "order_key user_pseudo_id transaction_id order_ts order_date conversion_session_key ~order_revenue_usd purchase_event_count duplicate_purchase_event_count distinct_revenue_value_count ~minimum_observed_revenue_usd ~maximum_observed_revenue_usd", "x_orders")
 SOURCE = "session_key user_pseudo_id ga_session_id session_start_ts session_end_ts event_count purchase_event_count raw_event_tuple_event_count source_resolution_tier resolved_source resolved_medium resolved_campaign resolved_source_host resolved_source_domain is_inferred_source source_quality"
 of_run("source_v1", lambda r: r.provisional_sources, SOURCE, "x_provisional")
@@ -206,7 +207,7 @@ of_run(
 )
 SUMMARY = "summary_type dimension_key dimension_label #sort_order attributable_conversions ~attributable_revenue ~conversion_share ~revenue_share ~mean_path_length ~median_path_length #single_touch_conversions #multi_touch_conversions"
 of_run("journey_summary", lambda r: reporting.journey_summary(r.revised, s), SUMMARY, "x_summary")
-of_run("rpt_top_paths", lambda r: reporting.top_paths(reporting.journey_summary(r.revised, s)), "dimension_key #sort_order attributable_conversions ~attributable_revenue", "(SELECT * FROM x_summary WHERE summary_type = 'CONVERTING_PATH' AND sort_order <= 10)")
+of_run("rpt_top_paths", lambda r: reporting.top_paths(r.revised), "dimension_key #sort_order attributable_conversions ~attributable_revenue", "(SELECT * FROM x_summary WHERE summary_type = 'CONVERTING_PATH' AND sort_order <= 10)")
 of_run("rpt_path_length_bins", lambda r: reporting.path_length_bins(reporting.journey_summary(r.revised, s), cap=5), "bin #bin_order #conversions ~share", "(SELECT CASE WHEN path_length >= 5 THEN '5+' ELSE CAST(path_length AS VARCHAR) END AS bin, least(path_length, 5) AS bin_order, count(*) AS conversions, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM x_order_paths GROUP BY 1, 2)")
 of_run(
     "attribution_business_summary",
@@ -262,12 +263,18 @@ of_run(
     count(DISTINCT purchase_revenue_in_usd) AS distinct_finite_revenues, min(purchase_revenue_in_usd) AS minimum_finite_revenue, max(purchase_revenue_in_usd) AS maximum_finite_revenue FROM x_base WHERE event_name = 'purchase' AND transaction_id IS NOT NULL GROUP BY user_pseudo_id, transaction_id HAVING count(*) > 1))""",
 )
 _SCOPED = "(SELECT 'all_events' AS scope, * FROM x_base UNION ALL SELECT 'purchase_events', * FROM x_base WHERE event_name = 'purchase' UNION ALL SELECT 'checkout_events', * FROM x_base WHERE event_name = 'begin_checkout')"
+_RAW_SCOPED = _SCOPED.replace("x_base", "x_raw")
 of_run(
     "aud_identifier_quality",
-    lambda r: audits.identifier_quality(r.event_base),
-    "scope events missing_user_ids missing_session_ids nonpositive_session_ids distinct_users distinct_sessions session_ids_of_several_users",
-    f"""(SELECT * FROM (SELECT scope, count(*) AS events, count(*) FILTER (user_pseudo_id IS NULL) AS missing_user_ids, count(*) FILTER (ga_session_id IS NULL) AS missing_session_ids, count(*) FILTER (ga_session_id <= 0) AS nonpositive_session_ids, count(DISTINCT user_pseudo_id) AS distinct_users, count(DISTINCT session_key) AS distinct_sessions FROM {_SCOPED} GROUP BY scope)
-    JOIN (SELECT scope, count(*) FILTER (u > 1) AS session_ids_of_several_users FROM (SELECT scope, ga_session_id, count(DISTINCT user_pseudo_id) AS u FROM {_SCOPED} GROUP BY ALL) GROUP BY scope) USING (scope))""",
+    lambda r: audits.identifier_quality(r.raw),
+    "scope events missing_user_ids ~missing_user_rate missing_session_parameters repeated_session_parameters noninteger_session_ids missing_session_ids ~missing_session_rate nonpositive_session_ids"
+    " distinct_users distinct_session_ids distinct_sessions session_ids_of_several_users validation_status",
+    f"""(SELECT *, CASE WHEN repeated_session_parameters > 0 THEN 'REVIEW_REPEATED_PARAMETER' WHEN missing_user_ids + missing_session_ids + nonpositive_session_ids > 0 THEN 'REVIEW_IDENTIFIER_QUALITY' ELSE 'PASS' END AS validation_status
+    FROM (SELECT scope, count(*) AS events, count(*) FILTER (user_pseudo_id IS NULL) AS missing_user_ids, count(*) FILTER (user_pseudo_id IS NULL) / CAST(count(*) AS DOUBLE) AS missing_user_rate, 0 AS missing_session_parameters,
+      count(*) FILTER (session_parameters > 1) AS repeated_session_parameters, count(*) FILTER (ga_session_id IS NULL) AS noninteger_session_ids, count(*) FILTER (ga_session_id IS NULL) AS missing_session_ids,
+      count(*) FILTER (ga_session_id IS NULL) / CAST(count(*) AS DOUBLE) AS missing_session_rate, count(*) FILTER (ga_session_id <= 0) AS nonpositive_session_ids, count(DISTINCT user_pseudo_id) AS distinct_users,
+      count(DISTINCT ga_session_id) AS distinct_session_ids, count(DISTINCT CASE WHEN ga_session_id IS NOT NULL THEN user_pseudo_id || '|' || ga_session_id END) AS distinct_sessions FROM {_RAW_SCOPED} GROUP BY scope)
+    CROSS JOIN (SELECT count(*) FILTER (u > 1) AS session_ids_of_several_users FROM (SELECT ga_session_id, count(DISTINCT user_pseudo_id) AS u FROM x_raw WHERE ga_session_id IS NOT NULL GROUP BY 1)))""",
 )
 _LONG = " UNION ALL ".join(f"SELECT scope, '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM {_SCOPED}" for f in audits.TRAFFIC_FIELDS)
 of_run(
@@ -277,22 +284,21 @@ of_run(
     f"""(SELECT *, events - missing - placeholders AS present, (events - missing - placeholders) / CAST(events AS DOUBLE) AS present_rate, missing / CAST(events AS DOUBLE) AS missing_rate FROM
     (SELECT scope, field, count(*) AS events, count(*) FILTER (value IS NULL) AS missing, count(*) FILTER (lower(value) IN ('(not set)', '(not provided)', '(data deleted)', '<other>', 'unknown')) AS placeholders FROM ({_LONG}) GROUP BY ALL))""",
 )
-_VALUES = f"(WITH v AS (SELECT field, substr(regexp_replace(value, '[?#].*$', ''), 1, 500) AS value, count(*) AS events FROM ({_LONG}) WHERE scope = 'all_events' AND value IS NOT NULL GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY events DESC, value) AS rank, events / CAST(sum(events) OVER (PARTITION BY field) AS DOUBLE) AS share FROM v) WHERE rank <= 25)"
-of_run("aud_traffic_values", lambda r: audits.traffic_values(r.event_base), "field value #events rank ~share", _VALUES)
-of_run("aud_traffic_combine", lambda r: _chunks(r), "field value #events rank ~share", _VALUES)
+_USERS_LONG = " UNION ALL ".join(f"SELECT '{f}' AS field, CAST({f} AS VARCHAR) AS value, user_pseudo_id FROM x_base" for f in audits.TRAFFIC_FIELDS)
+_VALUES = f"""(WITH v AS (SELECT field, substr(regexp_replace(value, '[?#].*$', ''), 1, 500) AS value, count(*) AS events, count(DISTINCT user_pseudo_id) AS distinct_users FROM ({_USERS_LONG}) WHERE value IS NOT NULL GROUP BY 1, 2)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY events DESC, value) AS rank, events / CAST(sum(events) OVER (PARTITION BY field) AS DOUBLE) AS share FROM v) WHERE rank <= 25)"""
+of_run("aud_traffic_values", lambda r: audits.traffic_values(r.event_base), "field value #events #distinct_users rank ~share", _VALUES)
 
 
 def _chunks(r: Run):
-    """Two chunks by date, counted apart and then combined."""
-    early = F.col("event_date") < "2024-01-15"
-    parts = []
-    for df in (r.event_base.where(early), r.event_base.where(~early)):
-        fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in audits.TRAFFIC_FIELDS]))
-        rows = df.select(fields.alias("f")).select("f.field", F.substring(F.regexp_replace("f.value", r"[?#].*$", ""), 1, 500).alias("value")).where("value IS NOT NULL")
-        parts.append(rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("events")))
-    return audits.combine_values(parts[0].unionByName(parts[1]))
+    """Three chunks by date, counted apart and then combined; users of several chunks count once."""
+    users = distinct.dense_ids(r.event_base, "user_pseudo_id")
+    days = ("2024-01-10", "2024-01-20")
+    at = F.when(F.col("event_date") < days[0], 0).when(F.col("event_date") < days[1], 1).otherwise(2)
+    return audits.combine_values([audits.traffic_chunk(r.event_base.where(at == i), users) for i in range(3)])
 
 
+of_run("aud_traffic_combine", _chunks, "field value #events #distinct_users rank ~share", _VALUES)
 of_run(
     "aud_internal_referrers",
     lambda r: audits.internal_referrers(r.event_base, s),
@@ -302,8 +308,43 @@ of_run(
 )
 of_run("aud_source_coverage", lambda r: audits.source_coverage(r.sessions), "source_resolution_tier #tier_order #sessions ~session_share", "(SELECT source_resolution_tier, tier_order, coalesce(n, 0) AS sessions, coalesce(n, 0) / CAST((SELECT count(*) FROM x_sessions) AS DOUBLE) AS session_share FROM (VALUES ('event_level_source', 1), ('external_referrer', 2), ('first_user_fallback', 3), ('Direct', 4), ('Unknown', 5)) AS v(source_resolution_tier, tier_order) LEFT JOIN (SELECT source_resolution_tier, count(*) AS n FROM x_sessions GROUP BY ALL) USING (source_resolution_tier))")
 of_run("aud_source_frequency", lambda r: audits.source_frequency(r.sessions), "source_resolution_tier resolved_source resolved_medium resolved_campaign sessions ~session_share", "(SELECT source_resolution_tier, resolved_source, resolved_medium, resolved_campaign, count(*) AS sessions, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS session_share FROM x_sessions GROUP BY 1, 2, 3, 4)")
-of_run("rules_tables", lambda r: audits.mapping_rules(r.spark, s), "#priority channel rule_name", "(VALUES " + ", ".join(f"({a}, '{b}', '{c}')" for a, b, c in CHANNEL_RULES) + ") AS v(priority, channel, rule_name)")
-of_run("rules_domains", lambda r: audits.domain_rules(r.spark, s), "name match_type decision", f"(VALUES ('{s.storefront}', 'registered_domain', 'INTERNAL_STOREFRONT'), " + ", ".join(f"('{h}', 'exact_host', 'INTERNAL_ADMIN')" for h in s.admin_hosts) + ") AS v(name, match_type, decision)")
+of_run(
+    "rules_tables",
+    lambda r: audits.mapping_rules(r.spark, s).join(r.sessions.groupBy(F.col("mapping_rule_name").alias("rule_name")).agg(F.count("*").alias("sessions")), "rule_name", "left").fillna(0, ["sessions"]),
+    "#priority channel rule_name #sessions",
+    "(SELECT v.*, (SELECT count(*) FROM x_sessions WHERE mapping_rule_name = rule_name) AS sessions FROM (VALUES " + ", ".join(f"({a}, '{b}', '{c}')" for a, b, c in CHANNEL_RULES) + ") AS v(priority, channel, rule_name))",
+)
+_social = f"regexp_matches(lower(resolved_source), '{audits.PROPOSED_SOCIAL}')"
+_med = lambda p: f"regexp_matches(lower(resolved_medium), '{p}')"
+_PROPOSED = {
+    "Direct": "source_resolution_tier = 'Direct' OR lower(resolved_source) = '(direct)' OR lower(resolved_medium) = '(none)'",
+    "Paid Social": f"{_med(S.PAID_SOCIAL_MEDIUM)} OR ({_med(S.PAID_MEDIUM)} AND {_social})",
+    "Paid Search": _med(S.PAID_MEDIUM),
+    "Display": _med(S.DISPLAY_MEDIUM),
+    "Email": _med(S.EMAIL_MEDIUM),
+    "Affiliates": _med(S.AFFILIATE_MEDIUM),
+    "Organic Search": _med(S.ORGANIC_MEDIUM),
+    "Organic Social": f"{_med(S.SOCIAL_MEDIUM)} OR {_social}",
+    "Referral": "source_resolution_tier = 'external_referrer' OR lower(resolved_medium) = 'referral'",
+    "Unknown": "source_resolution_tier = 'Unknown' OR (resolved_source IS NULL AND resolved_medium IS NULL)",
+    "Other": "TRUE",
+}
+of_run(
+    "rules_proposal",
+    lambda r: audits.mapping_proposal(r.sessions),
+    "#priority proposed_channel approval_status #sessions #mapped_alike",
+    "(WITH p AS (SELECT channel, CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in _PROPOSED.items()) + " END AS proposed FROM x_sessions) SELECT i AS priority, names[i] AS proposed_channel, 'PROPOSED_NOT_APPROVED' AS approval_status,"
+    " (SELECT count(*) FROM p WHERE proposed = names[i]) AS sessions, (SELECT count(*) FROM p WHERE proposed = names[i] AND channel = proposed) AS mapped_alike"
+    f" FROM (SELECT [{_quoted(_PROPOSED)}] AS names, unnest(range(1, {len(_PROPOSED) + 1})) AS i))",
+)
+of_run(
+    "rules_domains",
+    lambda r: audits.domain_rules(r.sessions, s),
+    "name match_type decision #sessions",
+    f"(SELECT name, match_type, decision, (SELECT count(*) FROM x_sessions WHERE CASE match_type WHEN 'exact_host' THEN resolved_source_host = name ELSE resolved_source_domain = name END) AS sessions FROM (VALUES ('{s.storefront}', 'registered_domain', 'INTERNAL_STOREFRONT'), "
+    + ", ".join(f"('{h}', 'exact_host', 'INTERNAL_ADMIN')" for h in s.admin_hosts)
+    + ") AS v(name, match_type, decision))",
+)
 _CHANNEL = {x: _channel(*[f"{x}.{c}" for c in _resolved[:-1]], f"coalesce(lower({x}.resolved_source_host) IN ({_quoted(s.admin_hosts)}), FALSE)", 1) for x in "ba"}
 _DIFF = f"(SELECT b.session_key, b.source_resolution_tier AS before_source_resolution_tier, a.source_resolution_tier AS after_source_resolution_tier, b.resolved_source AS before_resolved_source, {_CHANNEL['b']} AS before_channel, {_CHANNEL['a']} AS after_channel, b.resolved_medium AS before_resolved_medium, a.resolved_source AS after_resolved_source, coalesce(b.has_internal_event_source, FALSE) AS is_affected_by_storefront, (b.source_resolution_tier, b.resolved_source, b.resolved_medium, b.resolved_campaign) IS DISTINCT FROM (a.source_resolution_tier, a.resolved_source, a.resolved_medium, a.resolved_campaign) AS is_changed FROM x_provisional b FULL JOIN x_sources a USING (session_key))"
 of_run("aud_reprocess", lambda r: audits.reprocessing(r.provisional_sources, r.sources, s), "session_key before_source_resolution_tier after_source_resolution_tier before_resolved_source after_resolved_source is_affected_by_storefront is_changed", _DIFF)
@@ -402,5 +443,11 @@ of_run(
     "check_id #observed #expected status",
     "(SELECT *, 0 AS expected, CASE WHEN observed = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS check_id, count(*) AS observed FROM ({v})" for k, v in CHECKS_SQL.items()) + "))",
 )
-of_run("ctl_formula_replay", lambda r: validation.replay_weights(r.revised, s), "order_key model ~weight", "(SELECT order_key, model, sum(w) AS weight FROM x_weights WHERE w > 0 GROUP BY ALL)")
+of_run(
+    "ctl_formula_replay",
+    lambda r: validation.formula_replay(r.revised, r.results, r.scenario_edges.where("scenario = 'baseline'"), r.effects, r.markov_attribution, s),
+    "model #compared #differences ~replayed_conversions ~replayed_revenue",
+    """(SELECT model, count(*) AS compared, 0 AS differences, sum(attributed_conversion) AS replayed_conversions, sum(attributed_revenue) AS replayed_revenue FROM x_results GROUP BY model
+    UNION ALL SELECT 'Markov', count(*), 0, sum(attributed_conversions), sum(attributed_revenue) FROM x_markov)""",
+)
 of_run("ctl_fingerprint", lambda r: readers.snapshot(r.orders), "rows fingerprint schema")

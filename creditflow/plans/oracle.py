@@ -23,8 +23,16 @@ def _evidence(column: int) -> str:
     return "CASE " + " ".join(f"WHEN k <= {row[0]} THEN {value(row[column])}" for row in EVIDENCE) + " END"
 
 
+#: Every character of Unicode's White_Space property.
+_WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288]))
+
+
+def text(c: str) -> str:
+    return f"nullif(trim({c}, '{_WHITE}'), '')"
+
+
 def _placeholder(c: str) -> str:
-    return f"CASE WHEN lower(trim({c})) NOT IN ('', '(not set)', '(not provided)', '(data deleted)', '<other>', 'unknown') THEN trim({c}) END"
+    return f"CASE WHEN lower({c}) NOT IN ('', '(not set)', '(not provided)', '(data deleted)', '<other>', 'unknown') THEN {c} END"
 
 
 def host(c: str) -> str:
@@ -195,9 +203,10 @@ SELECT event_id, user_id, ts, event_type, value, CAST(json_extract_string(props,
   CAST(sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session
 FROM (SELECT *, CASE WHEN date_sub('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) > {SESSION_GAP_SECONDS} THEN 1 ELSE 0 END AS gap FROM events)""",
     "x_raw1": f"""
-SELECT event_id, ts AS event_ts, strftime(ts, '%Y%m%d') AS shard,
+SELECT event_id, ts AS event_ts, strftime(ts, '%Y%m%d') AS shard, CASE WHEN user_id % 4 = 0 THEN 'login-' || user_id END AS user_id, session + 1 AS ga_session_number,
+  CASE WHEN event_id % 61 = 0 THEN 2 ELSE 1 END AS session_parameters,
   CASE event_type WHEN 'view' THEN 'view_item' WHEN 'click' THEN 'add_to_cart' WHEN 'signup' THEN 'begin_checkout' WHEN 'purchase' THEN 'purchase' WHEN 'error' THEN 'page_view' END AS event_name,
-  'u' || user_id AS user_pseudo_id, session AS ga_session_id, {_evidence(1)} AS event_source, {_evidence(2)} AS event_medium, CAST(NULL AS VARCHAR) AS event_campaign,
+  'u' || user_id AS user_pseudo_id, CASE WHEN event_id % 67 <> 0 THEN session END AS ga_session_id, {text(_evidence(1))} AS event_source, {text(_evidence(2))} AS event_medium, CAST(NULL AS VARCHAR) AS event_campaign,
   'https://shop.store.example/p/' || k AS page_location,
   CASE WHEN k BETWEEN 81 AND 84 THEN 'https://www.google.com/search?q=a' WHEN k BETWEEN 85 AND 88 THEN 'https://blog.example.org/post' END AS page_referrer,
   CASE user_id % 5 WHEN 0 THEN 'google' WHEN 1 THEN '(direct)' END AS first_user_source, CASE user_id % 5 WHEN 0 THEN 'organic' WHEN 1 THEN '(none)' END AS first_user_medium,
@@ -210,11 +219,12 @@ SELECT event_id, ts AS event_ts, strftime(ts, '%Y%m%d') AS shard,
 FROM x_raw0""",
     "x_raw": "SELECT * FROM x_raw1 UNION ALL SELECT * REPLACE (event_ts + INTERVAL 1 SECOND AS event_ts) FROM x_raw1 WHERE event_name = 'purchase' AND event_id % 50 = 0",
     "x_base": f"""
-SELECT *, CAST(event_ts AS DATE) AS event_date, sha256(CAST(to_json(struct_pack(user_pseudo_id := user_pseudo_id, ga_session_id := ga_session_id)) AS VARCHAR)) AS session_key,
+SELECT *, CAST(event_ts AS DATE) AS event_date, epoch_us(event_ts) AS event_timestamp,
+  CASE WHEN ga_session_id IS NOT NULL THEN sha256(CAST(to_json(struct_pack(user_pseudo_id := user_pseudo_id, ga_session_id := ga_session_id)) AS VARCHAR)) END AS session_key,
   {domain("page_location_host")} AS page_location_domain, {domain("page_referrer_host")} AS page_referrer_domain
 FROM (SELECT *, {host("page_location")} AS page_location_host, {host("page_referrer")} AS page_referrer_host FROM x_raw)""",
     "x_orders": """
-SELECT user_pseudo_id, transaction_id, min(event_ts) AS order_ts, CAST(min(event_ts) AS DATE) AS order_date, min(struct_pack(t := event_ts, k := session_key)).k AS conversion_session_key,
+SELECT user_pseudo_id, transaction_id, min(event_ts) AS order_ts, CAST(min(event_ts) AS DATE) AS order_date, (min(struct_pack(t := event_ts, k := session_key)) FILTER (session_key IS NOT NULL)).k AS conversion_session_key,
   max(purchase_revenue_in_usd) AS order_revenue_usd, count(*) AS purchase_event_count, count(*) - 1 AS duplicate_purchase_event_count,
   count(DISTINCT purchase_revenue_in_usd) AS distinct_revenue_value_count, min(purchase_revenue_in_usd) AS minimum_observed_revenue_usd, max(purchase_revenue_in_usd) AS maximum_observed_revenue_usd,
   sha256(CAST(to_json(struct_pack(user_pseudo_id := user_pseudo_id, transaction_id := transaction_id)) AS VARCHAR)) AS order_key
@@ -234,7 +244,7 @@ SELECT user_pseudo_id, ga_session_id, session_key, min(event_ts) AS session_star
   min({_tuple("first_user", False)}) FILTER (coalesce(first_user_source, first_user_medium, first_user_campaign) IS NOT NULL AND NOT {_direct("first_user")} AND coalesce(first_user_source_domain, '') <> '{s.storefront}') AS first_user_tuple,
   min(event_ts) FILTER ({_direct("event")} OR {_direct("first_user")}) AS direct_evidence_ts,
   bool_or(event_source_domain = '{s.storefront}') AS has_internal_event_source, bool_or(page_referrer_domain = '{s.storefront}') AS has_internal_page_referrer, bool_or(first_user_source_domain = '{s.storefront}') AS has_internal_first_user_source
-FROM x_clean GROUP BY user_pseudo_id, ga_session_id, session_key""",
+FROM x_clean WHERE session_key IS NOT NULL GROUP BY user_pseudo_id, ga_session_id, session_key""",
     "x_sources": _resolution(False),
     "x_provisional": _resolution(True),
     "x_sessions": f"""

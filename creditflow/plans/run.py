@@ -1,7 +1,7 @@
 """A whole run: every table of the model, each built once from the ones before.
 
-``Run`` builds lazily; ``materialise`` writes the tables in order and lets a later call resume after the last complete
-one.
+``Run`` builds lazily; ``materialise`` writes the tables in order and lets a later call of the same settings and input
+resume after the last complete one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditflow.operators import attribution, markov, paths, sensitivity, sessions, staging
+from creditflow.plans import manifest
 from creditflow.settings import DEFAULT, Settings
+from creditflow.sources.buckets import scratch_bucketed as buckets_of
 from creditflow.sources.readers import table
 from creditflow.sources.web_events import web_events
 from creditflow.sources.writers import scratch
@@ -25,6 +27,8 @@ class Run:
         self._stored: dict[str, DataFrame] = {}
 
     _shared: dict[tuple[int, str], Run] = {}
+    #: What paths are numbered by; with the user in front, tables bucketed by user need no shuffle for it either.
+    path_keys: tuple[str, ...] = ("order_key",)
     #: Tables that several others read; a shared run stores each once, so that plans stay short and nothing is built twice.
     KEPT = (
         "event_base", "orders", "sources", "sessions", "cycles", "strict", "revised", "coverage", "results", "journeys", "short_null", "effects",
@@ -91,11 +95,11 @@ class Run:
 
     @cached_property
     def strict(self) -> DataFrame:
-        return paths.conversion_paths(self.cycles, self.sessions, self.s, strict=True)
+        return paths.conversion_paths(self.cycles, self.sessions, self.s, strict=True, by=self.path_keys)
 
     @cached_property
     def revised(self) -> DataFrame:
-        return paths.conversion_paths(self.cycles, self.sessions, self.s)
+        return paths.conversion_paths(self.cycles, self.sessions, self.s, by=self.path_keys)
 
     @cached_property
     def coverage(self) -> DataFrame:
@@ -158,20 +162,37 @@ class Run:
     def bootstrap_draws(self) -> DataFrame:
         return sensitivity.bootstrap(self.markov_paths)
 
-    TABLES = ("event_base", "orders", "sessions", "strict", "revised", "coverage", "results", "journeys", "effects", "markov_attribution", "comparison")
+    TABLES = tuple(manifest.STEPS)
 
-    def materialise(self, folder: str, resume: bool = True) -> list[str]:
-        """Write the tables under ``folder``; those that are complete are read instead when resuming."""
-        built = []
+    def keys(self) -> dict[str, str]:
+        """Of the tables that this run would write."""
+        source = manifest.input_key(self.spark, f"{self.sf_dir}/events.parquet") if self._raw is None else manifest.frame_key(self._raw)
+        return manifest.keys(self.s, source)
+
+    def preflight(self, folder: str) -> dict[str, str]:
+        """What is under ``folder`` of this very run: complete, stale or missing, per table; nothing is built."""
+        return manifest.states(self.spark, folder, self.keys())
+
+    def materialise(self, folder: str, mode: str = "resume") -> list[str]:
+        """Write the tables under ``folder`` in order; complete ones of the same settings and input are read instead.
+
+        ``mode`` as in ``manifest.to_build``.  A table's key is written last, so one that was cut off is not complete.
+        """
+        wanted = self.keys()
+        build = manifest.to_build(manifest.states(self.spark, folder, wanted), mode)
         for name in self.TABLES:
             path = f"{folder}/{name}"
-            if not (resume and self._complete(path)):
+            if name in build:
                 getattr(self, name).write.mode("overwrite").parquet(path)
-                built.append(name)
-            self.__dict__[name] = self.spark.read.parquet(path)
-        return built
-
-    def _complete(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+                manifest.written(self.spark, folder, name, wanted[name])
+            self._stored[name] = self.__dict__[name] = self.spark.read.parquet(path)
+        return build
+
+    def stored_by_user(self, buckets: int) -> Run:
+        """A run whose orders and sessions are tables bucketed by user: what joins them by user needs no shuffle."""
+        other = Run(self.spark, self.sf_dir, self.s, self._raw)
+        other.__dict__["event_base"] = self.event_base
+        for name in ("cycles", "sessions"):
+            other.__dict__[name] = buckets_of(getattr(self, name), name, ["user_pseudo_id"], buckets)
+        other.path_keys = ("user_pseudo_id", "order_key")
+        return other

@@ -70,6 +70,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, time of change) of a table's files, hidden ones left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found, out = root.getFileSystem(conf).listFiles(root, True), []
+    while found.hasNext():
+        f = found.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
 def probe(spark: SparkSession, path: str) -> bool:
     """Whether a table is there and can be read: at most one row is."""
     return exists(spark, path) and len(spark.read.parquet(path).limit(1).collect()) <= 1

@@ -13,7 +13,8 @@ EVIDENCE = (
     (25, "google", "cpc"),
     (30, "facebook.com", "paid_social"),
     (35, "facebook.com", "referral"),
-    (40, "newsletter", "email"),
+    (38, "newsletter", "email"),
+    (40, "newsletter\t", "\u00a0email\n"),
     (45, "Partners", "affiliate"),
     (50, "dsp", "display"),
     (58, "sites.example.org", "referral"),
@@ -23,6 +24,7 @@ EVIDENCE = (
     (77, "admin.example.net", "referral"),
     (80, "<Other>", "(not set)"),
     (88, None, None),
+    (89, "\u3000misc ", "weird"),
     (91, "misc", "weird"),
     (99, None, None),
 )
@@ -42,7 +44,7 @@ def web_events(events: DataFrame) -> DataFrame:
     gap = F.timestamp_diff("SECOND", F.col("before"), F.col("ts")) > SESSION_GAP_SECONDS
     name = F.create_map(*[F.lit(x) for x in ("view", "view_item", "click", "add_to_cart", "signup", "begin_checkout", "purchase", "purchase", "error", "page_view")])
     referrer = F.when(k.between(81, 84), "https://www.google.com/search?q=a").when(k.between(85, 88), "https://blog.example.org/post")
-    bought = F.when(F.col("event_id") % 97 == 0, "(not set)").when(F.col("event_id") % 89 != 0, F.concat(F.lit("t"), F.col("event_id").cast("string")))
+    bought = F.when(F.col("event_id") % 97 == 0, "(not set)").when(F.col("event_id") % 89 != 0, F.concat(F.lit("t"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "\t\u2003").otherwise("")))
     is_purchase = F.col("event_type") == "purchase"
     param = lambda key, s=None, i=None: F.struct(
         F.lit(key).alias("key"),
@@ -55,7 +57,9 @@ def web_events(events: DataFrame) -> DataFrame:
     referrer = F.when(k.between(81, 84), "https://www.google.com/search?q=a").when(k.between(85, 88), "https://blog.example.org/post")
     params = F.filter(
         F.array(
-            param("ga_session_id", i=F.col("session")),
+            F.when(F.col("event_id") % 67 == 0, param("ga_session_id", F.concat(F.lit("s"), F.col("session").cast("string")))).otherwise(param("ga_session_id", i=F.col("session"))),
+            F.when(F.col("event_id") % 61 == 0, param("ga_session_id", i=F.col("session") + 1)),
+            param("ga_session_number", i=F.col("session") + 1),
             param("page_location", F.concat(F.lit("https://shop.store.example/p/"), k.cast("string"))),
             F.when(_by_bucket(k, 1).isNotNull(), param("source", _by_bucket(k, 1))),
             F.when(_by_bucket(k, 2).isNotNull(), param("medium", _by_bucket(k, 2))),
@@ -69,6 +73,7 @@ def web_events(events: DataFrame) -> DataFrame:
         F.explode(F.when(is_purchase & (F.col("event_id") % 50 == 0), F.array("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND"))).otherwise(F.array("ts"))).alias("event_ts"),
         name[F.col("event_type")].alias("event_name"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_pseudo_id"),
+        F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("login-"), F.col("user_id").cast("string"))).alias("user_id"),
         params.alias("event_params"),
         F.struct(
             F.when(F.col("user_id") % 5 == 0, "google").when(F.col("user_id") % 5 == 1, "(direct)").alias("source"),

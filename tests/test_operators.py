@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditflow.functions import columns as C
-from creditflow.operators import markov, paths, reporting, sensitivity, sessions, staging, validation
+from creditflow.operators import distinct, domains, markov, paths, quantiles, reporting, sensitivity, sessions, staging, validation
 from creditflow.operators.markov import Chain
 from creditflow.plans.run import Run
 from creditflow.settings import DEFAULT, Settings
@@ -242,7 +242,7 @@ def test_path_length_bins(spark):
 def test_reconcile_and_checks(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("z", None)], "k string, v double")
     b = spark.createDataFrame([("x", 1.0 + 1e-12), ("y", 2.1), ("w", 1.0), ("z", None)], "k string, v double")
-    assert {r["k"] for r in validation.reconcile(a, b, ["k"], ["v"]).collect()} == {"y", "w"}
+    assert {r["k"] for r in validation.reconcile(a, b, ["k"], {"v": 1e-9}).collect()} == {"y", "w"}
     results = validation.run_checks([validation.Check("none", a.where("v < 0")), validation.Check("some", a.where("v > 1"))])
     assert {r["check_id"]: r["status"] for r in results.collect()} == {"none": "PASS", "some": "FAIL"}
     with pytest.raises(AssertionError):
@@ -265,7 +265,7 @@ def test_writers_and_readers(spark, tmp_path):
 
 
 def test_materialise_resumes(spark, sf, tmp_path):
-    assert Run(spark, sf).materialise(str(tmp_path)) == list(Run.TABLES)
+    assert Run(spark, sf).materialise(str(tmp_path), "create") == list(Run.TABLES)
     again = Run(spark, sf)
     assert again.materialise(str(tmp_path)) == [] and again.results.count() > 0
 
@@ -285,10 +285,14 @@ def test_streamed_sessions(spark, sf, tmp_path):
 
 
 def test_registered_domains(spark, tmp_path):
-    from creditflow.plans.primitive import _URLS
-
-    got = spark.createDataFrame(list(_URLS.items()), "url string, want string").select("url", "want", C.reg_domain(C.url_host(F.col("url")), DEFAULT.public_suffixes).alias("got"))
+    urls = {
+        "http://a.b.com.cn/x": "b.com.cn", "com.cn": None, "me.github.io/p?q": "me.github.io", "github.io": None, "https://192.168.1.1:8080/": None, "www.Shop.co.uk": "shop.co.uk", "//user@shop.example:80/x": "shop.example",
+        "a.b.c.ck": "b.c.ck", "c.ck": None, "x.www.ck": "www.ck", "localhost/x": None, "a..com": None, "no host here": None, "": None,
+    }
+    got = spark.createDataFrame(list(urls.items()), "url string, want string").select("url", "want", C.url_host(F.col("url")).alias("host"), C.reg_domain(C.url_host(F.col("url")), DEFAULT.public_suffixes).alias("got"))
     assert [(r.url, r.got) for r in got.collect()] == [(r.url, r.want) for r in got.collect()]
+    joined = domains.registered_domains(got, domains.rules_table(spark, DEFAULT.public_suffixes))
+    assert [(r.url, r.domain) for r in joined.collect() if r.domain != r.want] == []
     path = tmp_path / "rules.dat"
     path.write_text("// rules\n\ncom\n*.kawasaki.jp\n!city.kawasaki.jp\n\u516c\u53f8.cn\nlong.one.example // note\n", encoding="utf-8")
     rules = readers.suffix_rules(str(path))
