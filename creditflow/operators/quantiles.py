@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from creditflow.sources.writers import scratch
 
-BINS = 1024
+#: Ranges are cut at so many approximate quantiles; a range with at most FEW rows is settled by its values.
+BORDERS, FEW = 64, 1024
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -16,21 +17,15 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _bin(value: Column, low: Column, high: Column) -> Column:
-    """0 to BINS - 1 between low and high, rising with the value; halves are taken first, so no difference overflows."""
-    width = high / 2 - low / 2
-    at = F.floor((value / 2 - low / 2) / width * BINS).cast("int")
-    return F.when(width > 0, F.greatest(F.lit(0), F.least(at, F.lit(BINS - 1)))).otherwise(0)
-
-
-def exact_percentiles(rows: DataFrame, by: list[str], value: str, fractions: list[float], few: int = BINS) -> DataFrame:
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, fractions: list[float], few: int = FEW) -> DataFrame:
     """by, then ``p0``, ``p1``, ...: interpolated percentiles of the values that are not null, as ``percentile_cont`` has them.
 
     A percentile lies between two order statistics.  Each wanted place of a group is looked for in a range of values that
-    starts as all: the range is cut into bins, which are counted map-side; running counts over a group's bins tell which
-    one holds the place; the next pass counts inside that bin alone.  It ends when a place's range has at most ``few``
-    rows or one value; their distinct values with counts, a bounded number, settle it.  Groups without values have no row;
-    NaN is greater than all.
+    starts as all: the range is cut at approximate quantiles, bins between them and on them are counted map-side, running
+    counts over a group's bins tell which one holds the place, and the next pass counts inside that bin alone.  A pass
+    leaves about a 64th of a range, whatever its values are; a value that very many rows have gets a bin of its own.  It
+    ends when a place's range has at most ``few`` rows or one value; their distinct values with counts settle it.  Groups
+    without values have no row; NaN is greater than all.
     """
     v = F.col(value).cast("double")
     data = rows.select(*by, v.alias("_v")).where("_v IS NOT NULL")
@@ -69,8 +64,12 @@ def exact_percentiles(rows: DataFrame, by: list[str], value: str, fractions: lis
         hit = counts.alias("c").join(ready.alias("o"), [*same("c", "o"), F.col("c.low") == F.col("o.low"), F.col("c.high") == F.col("o.high"), F.col("c.to") > F.col("o.rank"), F.col("c.to") - F.col("c.n") <= F.col("o.rank")])
         found.append(hit.select(*[F.col(f"o.{c}") for c in by], "o.place", F.col("c._v").alias("v")))
         wide = open_.where(F.col("size") > few)
-        bins = inside(wide).withColumn("bin", _bin(F.col("_v"), F.col("low"), F.col("high"))).groupBy(*by, "low", "high", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
-        bins = bins.withColumn("to", F.sum("n").over(Window.partitionBy(*by, "low", "high").orderBy("bin")))  # at most BINS rows
+        cuts = F.percentile_approx("_v", F.array(*[F.lit(i / BORDERS) for i in range(1, BORDERS)]), F.lit(16 * BORDERS))
+        cuts = _stored(inside(wide).groupBy(*by, "low", "high").agg(cuts.alias("cuts")))  # a row a range
+        held = inside(wide).alias("d").join(cuts.alias("q"), [*same("d", "q"), F.col("d.low") == F.col("q.low"), F.col("d.high") == F.col("q.high")]).select("d.*", "q.cuts")
+        at = F.size(F.filter("cuts", lambda x: x < F.col("_v"))) * 2 + F.array_contains("cuts", F.col("_v")).cast("int")
+        bins = held.withColumn("bin", at).groupBy(*by, "low", "high", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+        bins = bins.withColumn("to", F.sum("n").over(Window.partitionBy(*by, "low", "high").orderBy("bin")))  # at most 2 BORDERS rows
         hit = bins.alias("c").join(wide.alias("o"), [*same("c", "o"), F.col("c.low") == F.col("o.low"), F.col("c.high") == F.col("o.high"), F.col("c.to") > F.col("o.rank"), F.col("c.to") - F.col("c.n") <= F.col("o.rank")])
         open_ = _stored(hit.select(*[F.col(f"o.{c}") for c in by], "o.place", (F.col("o.rank") - (F.col("c.to") - F.col("c.n"))).alias("rank"), F.col("c.least").alias("low"), F.col("c.most").alias("high"), F.col("c.n").alias("size")))
     values = found[0]
