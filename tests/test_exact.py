@@ -52,7 +52,8 @@ def test_percentiles_hold_no_group_in_a_buffer(spark):
 
 def test_distinct_counts_of_chunks_add_up(spark):
     rng = random.Random(2)
-    rows = [(rng.choice("abc"), rng.choice([None, *(f"u{i}" for i in range(70_000))]), rng.randrange(4)) for _ in range(60_000)] + [("d", None, 0)]
+    users = [None, *(f"u{i}" for i in range(70_000))]
+    rows = [(rng.choice("abc"), rng.choice(users), rng.randrange(4)) for _ in range(60_000)] + [("d", None, 0)]
     df = spark.createDataFrame(rows, "k string, who string, chunk int")
     ids = distinct.dense_ids(df, "who")
     span = ids.agg(F.min("dense_id"), F.max("dense_id"), F.count("*"), F.count_distinct("dense_id")).first()
