@@ -11,6 +11,8 @@ from creditflow.llm.shared import WORD, written
 
 #: Hex digits of a document's seeded hash that choose its bucket; a source's words are summed per bucket.
 BUCKET_DIGITS = 3
+#: Copies of one row that one task brings back at a time.
+RUN = 4096
 
 
 def water_fill(sources: DataFrame, weights: Sequence[int], budget: float, max_epochs: int) -> DataFrame:
@@ -61,33 +63,37 @@ def mix(
     into buckets whose sums find the bucket where taking ends, so no source is gathered in one task.
     Nulls: a null text has size 0, a null source is a source of its own that comes last, a null id hashes as
     the empty text.  Rows that repeat an id have one place in the order and are told apart by size; exact
-    repeats are interchangeable.  An empty table gives no rows.  Extra columns are ignored; ``with_source`` adds the
+    repeats are interchangeable and are counted before they are ordered, so an id that very many rows have (or null) is no
+    task's load but for its different sizes.  An empty table gives no rows.  Extra columns are ignored; ``with_source`` adds the
     source's.
     """
     size = words(text_col)
     turn = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), turn.alias("turn"))
+    rows = rows.groupBy("source", "turn", "size", "id").agg(F.count(F.lit(1)).alias("copies"))  # before anything is ordered
     rows = written(rows.withColumn("bucket", F.substring("turn", 1, BUCKET_DIGITS)), "mix-sizes")
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    buckets = rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("bucket_size"))
     targets = water_fill(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, budget, max_epochs)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).alias("b")
     starts = starts.join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "b.bucket", "b.start", "t.source_size", "t.target")
     inside = Window.partitionBy("source", "bucket").orderBy("turn", "size", "id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r")
+    placed = rows.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0))).alias("r")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    more = F.col("start") + F.col("inside") + F.col("size") / F.lit(2.0) <= F.col("target") - F.col("whole") * F.col("source_size")
-    return (
-        placed.join(starts.alias("s"), (F.col("r.bucket") == F.col("s.bucket")) & F.col("r.source").eqNullSafe(F.col("s.source")))
-        .withColumn("whole", whole)
-        .select(
-            F.col("id").alias(id_col),
-            "size",
-            "source_size",
-            "target",
-            (F.col("size") * (F.col("whole") + more.cast("long"))).cast("long").alias("taken"),
-            *([F.col("r.source").alias(source_col)] if with_source else []),
-        )
+    found = placed.join(starts.alias("s"), (F.col("r.bucket") == F.col("s.bucket")) & F.col("r.source").eqNullSafe(F.col("s.source"))).withColumn("whole", whole)
+    # Equal rows stand one after another: each comes back as a row, made in runs that different tasks take.
+    runs = found.select("r.*", "s.start", "source_size", "target", "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RUN))).alias("run"))
+    runs = runs.repartition("turn", "size", "run")
+    own = F.explode(F.sequence(F.col("run"), F.least(F.col("run") + F.lit(RUN), F.col("copies")) - 1)).alias("place")
+    each = runs.select("*", own)
+    more = F.col("start") + F.col("inside") + F.col("place") * F.col("size") + F.col("size") / F.lit(2.0) <= F.col("target") - F.col("whole") * F.col("source_size")
+    return each.select(
+        F.col("id").alias(id_col),
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * (F.col("whole") + more.cast("long"))).cast("long").alias("taken"),
+        *([F.col("source").alias(source_col)] if with_source else []),
     )
 
 
