@@ -23,7 +23,9 @@ from creditflow.llm.shared import written
 
 
 def _unit(vectors) -> np.ndarray:
+    """Vectors of length one; each is divided by its greatest component first, so no square over- or underflows."""
     x = np.stack(vectors).astype("float64")
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -99,10 +101,12 @@ def _linked_inside(members: DataFrame, threshold: float, block: int) -> DataFram
     """
     half = math.cos(math.acos(threshold) / 2) + 1e-9
 
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    dot = F.aggregate(F.zip_with("v", "pv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    pivots = written(members.where("id = label").select("label", F.col("v").alias("pv")), "pivots")
-    near = members.join(pivots, "label").withColumn("core", dot / (norm(F.col("v")) * norm(F.col("pv"))) >= half)
+    greatest = lambda v: F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    scaled = lambda v: F.transform(F.array(greatest(v)), lambda m: F.transform(v, lambda x: x.cast("double") / m))[0]  # noqa: E731  found once a vector
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    dot = F.aggregate(F.zip_with("sv", "sp", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    pivots = written(members.where("id = label").select("label", scaled(F.col("v")).alias("sp")), "pivots")
+    near = members.join(pivots, "label").withColumn("sv", scaled(F.col("v"))).withColumn("core", dot / (norm(F.col("sv")) * norm(F.col("sp"))) >= half)
     near = written(near.select("id", "label", "n", "v", "core"), "near")
     sizes = near.groupBy("label").agg(
         F.sum(F.when(F.col("core"), F.col("n")).otherwise(0)).alias("core_n"), F.count(F.lit(1)).alias("size"), F.sum((~F.col("core")).cast("long")).alias("outside")
