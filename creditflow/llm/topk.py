@@ -25,6 +25,9 @@ class Shard:
         below it.  A chunk's essential postings are traversed whole, the others probed one after another for the vectors
         that can still reach the threshold.  It rises from chunk to chunk, and the split moves with it.
         """
+        most = np.maximum(np.abs(self.low.astype("float64")), np.abs(self.high.astype("float64")))
+        if float(np.abs(query.astype("float64")) @ most) >= 2.0**62:
+            raise OverflowError("a score may leave 64 bits: components are too large for integer products")
         bound = np.maximum(query * self.low, query * self.high)
         least = np.minimum(query * self.low, query * self.high)
         order = np.argsort(-(bound - least), kind="stable")
@@ -58,6 +61,8 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 8192
     task of its own, and the shards' lists are merged by rank.  Rows with the query's own id are no candidates.
     Nulls: rows with a null id, a null vector or a null component take no part, nor do empty vectors.  A query
     meets the vectors of its own length only.  Ties go to smaller ids; repeated rows are candidates each.  Empty tables give no rows.
+    Scores are 64-bit integers: where the sum of a query's components times the largest ones of a shard comes to 2 ** 62,
+    an OverflowError says so instead of a score that has wrapped.
     """
     good = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull()) & (F.size(vector_col) > 0)
     vectors = df.where(good).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("v"))
