@@ -197,15 +197,20 @@ of_tables("agg_count_distinct_merged", _distinct_by_month, "SELECT event_type, c
 # Functions with their special cases
 PADS = ("", " ", "\t", "\n ", "　  ")
 NAMED = ("google", "(Not Set)", "<Other>", "", None, "a b", "UNKNOWN")
-_padded = F.concat(_pick(PADS, "event_id", "string"), _pick(NAMED, "event_id", "string"), _pick(PADS[::-1], "event_id", "string"))
+
+
+def _padded() -> Column:
+    return F.concat(_pick(PADS, "event_id", "string"), _pick(NAMED, "event_id", "string"), _pick(PADS[::-1], "event_id", "string"))
+
+
 of_tables(
     "str_trim_nullif",
-    lambda s, d: t(s, d, "events").select("event_id", C.text(_padded).alias("y")),
+    lambda s, d: t(s, d, "events").select("event_id", C.text(_padded()).alias("y")),
     f"SELECT event_id, {_sql_pick(tuple(x or None for x in NAMED), 'event_id', 'VARCHAR')} AS y FROM events",
 )
 of_tables(
     "str_placeholder_null",
-    lambda s, d: t(s, d, "events").select("event_id", C.placeholder_null(_padded).alias("y")),
+    lambda s, d: t(s, d, "events").select("event_id", C.placeholder_null(_padded()).alias("y")),
     f"SELECT event_id, {_sql_pick(('google', None, None, None, None, 'a b', None), 'event_id', 'VARCHAR')} AS y FROM events",
 )
 BAD_DAYS = ("20240230", "x", "2024-01-01", None)
@@ -233,12 +238,12 @@ HOSTS = {
     "x.www.ck": "www.ck",
     "a..com": None,
 }
-_host = F.concat(F.lit("p"), c("page_id").cast("string"), F.lit("."), _pick(tuple(HOSTS), "page_id", "string"))
-_url = F.concat(_pick(("http://", "https://u@", "//"), "page_id", "string"), _host, _pick(("/x", ":80/?q=a.b", "#f", ""), "page_id", "string"))
 
 
 def _domains(s: SparkSession, d: str) -> DataFrame:
-    hosts = t(s, d, "pages").select("page_id", C.url_host(_url).alias("host"))
+    host = F.concat(F.lit("p"), c("page_id").cast("string"), F.lit("."), _pick(tuple(HOSTS), "page_id", "string"))
+    url = F.concat(_pick(("http://", "https://u@", "//"), "page_id", "string"), host, _pick(("/x", ":80/?q=a.b", "#f", ""), "page_id", "string"))
+    hosts = t(s, d, "pages").select("page_id", C.url_host(url).alias("host"))
     return domains.registered_domains(hosts, domains.rules_table(s, DEFAULT.public_suffixes)).select("page_id", "domain")
 
 
