@@ -27,6 +27,7 @@ def date_coverage(raw: DataFrame, start: str, end: str) -> DataFrame:
         F.max(embedded).alias("last_embedded"),
     )
     rows = spine.join(stats, "shard", "left")
+    # Status texts.
     status = (
         F.when(F.col("events").isNull(), "FAIL_MISSING_SHARD")
         .when(F.col("events") == 0, "FAIL_EMPTY_SHARD")

@@ -111,6 +111,7 @@ def order_coverage(cycles: DataFrame, sessions: DataFrame, strict: DataFrame, re
 def unmatched_orders(coverage: DataFrame) -> DataFrame:
     """Orders without a touchpoint, and the first reason that applies."""
     c = F.col
+    # Reason texts.
     reason = (
         F.when((c("revised_pre_internal_exclusion_session_count") > 0) & (c("revised_attribution_eligible_session_count") == 0), "NO_ELIGIBLE_TOUCHPOINT_AFTER_INTERNAL_EXCLUSION")
         .when(c("all_user_session_count") == 0, "NO_USER_SESSIONS")
