@@ -332,7 +332,8 @@ def bootstrap(paths: DataFrame, replicates: int = BOOTSTRAP_REPLICATES, seed: in
                 pairs.append((e["src"], e["dst"]))
                 n.append(e["n"])
         kinds = sorted(set(pairs))
-        code = np.array([kinds.index(p) for p in pairs]) if len(kinds) < 8 else np.array(list(map({k: i for i, k in enumerate(kinds)}.__getitem__, pairs)))
+        number = {k: i for i, k in enumerate(kinds)}
+        code = np.array([number[p] for p in pairs])
         places, n = np.array(places), np.array(n, dtype="float64")
         out = []
         for replicate, b, draws in zip(c["replicate"], c["block"], c["draws"], strict=True):

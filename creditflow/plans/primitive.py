@@ -9,7 +9,6 @@ from creditflow.functions import columns as C
 from creditflow.operators.paths import asof_last, asof_next
 from creditflow.operators.scan import Segments, global_rank, lag, total
 from creditflow.operators.sensitivity import ordinal_rank, tied_channels
-from creditflow.operators.sessions import EMAIL_MEDIUM
 from creditflow.plans import oracle
 from creditflow.plans.registry import of_tables
 from creditflow.settings import DEFAULT

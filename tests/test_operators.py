@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditflow.functions import columns as C
-from creditflow.operators import distinct, domains, markov, paths, quantiles, reporting, sensitivity, sessions, staging, validation
+from creditflow.operators import domains, markov, paths, reporting, sensitivity, sessions, staging, validation
 from creditflow.operators.markov import Chain
 from creditflow.plans.run import Run
 from creditflow.settings import DEFAULT, Settings
