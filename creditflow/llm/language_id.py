@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditflow.llm.memo import Memo, resident
-from creditflow.llm.shared import named, small_batches
+from creditflow.llm.shared import named, small_batches, written
 
 UNKNOWN = "und"
 ORDER = 4
@@ -174,27 +174,40 @@ def fold(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3, F.lit(-1))
 
 
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows of each label of (id, text, lang), stored once; nowhere more than some three times that.
+
+    Rows are drawn by a hash of their id, at a rate from a count by label.  Equal rows are taken once.  Where an id that
+    many texts share is drawn, its label's rows are drawn again, by their texts too.
+    """
+    spark, bits = rows.sparkSession, 1 << 30
+
+    def rates(per_label: DataFrame, wanted: int) -> DataFrame:
+        of = [(r["lang"], int(min(1.0, wanted / r["n"]) * bits)) for r in per_label.collect()]  # a row a label
+        return F.broadcast(spark.createDataFrame(of, "lang string, rate long"))
+
+    counted = lambda df: df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    draw = lambda seed, *columns: F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(bits))
+    drawn = rows.join(rates(counted(rows), most), "lang").where(draw(5, "id") < F.col("rate"))
+    drawn = written(drawn.select("id", "text", "lang").dropDuplicates(), "language-sample")
+    # Twice the rows wanted are beyond chance where ids differ, so this draws only among ids that repeat.
+    return drawn.join(rates(counted(drawn), 2 * most), "lang").where(draw(7, "id", "text") < F.col("rate")).drop("rate")
+
+
 def train(
-    df: DataFrame, per_language: int = 600, calibrate: int = 100, most_labels: int = 500, order: int = ORDER, margin: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    df: DataFrame, per_language: int = 600, calibrate: int = 100, order: int = ORDER, margin: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Model | None:
     """Fit on about ``per_language`` documents of each label and calibrate on about ``calibrate`` others.
 
-    Rows are chosen by a hash of their id, at a rate from a count by language, so the sample's bound does not
-    grow with the table; their whole texts are used.  The ``most_labels`` most frequent labels have models, ties by name, so
-    that a column of many stray labels does not make the model grow.  Rows without text, label or id are left out.  None
-    if nothing is left.  Only n-gram counts (bounded by the sample) and one row a language come to the driver.
+    Rows are chosen by ``sample``, whose bound does not grow with the table; their whole texts are used.  Every label has a
+    model: what comes to the driver and to the workers grows with the number of different labels, and with nothing else.
+    Rows without text, label or id are left out.  None if nothing is left.  Only n-gram counts (bounded by the sample) and
+    one row a language come to the driver.
     """
-    spark = df.sparkSession
-    small_batches(spark)
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()}
-    if not sizes:
-        return None
-    bits = 1 << 30
-    draw = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(bits))
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, (per_language + calibrate) / n) * bits))]), F.col("lang"))
-    part = F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(per_language + calibrate)) < per_language
-    chosen = rows.where(draw < rate).withColumn("fit", part)
+    most = per_language + calibrate
+    chosen = sample(rows, most).withColumn("fit", F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(most)) < per_language)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

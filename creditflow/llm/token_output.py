@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from creditflow.llm.shared import n_bytes, small_batches
+from creditflow.llm.shared import n_bytes, side, small_batches, written
 from creditflow.llm.word_ids import encoder
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
@@ -38,13 +38,14 @@ def write_orc(
 
     Texts, not ids, are shuffled into ranges of doc_id, so encoding runs once.  Nulls: a null text is encoded as
     empty (the end id alone); null ids come first.  Rows that repeat an id follow each other ordered by
-    text; a hot id may span files.  An empty table writes no rows.
+    text; a hot id may span files.  An empty table writes no rows.  There is a file per ``bytes_per_file`` of text, however
+    many that are; raise it for a table of more than some 10 TB, as the shuffle keeps a size per file and task.
     """
     spark = df.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     total = df.agg(F.sum(n_bytes(F.col(text_col)))).first()[0] or 0
-    parts = max(1, min(-(-total // bytes_per_file), 1_000_000))
+    parts = max(1, -(-total // bytes_per_file))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
 
@@ -77,13 +78,20 @@ def write_orc(
     )
 
 
-def read_orc(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids.  A filter on doc_id reaches the ORC reader."""
+def read_orc(spark: SparkSession, path: str, files_per_block: int = 1024) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids.  A filter on doc_id reaches the ORC reader.
+
+    A first job sums each file's ids, from two columns.  What comes before a file is summed in blocks of files: before it in
+    its block, and before its block.  So no task holds all files, and they are broadcast only while they are few.
+    """
     rows = spark.read.schema(SCHEMA).orc(path)
-    # One row a file; what comes before a file is the sum of the files before it.
-    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    files = files.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.join(F.broadcast(files), "part").select("doc_id", (F.col("base") + F.col("part_start")).cast("long").alias("start"), F.col("n_tokens").cast("long"), "ids")
+    block = F.floor(F.col("part") / files_per_block).alias("block")
+    files = written(rows.groupBy("part").agg(F.sum("n_tokens").alias("n")), "orc-files").select("part", block, "n")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = files.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.orderBy("block")).alias("earlier"))
+    files = files.withColumn("inside", before(Window.partitionBy("block").orderBy("part"))).join(side(blocks), "block")
+    bases = files.select("part", (F.col("earlier") + F.col("inside")).alias("base"))
+    return rows.join(side(bases), "part").select("doc_id", (F.col("base") + F.col("part_start")).cast("long").alias("start"), F.col("n_tokens").cast("long"), "ids")
 
 
 def with_crc32(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from creditflow.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, mixing, queries, sharding, token_counts, token_output, topk, warc
 from creditflow.llm.components import components
@@ -311,6 +312,8 @@ def test_token_orc(spark, docs, odd):
             assert r["start"] == start
             start += r["n_tokens"]
         assert [r["doc_id"] for r in rows if r["doc_id"] is not None] == sorted(i for i, _ in want if i is not None)
+        again = token_output.read_orc(spark, path, files_per_block=3)
+        assert Counter(again.select("doc_id", "start").collect()) == Counter((r["doc_id"], r["start"]) for r in rows)
     plan = back.where("doc_id = 7")._jdf.queryExecution().toString()
     assert "EqualTo(doc_id,7)" in plan
 
@@ -461,6 +464,24 @@ def test_language_id(spark, docs, odd):
     assert language_id.predict(docs.limit(2), None).first()["lang_pred"] == "und"
 
 
+def test_every_label_is_learned(spark):
+    names = [f"l{i}" for i in range(700)]
+    rows = spark.createDataFrame([(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} " * 12, x) for i, x in enumerate(names)], "doc_id long, text string, lang string")
+    assert sorted(language_id.train(rows, calibrate=0).languages) == sorted(names)
+
+
+def test_sample_is_bounded_where_an_id_repeats(spark):
+    rows = spark.range(20_000).selectExpr("id", "concat('text ', id) AS text", "'x' AS lang").cache()
+    plain = language_id.sample(rows, 70)
+    assert 30 < plain.count() < 140
+    hot = plain.first()["id"]  # an id that the draw takes
+    many = rows.where("id >= 6000").unionByName(rows.where("id < 6000").withColumn("id", F.lit(hot)))
+    assert 100 < language_id.sample(many, 70).count() < 250
+    equal = rows.where("id >= 6000").unionByName(rows.where("id < 6000").select(F.lit(hot).alias("id"), F.lit("same").alias("text"), "lang"))
+    assert 20 < language_id.sample(equal, 70).count() < 150
+    rows.unpersist()
+
+
 def test_language_id_rejects_on_workers_that_calibrated(spark, docs):
     model = language_id.train(docs.repartition(16))
     noise = spark.range(0, 320, 1, 16).selectExpr("id AS doc_id", f"'{' '.join(['qxzvkjq wqzxkvj'] * 30)}' AS text")
