@@ -183,3 +183,31 @@ def model_checks(matrix: DataFrame, effects: DataFrame, scenarios: DataFrame, fu
         Check("funnel_channels_unique", duplicates(funnel, "channel")),
         Check("funnel_rates_in_range", funnel.where("sessions <= 0 OR " + " OR ".join(f"{r} IS NULL OR {r} < 0 OR {r} > 1" for r in rates))),
     ]
+
+
+def mart_checks(comparison: DataFrame, summary: DataFrame, metrics: DataFrame, lookback: DataFrame, revised: DataFrame) -> list[Check]:
+    """What must hold between the marts and the paths that they sum, whatever the data.
+
+    Sums over all orders are compared with a relative tolerance, as they are added up in different orders.
+    """
+    orders = revised.groupBy("order_key").agg(F.max("order_revenue_usd").alias("r")).agg(F.count(F.lit(1)).alias("orders"), F.coalesce(F.sum("r"), F.lit(0.0)).alias("revenue"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col(b)))
+    one = lambda df: df.crossJoin(F.broadcast(orders))  # noqa: E731  (one row)
+    models = one(comparison.groupBy("model").agg(F.sum("attributed_conversions").alias("c"), F.sum("attributed_revenue").alias("m"), F.sum("attribution_share").alias("shares")))
+    kinds = one(summary.groupBy("summary_type").agg(F.sum("attributable_conversions").alias("c"), F.sum("attributable_revenue").alias("m"), F.sum("conversion_share").alias("shares")))
+    views = lookback.groupBy("lookback_days", "cohort_view", "model")
+    views = views.agg(F.sum("attributed_conversions").alias("c"), F.sum("conversion_share").alias("shares"), F.max("attributable_order_count").alias("most"), F.min("attributable_order_count").alias("least"))
+    grid = comparison.groupBy("channel").agg(F.count_distinct("model").alias("models"), F.count(F.lit(1)).alias("n"))
+    return [
+        Check("models_credit_all_orders", models.where(~near("c", "orders"))),
+        Check("models_credit_all_revenue", models.where(~near("m", "revenue"))),
+        Check("model_shares_sum_to_one", models.where("abs(shares - 1) > 1e-9")),
+        Check("six_models_per_channel", grid.where("models <> 6 OR n <> 6")),
+        Check("last_click_equals_itself", comparison.where("model = 'Last Click' AND (conversions_difference_vs_last_click <> 0 OR revenue_difference_vs_last_click <> 0)")),
+        Check("summaries_hold_all_orders", kinds.where("c <> orders")),
+        Check("summaries_hold_all_revenue", kinds.where(~near("m", "revenue"))),
+        Check("summary_shares_sum_to_one", kinds.where("abs(shares - 1) > 1e-9")),
+        Check("scenario_outcomes_add_up", metrics.where("conversion_journey_count + null_journey_count <> journeys OR touchpoints < journeys")),
+        Check("lookbacks_credit_their_orders", views.where("most <> least OR abs(c - most) > 1e-9 * greatest(1, most)")),
+        Check("lookback_shares_sum_to_one", views.where("abs(shares - 1) > 1e-9")),
+    ]

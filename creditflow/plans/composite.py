@@ -428,13 +428,26 @@ CHECKS_SQL = {
     "revised_covers_strict": "SELECT 1 FROM x_coverage WHERE conversion_touchpoint_count < strict_conversion_touchpoint_count",
     "funnel_channels_unique": f"SELECT 1 FROM {_FUNNEL} GROUP BY channel HAVING count(*) > 1",
     "funnel_rates_in_range": f"SELECT 1 FROM {_FUNNEL} WHERE sessions <= 0" + "".join(f" OR {e}_rate IS NULL OR {e}_rate < 0 OR {e}_rate > 1" for e in _f),
+    "models_credit_all_orders": "SELECT model FROM x_comparison GROUP BY 1 HAVING abs(sum(attributed_conversions) - (SELECT count(*) FROM x_order_paths)) > 1e-9 * (SELECT greatest(1, count(*)) FROM x_order_paths)",
+    "models_credit_all_revenue": "SELECT model FROM x_comparison GROUP BY 1 HAVING abs(sum(attributed_revenue) - (SELECT sum(revenue) FROM x_order_paths)) > 1e-9 * (SELECT greatest(1, abs(sum(revenue))) FROM x_order_paths)",
+    "model_shares_sum_to_one": "SELECT model FROM x_comparison GROUP BY 1 HAVING abs(sum(attribution_share) - 1) > 1e-9",
+    "six_models_per_channel": "SELECT channel FROM x_comparison GROUP BY 1 HAVING count(DISTINCT model) <> 6 OR count(*) <> 6",
+    "last_click_equals_itself": "SELECT 1 FROM x_comparison WHERE model = 'Last Click' AND (conversions_difference_vs_last_click <> 0 OR revenue_difference_vs_last_click <> 0)",
+    "summaries_hold_all_orders": "SELECT summary_type FROM x_summary GROUP BY 1 HAVING sum(attributable_conversions) <> (SELECT count(*) FROM x_order_paths)",
+    "summaries_hold_all_revenue": "SELECT summary_type FROM x_summary GROUP BY 1 HAVING abs(sum(attributable_revenue) - (SELECT sum(revenue) FROM x_order_paths)) > 1e-9 * (SELECT greatest(1, abs(sum(revenue))) FROM x_order_paths)",
+    "summary_shares_sum_to_one": "SELECT summary_type FROM x_summary GROUP BY 1 HAVING abs(sum(conversion_share) - 1) > 1e-9",
+    "scenario_outcomes_add_up": "SELECT 1 FROM x_metrics WHERE conversion_journey_count + null_journey_count <> journeys OR touchpoints < journeys",
+    "lookbacks_credit_their_orders": "SELECT 1 FROM x_lookback GROUP BY lookback_days, cohort_view, model HAVING max(attributable_order_count) <> min(attributable_order_count) OR abs(sum(attributed_conversions) - max(attributable_order_count)) > 1e-9 * greatest(1, max(attributable_order_count))",
+    "lookback_shares_sum_to_one": "SELECT 1 FROM x_lookback GROUP BY lookback_days, cohort_view, model HAVING abs(sum(conversion_share) - 1) > 1e-9",
 }
 
 
 def _checks(r: Run):
     core = validation.core_checks(r.event_base, r.orders, r.sessions, r.strict, r.revised, r.coverage, r.results, r.journeys, s)
     matrix, funnel = markov.transition_matrix(markov.edges(r.markov_paths)), reporting.channel_funnel(r.event_base, r.sessions, s)
-    return validation.run_checks(core + validation.model_checks(matrix, r.effects, r.scenarios, funnel, r.revised, r.coverage, r.results, s))
+    models = validation.model_checks(matrix, r.effects, r.scenarios, funnel, r.revised, r.coverage, r.results, s)
+    marts = validation.mart_checks(r.comparison, reporting.journey_summary(r.revised, s), r.metrics, r.lookback, r.revised)
+    return validation.run_checks(core + models + marts)
 
 
 of_run(

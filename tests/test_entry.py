@@ -4,9 +4,13 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from creditflow.operators import reporting, validation
 from creditflow.plans import registry
+from creditflow.plans.run import Run
+from creditflow.settings import DEFAULT
 
 #: Built from the same tables as others; one of each family keeps the run short.
 CORE = (
@@ -39,7 +43,16 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 def test_checks_pass(spark, sf):
     rows = registry.QUERIES["ctl_validate"](spark, sf).collect()
-    assert len(rows) == 32 and {r["status"] for r in rows} == {"PASS"}
+    assert len(rows) == 43 and {r["status"] for r in rows} == {"PASS"}
+
+
+def test_checks_find_a_changed_mart(spark, sf):
+    r = Run(spark, sf)
+    credit = F.col("attributed_conversions") * F.when(F.col("model") == "Linear", 2).otherwise(1)
+    summary = reporting.journey_summary(r.revised, DEFAULT).where("summary_type <> 'PATH_LENGTH' OR sort_order > 1")
+    checks = validation.mart_checks(r.comparison.withColumn("attributed_conversions", credit), summary, r.metrics, r.lookback, r.revised)
+    failed = {x["check_id"] for x in validation.run_checks(checks).where("status = 'FAIL'").collect()}
+    assert failed == {"models_credit_all_orders", "summaries_hold_all_orders", "summaries_hold_all_revenue", "summary_shares_sum_to_one"}
 
 
 def test_entry(spark):
