@@ -239,6 +239,15 @@ def test_path_length_bins(spark):
     assert got == {"1": (70, 0.7), "2": (20, 0.2), "10+": (10, 0.1)}
 
 
+def test_sums_that_differ_by_rounding_alone_are_ranked_by_path(spark):
+    # 0.2 + 0.2 + 0.2 is greater than 0.6 as doubles; both paths have three orders and the same revenue.
+    orders = [("a", "Zeta", 0.2), ("b", "Zeta", 0.2), ("c", "Zeta", 0.2), ("d", "Alpha", 0.6), ("e", "Alpha", 0.0), ("f", "Alpha", 0.0)]
+    paths = spark.createDataFrame([(k, c, r, 1, 1) for k, c, r in orders], "order_key string, channel string, order_revenue_usd double, path_length long, touchpoint_number long")
+    rows = reporting.journey_summary(paths, DEFAULT).where("summary_type = 'CONVERTING_PATH'").orderBy("sort_order").collect()
+    assert [(r["dimension_key"], r["sort_order"]) for r in rows] == [("Alpha", 1), ("Zeta", 2)]
+    assert [r["dimension_key"] for r in reporting.top_paths(paths).orderBy("sort_order").collect()] == ["Alpha", "Zeta"]
+
+
 def test_reconcile_and_checks(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("z", None)], "k string, v double")
     b = spark.createDataFrame([("x", 1.0 + 1e-12), ("y", 2.1), ("w", 1.0), ("z", None)], "k string, v double")
