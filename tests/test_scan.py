@@ -70,6 +70,16 @@ def test_no_task_holds_more_than_a_segment(rows):
     assert several < 2 * SEGMENTS
 
 
+def test_only_keys_in_several_segments_are_looked_through_for_what_they_hand_on(rows):
+    cut = Segments.cut(rows, ("key",), ["at", "id"], SEGMENTS)
+    lie = cut.rows.groupBy("key").agg(F.count_distinct(SEGMENT).alias("n")).where("n > 1")
+    keys = {r["key"] for r in lie.collect()}
+    assert "hot" in keys and len(keys) < SEGMENTS
+    twice = cut.with_columns({"a": lag("v")}).with_columns({"b": total("v")})
+    for found in (cut, twice):
+        assert multiset(found.divided, found.rows.columns) == multiset(found.rows.where(F.col("key").isin(*(keys - {None})) | (F.col("key").isNull() & F.lit(None in keys))), found.rows.columns)
+
+
 def test_journeys_of_a_hot_user(spark):
     """A user with half of all sessions is cut into segments; its journeys are those of a plain walk along time."""
     spark.conf.set("spark.sql.shuffle.partitions", "12")
