@@ -27,6 +27,18 @@ def chain(*many):
 S, E, D, O, N, K = "Start", "Email", "Direct", "Organic", "Null", "Conversion"
 
 
+def test_keys_and_parameters_as_json_and_filters_give_them(spark):
+    texts = [None, "", "u1", 'q"x', "b\\c", "é", "x/y", "a\nb", "a\n", "\x7f", "~ !"]
+    rows = spark.createDataFrame([(v, i if i % 3 else None) for i, v in enumerate(texts)], "s string, n long")
+    for c in ("n", "double(n)"):
+        whole = F.sha2(F.to_json(F.struct(F.col("s").alias("a"), F.expr(c).alias("b")), {"ignoreNullFields": "false"}), 256)
+        assert rows.where(C.hash_key(a=F.col("s"), b=F.expr(c)) == whole).count() == len(texts)
+    kind = "array<struct<key: string, value: struct<string_value: string, int_value: bigint>>>"
+    params = spark.createDataFrame([([("a", ("x", None)), ("b", (None, 5)), ("b", ("z", 6))],), (None,), ([None, ("b", None), (None, ("x", 7))],)], f"p {kind}")
+    got = [tuple(r) for r in params.select(C.get_param(F.col("p"), "a", "string_value"), C.get_param(F.col("p"), "b", "int_value"), C.get_param(F.col("p"), "b", "string_value"), C.get_param(F.col("p"), "c", "int_value")).collect()]
+    assert got == [("x", 5, None, None), (None,) * 4, (None,) * 4]
+
+
 def test_chain_probabilities():
     assert chain([S, E, K]).conversion_probability() == 1
     assert chain([S, D, N]).conversion_probability() == 0
