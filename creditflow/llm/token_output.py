@@ -52,16 +52,14 @@ def write_orc(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, start = encoder(tokenizer_path, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [own.encode(t) + end_id.to_bytes(4, "little") for t in batch.column("text").to_pylist()]
-            sizes = np.fromiter((len(x) // 4 for x in ids), "int64", len(ids))
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            offsets, ids = own.encode(batch.column("text"), end_id)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(np.full(len(ids), part, "int32")),
+                    pa.array(np.full(batch.num_rows, part, "int32")),
                     pa.array(start + offsets[:-1]),
-                    pa.array(sizes.astype("int32")),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(np.frombuffer(b"".join(ids), "<i4"))),
+                    pa.array(np.diff(offsets).astype("int32")),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(ids)),
                 ],
                 names=["doc_id", "part", "part_start", "n_tokens", "ids"],
             )
