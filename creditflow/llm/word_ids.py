@@ -6,6 +6,7 @@ import os
 import re
 from array import array
 from codecs import charmap_decode
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,13 @@ _white = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u
 _before_word = re.compile(r"(?= \S)")
 #: The pattern of these vocabularies, by which the library cuts and for which the cuts below hold.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: One match of it whatever the version of Unicode: letters, digits or signs, after a space or not.
-_one_match = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)").fullmatch
+#: Letters and signs of old in every version of Unicode; no apostrophe, which may begin a contraction.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯא-תء-غف-يぁ-ゖァ-ヺー一-鿋가-힣"
+_SIGNS = r"!-&(-/:-@\[-`{-~«»·–—‘’“”„…、。〈-】！（），：；？"
+#: Surely one match: letters, digits or signs, after a space or not.
+_one_match = re.compile(f" ?(?:[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+)").fullmatch
+#: Where surely a match begins.
+_sure = re.compile(f"(?<=[{_LETTERS}])(?=[{_SIGNS}])|(?<=[{_SIGNS}])(?=[{_LETTERS}])").split
 #: The byte alphabet of these vocabularies: printable bytes stand for themselves, the others for U+0100 and on in turn.
 _printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _others = iter(range(0x100, 0x200))
@@ -98,7 +104,8 @@ class WordEncoder:
         if self.tokenizer.normalizer is not None or type(cutter).__name__ != "ByteLevel" or cutter.add_prefix_space or not cutter.use_regex or pattern != PATTERN:
             raise ValueError(f"{path} is not a plain byte-level vocabulary")
         self.merge = self.tokenizer.model.tokenize
-        self.words = Memo(self._words, 600_000)
+        self.words = Memo(self._words, 500_000)
+        self.parts = Memo(self._parts, 200_000)
 
     def _encode(self, texts: list[str], at_once: int = 5_000) -> list[bytes]:
         out = []
@@ -107,12 +114,21 @@ class WordEncoder:
         return out
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """The library's model on words that are one match, in its byte alphabet; the whole library on others."""
+        """Words that are not surely one match are cut further: texts without spaces are one word."""
         others = [w for w in words if not _one_match(w)]
-        found = dict(zip(others, self._encode(others), strict=True))
+        cut = [_sure(w) for w in others]
+        lists = iter(self.parts.values([p for ps in cut for p in ps]))
+        found = {w: b"".join(islice(lists, len(ps))) for w, ps in zip(others, cut, strict=True)}
         return [found[w] if w in found else self._match(w) for w in words]
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """The library's model on what is surely one match, the whole library on the rest."""
+        others = [p for p in parts if not _one_match(p)]
+        found = dict(zip(others, self._encode(others), strict=True))
+        return [found[p] if p in found else self._match(p) for p in parts]
+
     def _match(self, word: str) -> bytes:
+        """One match in the model's byte alphabet."""
         own = charmap_decode(word.encode(), "strict", BYTE_LEVEL)[0]
         return array("I", [t.id for t in self.merge(own)]).tobytes()
 

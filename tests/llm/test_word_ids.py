@@ -12,7 +12,7 @@ P = pytest.importorskip("public_tokenizers")
 ATOMS = [" ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x7f", "\x00", "\x85", "\xa0", " ", " "]
 ATOMS += [" ", " ", " ", "　", "᠎", "​", "﻿", "a", "foo", "Bar", "é", "É", "À", "ñ", "ß", "×", "÷", "é", "Ω"]
 ATOMS += ["中文", "。", "「", "—", "…", "Ⅷ", "²", "🙂", "1", "42", "'", "'s", "'t", "'ll", "'LL", "'re", "x'", "don't", ",", ".", "...", "!?", "("]
-ATOMS += ["_", "$", "<|", "<|endoftext|>"]
+ATOMS += ["привет", "שלום", "سلام", "ひらがな", "カー", "한국", "，", "’", "«", "_", "$", "\U0002ebf0", "\U00010d4a", "\u4dc0", "\u0301", "<|", "<|endoftext|>"]
 
 
 @pytest.fixture
